@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import mixing
+from palimpsest.llm import chat, mixing, packing, quality_rules
 
-MODULES = (mixing,)
+MODULES = (quality_rules, packing, chat, mixing)
 
 
 def queries() -> dict:
