@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat, mixing, packing, quality_rules
+from palimpsest.llm import chat, language, mixing, packing, quality_classifier, quality_rules
 
-MODULES = (quality_rules, packing, chat, mixing)
+MODULES = (quality_rules, quality_classifier, packing, chat, mixing, language)
 
 
 def queries() -> dict:
