@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat, language, mixing, packing, quality_classifier, quality_rules
+from palimpsest.llm import chat, language, mixing, ngram_join, packing, paragraph_dedup, quality_classifier, quality_rules
 
-MODULES = (quality_rules, quality_classifier, packing, chat, mixing, language)
+MODULES = (quality_rules, quality_classifier, packing, chat, ngram_join, mixing, paragraph_dedup, language)
 
 
 def queries() -> dict:
