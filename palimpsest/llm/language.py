@@ -227,8 +227,8 @@ def labelled_sample(docs: DataFrame, text_col: str, label_col: str, key: Column,
 
 def identify(docs: DataFrame, model: Field | None, id_col="doc_id", text_col="text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, the columns of `keep`, lang_pred, score."""
-    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c) for c in keep)]
-    own = docs.select(*columns)
+    extra = [c for c in keep if c != text_col]
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     names = ["doc_id", *keep, "lang_pred", "score"]
@@ -244,10 +244,10 @@ def identify(docs: DataFrame, model: Field | None, id_col="doc_id", text_col="te
                 p = crf.means([words[i] for i in some])
                 for i, best, q in zip(some, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
                     pred[i], score[i] = crf.labels[best], min(1.0, q)
-            kept = [batch.column(2 + j) for j in range(len(keep))]
+            kept = [batch.column(1 if c == text_col else 2 + extra.index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([batch.column(0), *kept, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=names)
 
-    types = dict(own.dtypes)
+    types = dict(own.dtypes) | {text_col: "string"}
     schema = ", ".join(f"`{n}` {types.get(n, {'lang_pred': 'string', 'score': 'double'}.get(n))}" for n in names)
     return arrow_map(own, run, schema)
 

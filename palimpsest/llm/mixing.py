@@ -39,19 +39,21 @@ def source_targets(sized: DataFrame, weights=(5, 2, 1), most: float = 3.0) -> Da
     return filled.select("source", "source_size", F.least(F.col("cap"), share * F.col("weight")).alias("target"))
 
 
-def pareto_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weight_col: str | None = None, weights=(5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies, taken.
+def pareto_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weight_col: str | None = None, weights=(5, 2, 1), most: int = 3, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, copies, taken, and the columns of `keep`.
 
     weight_col: documents' own relative weights within their source (positive; null: 1); without it all are equal.
+    Columns to keep are read once more in the last step and take part in no shuffle, but for the few rows to rank.
     """
     weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double")
-    sized = docs.select(
+    kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
+    measured = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ((drawn + 0.5) / float(1 << 48)).alias("u"), weight.alias("w"),
+        ((drawn + 0.5) / float(1 << 48)).alias("u"), weight.alias("w"), *kept,
     )
-    sized = materialize(sized, "mix-sizes")
+    sized = materialize(measured.drop(*[f"kept_{i}" for i in range(len(keep))]), "mix-sizes")
     # per source: how many copies a unit of weight stands for
     means = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("w")).alias("weighed"))
     goal = source_targets(sized, weights, most).alias("g").join(means.alias("m"), F.col("g.source").eqNullSafe(F.col("m.source"))).select("g.*", F.when(F.col("weighed") > 0, F.col("target") / F.col("weighed")).otherwise(0.0).alias("unit"))
@@ -60,14 +62,15 @@ def pareto_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="so
     expected = F.least(F.col("unit") * F.col("w"), F.lit(float(most)))
     part = F.col("expected") - F.col("whole")
     odds = (F.col("u") / (1 - F.col("u"))) * (1 - F.col("p")) / F.col("p")
-    ranked = (
-        sized.alias("s").join(goal.alias("g"), same("s", "g"))
-        .select("s.doc_id", "s.source", "s.size", "s.u", "g.source_size", "g.target", expected.alias("expected"))
+    rank = lambda rows: (
+        rows.alias("s").join(goal.alias("g"), same("s", "g"))
+        .select("s.*", "g.source_size", "g.target", expected.alias("expected"))
         .withColumn("whole", F.floor("expected").cast("long")).withColumn("p", part)
         .withColumn("v", F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(1.0))
         .withColumn("fine", F.least(F.floor(F.col("v") * float(CELLS * CELLS)), F.lit(CELLS * CELLS - 1)).cast("long"))
         .withColumn("cell", F.floor(F.col("fine") / CELLS).cast("long"))
     )
+    ranked = rank(sized)
     rest = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("rest"))
 
     def crossing(cells: DataFrame, key: str, start: str | None) -> DataFrame:
@@ -83,13 +86,13 @@ def pareto_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="so
     second = crossing(finer, "fine", "begun").select("source", F.col("fine").alias("edge"), F.col("from").alias("begun"), "rest")
     # a source without a crossing takes all its documents' parts (rest is their sum) or has none
     bounds = materialize(rest.alias("r").join(second.alias("b"), same("r", "b"), "left").select("r.source", "r.rest", "edge", "begun"), "mix-edges")
-    placed = ranked.alias("d").join(bounds.alias("b"), same("d", "b")).select("d.*", "rest", "edge", "begun")
+    placed = (rank(measured) if keep else ranked).alias("d").join(bounds.alias("b"), same("d", "b")).select("d.*", "rest", "edge", "begun")
     clear = placed.where("edge is null or fine <> edge or p <= 0").withColumn("extra", F.when(F.col("p") <= 0, 0).when(F.col("edge").isNull(), (F.col("rest") > 0).cast("int")).otherwise((F.col("fine") < F.col("edge")).cast("int")))
     run = Window.partitionBy("source").orderBy("v", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tight = placed.where("fine = edge and p > 0").withColumn("extra", ((F.sum("size").over(run) + F.col("begun") - F.col("size") / 2) <= F.col("rest")).cast("int"))
     out = clear.unionByName(tight)
     copies = (F.col("whole") + F.col("extra")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ def first_columns(docs: DataFrame, counts: np.ndarray, width: int, percent: int)
 
 
 def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
-    """Per row: doc_id, row_hash, n_shingles, component_id (the least doc_id that links reach)."""
+    """Per row: doc_id, row_hash, n_shingles, component_id (the least doc_id that links reach), component (its name)."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))
     found = materialize(document_classes(own, width), "ngram-classes")
     rows = found.where("part is null").select("doc_id", "row_hash", "n", "cid")
@@ -135,9 +135,26 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80, id_col="do
     near = link_classes(postings, lambda pairs: verify_sets(pairs, homes, make, percent), percent)
     least = classes.select("cid", "doc_id").join(near, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     named = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = materialize(least.join(named, "component").select("cid", "component_id"), "ngram-named")
+    by_class = materialize(least.join(named, "component").select("cid", "component", "component_id"), "ngram-named")
     discard(postings)
-    return rows.join(by_class, "cid", "left").select("doc_id", "row_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(by_class, "cid", "left").select("doc_id", "row_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component")
+
+
+def keep_one_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
+    """The documents without those that links join to an earlier one, by id (null last); of equal rows one stays."""
+    rows = materialize(ngram_jaccard(docs, width, percent, id_col, text_col), "ngram-rows")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_hash")
+    first = rows.where("component is not null").groupBy("component").agg(F.min(row).alias("first"))
+    told = rows.where("component is not null").join(first, "component").select("doc_id", "row_hash", row.eqNullSafe(F.col("first")).alias("stays"))
+    told = materialize(told.groupBy("doc_id", "row_hash").agg(F.min("stays").alias("stays"), F.count(F.lit(1)).alias("times")), "ngram-told")
+    gone = small_or_shuffled(told.where("not stays").select(F.col("doc_id").alias("gone_id"), F.col("row_hash").alias("gone_hash")))
+    left = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_col) == F.col("gone_hash")), "left_anti")
+    twice = told.where("stays and times > 1").select(F.col("doc_id").alias("twice_id"), F.col("row_hash").alias("twice_hash"))
+    if twice.isEmpty():
+        return left
+    twice = small_or_shuffled(twice)
+    matches = F.col(id_col).cast("long").eqNullSafe(F.col("twice_id")) & (F.xxhash64(text_col) == F.col("twice_hash"))
+    return left.join(twice, matches, "left_anti").unionByName(left.join(twice, matches, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from palimpsest.llm import chat, language, mixing, ngram_join, packing, paragraph_dedup, quality_classifier, quality_rules
 
 MODULES = (quality_rules, quality_classifier, packing, chat, ngram_join, mixing, paragraph_dedup, language)
@@ -11,11 +12,11 @@ def queries() -> dict:
     out = {}
     for module in MODULES:
         out |= module.QUERIES
-    return out
+    return out | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
     out = {}
     for module in MODULES:
         out |= module.SQL
-    return out
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
