@@ -26,6 +26,8 @@ from palimpsest.llm.common import arrow_map, table
 #: Bytes of ASCII letters and of letters beyond ASCII stay; all others part words.
 SPLIT = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 PAIRS, HASHED, WIDTH, RUN = 1 << 16, 1 << 17, 24, 32
+#: Languages that one model can tell apart.
+MOST_LABELS = 1000
 #: Words whose scores a worker remembers; beyond it starts anew.
 REMEMBERED = 400_000
 
@@ -217,12 +219,23 @@ def fit(texts: list[tuple[str, str]], seed: int = 5, window: int = 24, windows_e
     return Field(labels, lexicon, w.astype(np.float32), tr, st)
 
 
+def drawn_shares(label: Column, key: Column, counts: dict[str, int], each: int) -> Column:
+    """True for about `each` rows of every label, picked by a hash of the row's key."""
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"{len(counts)} labels; at most {MOST_LABELS} can be learned")
+    drawn = F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    share = F.lit(0.0)
+    for name, n in sorted(counts.items()):
+        share = F.when(label == name, F.lit(each / n)).otherwise(share)
+    return drawn < share
+
+
 def labelled_sample(docs: DataFrame, text_col: str, label_col: str, key: Column, each: int) -> list[tuple[str, str]]:
-    """About `each` rows of every label, picked by a hash of the row's key; what a label's count bounds, the driver gets."""
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), key.alias("key"))
-    share = rows.groupBy("label").agg((F.lit(float(each)) / F.count(F.lit(1))).alias("share"))
-    drawn = F.conv(F.substring(F.md5(F.coalesce(F.col("key").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return [(r["text"], r["label"]) for r in rows.join(share, "label").where(drawn < F.col("share")).select("text", "label").collect()]
+    """About `each` rows of every label for the driver; they are picked where they are read, texts are not shuffled."""
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
+    counts = {r["label"]: r["count"] for r in rows.groupBy(F.col(label_col).alias("label")).count().collect()}
+    picked = rows.where(drawn_shares(F.col(label_col), key, counts, each))
+    return [(r["text"], r["label"]) for r in picked.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).collect()]
 
 
 def identify(docs: DataFrame, model: Field | None, id_col="doc_id", text_col="text", keep: tuple[str, ...] = ()) -> DataFrame:

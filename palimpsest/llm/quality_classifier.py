@@ -1,8 +1,8 @@
 r"""Compression classifier of quality: how much better a text packs with good text's dictionary than with bad's.
 
 Two zstandard dictionaries are built from good and bad labelled texts, half of a bounded sample. A whole text is
-compressed with each, block by block, so that its own repeats do not drown the dictionaries; the difference of the
-two sizes over their sum is its one feature. Logistic calibration on the other half of the sample turns it into a
+compressed with each, in small blocks, so that its own repeats do not drown the dictionaries; the difference of the
+two sizes over the text's own size is its one feature. Logistic calibration on the other half of the sample turns it into a
 probability.
 
 Null and empty texts have a difference of 0. Labels that are null are not learned from, and of several labels of a
@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, table
-from palimpsest.llm.language import fold, labelled_sample
+from palimpsest.llm.language import drawn_shares, fold
 
 #: Labelled texts of each class that the model is fitted to, about; bytes of a dictionary and of a block.
-SAMPLE_EACH, DICTIONARY, BLOCK, LEVEL = 1500, 112 << 10, 2048, 3
+SAMPLE_EACH, DICTIONARY, BLOCK, LEVEL = 1500, 112 << 10, 256, 3
 
 
 def blocks(text: str | None) -> list[bytes]:
@@ -55,8 +55,9 @@ class Classifier:
             return 0.0
         if self._packers is None:
             self._packers = tuple(zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (self.good, self.bad))
-        good, bad = (sum(len(p.compress(b)) for b in blocks(text)) for p in self._packers)
-        return (bad - good) / (bad + good) if bad + good else 0.0
+        cut = blocks(text)
+        good, bad = (sum(len(p.compress(b)) for b in cut) for p in self._packers)
+        return (bad - good) / sum(map(len, cut)) if cut else 0.0
 
     def score(self, difference: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * difference + self.intercept, -500, 500)))
@@ -96,11 +97,12 @@ def fit(rows: list[tuple[str, str]], share_good: float | None = None) -> Classif
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, label_col="quality") -> Classifier:
     told = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label_col).cast("string").alias("label"))
-    own = docs.where(~held_out & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    counts = {r["label"]: r["count"] for r in told.where(~held_out).where("label in ('0', '1')").groupBy("label").count().collect()}
-    picked = labelled_sample(own.join(told.where("label in ('0', '1')"), "doc_id"), "text", "label", F.col("doc_id"), SAMPLE_EACH)
+    told = told.where(~held_out).where("label in ('0', '1')")
+    counts = {r["label"]: r["count"] for r in told.groupBy("label").count().collect()}
+    picked = F.broadcast(told.where(drawn_shares(F.col("label"), F.col("doc_id"), counts, SAMPLE_EACH)))  # about 2 * SAMPLE_EACH rows
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(picked, "doc_id").collect()
     total = sum(counts.values())
-    return fit(picked, counts.get("1", 0) / total if total else None)
+    return fit([(r["text"], r["label"]) for r in rows], counts.get("1", 0) / total if total else None)
 
 
 def score_quality(docs: DataFrame, model: Classifier, id_col="doc_id", text_col="text") -> DataFrame:
