@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, discard, materialize, table
-from palimpsest.llm.similarity import WordHashes, class_of, link_classes, needed, shingles, small_or_shuffled, verify_sets
+from palimpsest.llm.similarity import WordHashes, class_of, link_classes, offered, shingles, small_or_shuffled, verify_sets
 
 CELL_BITS, PARTS = 20, 32
 
@@ -75,25 +75,27 @@ def column_counts(parts: DataFrame) -> np.ndarray:
 
 
 def first_columns(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Postings (key, cid, n) of each class's rarest n-grams, as many as its size calls for."""
+    """Postings (key, cid, n, pos) of each class's rarest n-grams, as many as its size calls for."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
 
     def run(batches):
         hashes, common, seen = WordHashes(), shared.value, set()
         for batch in batches:
-            keys, cids, sizes = [], [], []
+            keys, cids, sizes, places = [], [], [], []
             for s in sets_of(batch.column(2).to_pylist(), hashes, width):
                 cid = class_of(s)
                 if not len(s) or cid in seen:
                     continue
                 seen.add(cid)
-                size, first = len(s), len(s) - needed(len(s), percent) + 1
+                size = len(s)
+                first = offered(size, percent)
                 keys.append(s[np.lexsort((s, common[cells_of(s)]))[:first]].view(np.int64))
                 cids.append(np.full(first, cid, np.int64))
                 sizes.append(np.full(first, size, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (keys, cids, sizes)], names=["key", "cid", "n"])
+                places.append(np.arange(first))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (keys, cids, sizes, places)], names=["key", "cid", "n", "pos"])
 
-    return arrow_map(docs, run, "key long, cid long, n long")
+    return arrow_map(docs, run, "key long, cid long, n long, pos long")
 
 
 def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import arrow_map, connected_components, discard, materialize
 
 #: Words whose hashes a worker remembers; beyond it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Rows of a frame that a join may broadcast, after they were counted.
 BROADCAST_ROWS = 1_000_000
 #: Members that one task checks against a leader.
@@ -76,28 +76,61 @@ def small_or_shuffled(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int | None) -> DataFrame | None:
-    """(node, component) of the classes that are similar to another; postings: key, cid, n.
+def offered(size: int, percent: int) -> int:
+    """How many of its first keys a set must offer: one more than it can lack."""
+    return size - needed(size, percent) + 1
 
-    verify: from pairs (a, b) to those that are similar. percent: sizes n that differ more are not compared.
+
+def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int | None, rounds: int = 2) -> DataFrame:
+    """(node, component) of the classes that are similar to another; postings: key, cid, n, pos.
+
+    verify: from pairs (a, b) to those that are similar. percent: two classes can only be similar if their sizes n
+    allow it and if they share a key that stands, by its place pos, among those that either can lack for the overlap
+    that both sizes call for, and one. Without it, sharing a key is enough.
     """
-    fit = sizes_fit(F.col("n"), F.col("m"), percent) if percent else F.lit(True)
-    lead = postings.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("lead"), F.max("cid").alias("last")).where("lead.cid < last")
-    lead = lead.select("key", F.col("lead.cid").alias("leader"), F.col("lead.n").alias("m"))
-    shared = materialize(postings.join(lead, "key").distinct(), "link-shared")
-    star = materialize(shared.where("cid <> leader").where(fit).select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), "link-star")
-    edges = materialize(verify(star), "link-edges")
-    near = materialize(connected_components(edges), "link-components")
-    placed = shared.join(near, F.col("cid") == F.col("node"), "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = materialize(placed.join(mixed, "key"), "link-rest")
-    left, right = rest.alias("l"), rest.select("key", F.col("cid").alias("cid2"), F.col("n").alias("m"), F.col("component").alias("component2")).alias("r")
+    need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent)) if percent else None
+    fit = sizes_fit(F.col("n"), F.col("m"), percent) & (F.col("pos") <= F.col("n") - need) & (F.col("at") <= F.col("m") - need) if percent else F.lit(True)
+    both = postings.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("key")
+    shared = materialize(postings.join(both, "key").distinct(), "link-shared")
+    # the more of its keys a class shares, the more central it is
+    central = shared.groupBy("cid").agg(F.count(F.lit(1)).alias("weight"))
+    rows = materialize(shared.join(central, "cid"), "link-rows")
+
+    def star(some: DataFrame, lead: DataFrame) -> DataFrame:
+        pairs = some.join(lead, "key").where("leader <> cid").where(fit)
+        return pairs.select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b")).distinct()
+
+    def leaders(some: DataFrame) -> DataFrame:
+        return some.groupBy("key").agg(F.max(F.struct("weight", "cid", "n", "pos")).alias("c")).select("key", F.col("c.cid").alias("leader"), F.col("c.n").alias("m"), F.col("c.pos").alias("at"))
+
+    def apart(near: DataFrame, some: DataFrame) -> DataFrame:
+        """Rows of keys whose classes are in several components."""
+        placed = some.drop("component").join(near, F.col("cid") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "cid"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        return materialize(placed.join(mixed, "key"), "link-rest")
+
+    rest, edges, tested = rows, None, None
+    for k in range(rounds):
+        lead = leaders(rest)
+        if k:  # the most central class outside the component of the most central one
+            chief = rest.join(lead.select("key", F.col("leader").alias("chief")), "key")
+            own = chief.where("cid = chief").select("key", F.col("component").alias("chiefs"))
+            lead = leaders(rest.join(own, "key").where("component <> chiefs"))
+        pairs = star(rest, lead)
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if k else pairs, "link-star")
+        tested = tested.unionByName(pairs) if k else pairs
+        found = verify(pairs)
+        edges = materialize(edges.unionByName(found) if k else found, "link-edges")
+        near = materialize(connected_components(edges), "link-components")
+        rest = apart(near, rest)
+    left = rest.select("key", "cid", "n", "pos", "component").alias("l")
+    right = rest.select("key", F.col("cid").alias("cid2"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("component2")).alias("r")
     cross = left.join(right, "key").where("component < component2").where(fit)
-    cross = cross.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    cross = cross.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     more = materialize(verify(materialize(cross, "link-cross")), "link-edges")
     if not more.isEmpty():
         near = materialize(connected_components(edges.unionByName(more)), "link-components")
-    discard(shared, star, rest)
+    discard(shared, rows, rest)
     return near
 
 
