@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from palimpsest.llm import chat, language, mixing, ngram_join, packing, paragraph_dedup, quality_classifier, quality_rules, vector_search
+from palimpsest.llm import chat, language, mixing, ngram_join, packing, paragraph_dedup, quality_classifier, quality_rules, suffix_dedup, vector_search
 
-MODULES = (quality_rules, quality_classifier, packing, chat, ngram_join, mixing, paragraph_dedup, vector_search, language)
+MODULES = (quality_rules, quality_classifier, packing, chat, suffix_dedup, ngram_join, mixing, paragraph_dedup, vector_search, language)
 
 
 def queries() -> dict:
