@@ -15,7 +15,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, connected_components, discard, materialize
@@ -81,15 +81,31 @@ def offered(size: int, percent: int) -> int:
     return size - needed(size, percent) + 1
 
 
-def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int | None, rounds: int = 2) -> DataFrame:
+def pairs_fit(percent: int) -> Column:
+    """Of keys at pos in a set of n and at `at` in a set of m: whether they can be the first that similar sets share."""
+    need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
+    return sizes_fit(F.col("n"), F.col("m"), percent) & (F.col("pos") <= F.col("n") - need) & (F.col("at") <= F.col("m") - need)
+
+
+def rarest(hashes: DataFrame, percent: int) -> DataFrame:
+    """(key, cid, n, pos): of each set its first keys in the order of how many sets hold them."""
+    held = hashes.groupBy("key").agg(F.count(F.lit(1)).alias("sets"))
+    placed = hashes.join(held.where("sets > 1"), "key", "left")
+    order = Window.partitionBy("cid").orderBy(F.coalesce("sets", F.lit(1)), "key")
+    ranked = placed.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
+    return ranked.where((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)) & F.col("sets").isNotNull()).select("key", "cid", "n", "pos")
+
+
+def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int | None, rounds: int = 2, refine: Callable[[DataFrame], DataFrame] | None = None, at_least: int = 80) -> DataFrame:
     """(node, component) of the classes that are similar to another; postings: key, cid, n, pos.
 
     verify: from pairs (a, b) to those that are similar. percent: two classes can only be similar if their sizes n
     allow it and if they share a key that stands, by its place pos, among those that either can lack for the overlap
-    that both sizes call for, and one. Without it, sharing a key is enough.
+    that both sizes call for, and one. Without it, sharing a key is enough. refine: from classes (cid) to all hashes
+    of their sets (cid, n, key), for keys by chance like bands: what the leaders leave apart is then compared by the
+    rarest hashes of the sets, of which two sets with a similarity of at_least / 100 share one.
     """
-    need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent)) if percent else None
-    fit = sizes_fit(F.col("n"), F.col("m"), percent) & (F.col("pos") <= F.col("n") - need) & (F.col("at") <= F.col("m") - need) if percent else F.lit(True)
+    fit = pairs_fit(percent) if percent else F.lit(True)
     both = postings.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("key")
     shared = materialize(postings.join(both, "key").distinct(), "link-shared")
     # the more of its keys a class shares, the more central it is
@@ -123,6 +139,10 @@ def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
         edges = materialize(edges.unionByName(found) if k else found, "link-edges")
         near = materialize(connected_components(edges), "link-components")
         rest = apart(near, rest)
+    if refine:
+        classes = rest.select("cid", "component").distinct()
+        rest = materialize(rarest(materialize(refine(classes.select("cid")), "link-hashes"), at_least).join(classes, "cid"), "link-rarest")
+        fit = pairs_fit(at_least)
     left = rest.select("key", "cid", "n", "pos", "component").alias("l")
     right = rest.select("key", F.col("cid").alias("cid2"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("component2")).alias("r")
     cross = left.join(right, "key").where("component < component2").where(fit)
