@@ -1,6 +1,6 @@
 r"""Suffix-array dedup: removes every byte of a string of `length` bytes that starts anywhere else too.
 
-Two equal strings of `length` bytes have their least 32-byte hash at the same place, so only text around such anchors
+Two equal strings of `length` bytes have their least 64-byte hash at the same place, so only text around such anchors
 that occur more than once can hold repeats. A run of starts with one anchor, with the bytes that their strings cover,
 is a context. Equal contexts are counted, not compared: all their starts repeat. Where an anchor has different
 contexts, these are dealt by anchor to shards, and each shard's text is sorted by external induction
@@ -28,20 +28,28 @@ from palimpsest.llm.similarity import small_or_shuffled, spread
 from palimpsest.llm.suffix_sort import sorted_suffixes
 
 #: Bytes of an anchor; starts of a text that are handled at once; bits of a place in them.
-GRAM, SEGMENT, PLACE_BITS = 32, 1 << 23, 24
+GRAM, SEGMENT, PLACE_BITS = 64, 1 << 20, 24
 #: Bytes of a shard's text, about; contexts of an anchor from which its strings are dealt one by one.
-SHARD_BYTES, HOT_CONTEXTS = 4 << 20, 2048
+SHARD_BYTES, HOT_CONTEXTS = 2 << 20, 2048
+
+
+def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + y
 
 
 def gram_hashes(text: np.ndarray) -> np.ndarray:
-    """A hash of each run of GRAM bytes."""
-    x = text.astype(np.uint64)
-    width = 1
-    while width < GRAM:
+    """A hash of each run of GRAM bytes, put together from those of runs of 1, 2, 4, ... bytes."""
+    x, width, out, done = text.astype(np.uint64), 1, None, 0
+    while True:
+        if GRAM & width:
+            m = len(text) - done - width + 1
+            out = x[:m] if out is None else mixed(out[:m], x[done : done + m])
+            done += width
+        if width * 2 > GRAM:
+            return spread(out)
         m = len(x) - width
-        x = (x[:m] | (x[width : width + m] << np.uint64(8 * width))) if width < 8 else spread(x[:m]) + x[width : width + m] * np.uint64(0x9E3779B97F4A7C15)
+        x = (x[:m] | (x[width : width + m] << np.uint64(8 * width))) if width < 8 else mixed(x[:m], x[width : width + m])
         width *= 2
-    return spread(x)
 
 
 def window_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -159,7 +167,7 @@ def sorted_hits(contexts: DataFrame, length: int) -> DataFrame:
 
     def run(shard: pa.Table) -> pa.Table:
         raws = shard["bytes"].to_pylist()
-        text = np.frombuffer(b"".join(r + b"\0" for r in raws), np.uint8).astype(np.int32) + 2
+        text = np.frombuffer(b"".join(r + b"\0" for r in raws), np.uint8) + np.uint8(2)  # no byte of UTF-8 is over 244
         ends = np.cumsum([len(r) + 1 for r in raws])
         text[ends - 1] = 1  # between contexts; bytes are 2 at least, so no common prefix of `length` goes past it
         order, common = sorted_suffixes(text, length)

@@ -175,16 +175,27 @@ class Sorter:
 
     @staticmethod
     def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray | int) -> np.ndarray:
-        """Common prefixes of suffixes a and b, up to `most`."""
-        n, out, step = len(t), np.zeros(len(a), np.int64), 16
+        """Common prefixes of suffixes a and b, up to `most`; texts of bytes are compared eight at a time."""
+        n, out = len(t), np.zeros(len(a), np.int64)
         most = np.broadcast_to(most, a.shape)
         live = np.arange(len(a))
-        ahead = np.arange(step)
+        if t.dtype == np.uint8:
+            step = 8
+            padded = np.concatenate([t, np.zeros(step + 1, np.uint8)])
+            words = np.lib.stride_tricks.as_strided(padded, (n + 1, step), (1, 1)).copy().view("<u8").ravel()
+        else:
+            step, words = 1, np.concatenate([t.astype(np.int64), [-1]])
         while len(live):
-            x, y = a[live, None] + out[live, None] + ahead, b[live, None] + out[live, None] + ahead
-            same = (t[np.minimum(x, n - 1)] == t[np.minimum(y, n - 1)]) & (x < n) & (y < n)
-            whole = same.all(1)
-            out[live] += np.where(whole, step, same.argmin(1))
+            x, y = a[live] + out[live], b[live] + out[live]
+            differ = words[np.minimum(x, n)] ^ words[np.minimum(y, n)]
+            whole = differ == 0
+            if step == 8:
+                first = np.zeros(len(live), np.int64)
+                odd = differ[~whole]
+                first[~whole] = np.frexp((odd & (~odd + np.uint64(1))).astype(float))[1] - 1 >> 3
+                out[live] += np.where(whole, step, first)
+            else:
+                out[live] += whole
             live = live[whole & (out[live] < most[live])]
         return np.minimum(out, most)
 
@@ -196,7 +207,7 @@ class Sorter:
             ahead = np.full(n, 0, np.int64)
             ahead[: n - width] = rank[width:] + 1
             key = rank * (n + 2) + ahead
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_ = key[order]
             new = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
             rank = np.empty(n, np.int64)
@@ -239,7 +250,8 @@ class Sorter:
 
 def sorted_suffixes(text: np.ndarray, cap: int, held: int = HELD, base: int = BASE):
     """Suffix array and common-prefix values up to `cap` (at most 255) of characters of at least 1; the end is added."""
-    t = np.concatenate([text, [0]]).astype(np.int32)
+    most = int(text.max(initial=0))
+    t = np.concatenate([text, [0]]).astype(np.uint8 if most < 256 else np.uint16 if most < 65536 else np.int64)
     with tempfile.TemporaryDirectory() as folder:
         order, values = Sorter(folder, held, base).sort(t, cap)
         return np.array(order), values
