@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,32 +66,34 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+#: Edges that one task of a round takes, about.
+EDGES_A_TASK = 200_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph (columns a, b) as (node, component), component the smallest node.
 
-    Alternates large-star and small-star steps. Each is a shuffle with map-side minima, so a hub costs one
-    partial row per task, and each is written to the shared folder. Isolated nodes are not returned.
+    Alternates large-star and small-star steps until every node but the smallest of its component has one edge, to
+    that one. Each step is a shuffle with map-side minima, so a hub costs one partial row per task, and each is
+    written to the shared folder. Isolated nodes are not returned.
     """
-    pairs = edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, state = materialize(pairs, "cc"), None
+    now = materialize(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     for _ in range(max_rounds):
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
+        per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        n, open_ = per.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count(F.when((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0), 1))).first()
+        if not open_:
+            break
+        tasks = max(1, -(-n // EDGES_A_TASK))
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "cc")
+        large = materialize(large.coalesce(tasks), "cc")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        small = materialize(small, "cc")
-        after = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003), F.countDistinct("u")).first()
+        small = materialize(small.coalesce(tasks), "cc")
         discard(now, large)
         now = small
-        if state == after and after[0] == after[2]:
-            break
-        state = after
     else:
         raise RuntimeError("components have not settled")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def rows(columns: dict[str, list], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
