@@ -58,8 +58,7 @@ class WordIds(dict):
 
     def __missing__(self, stretch: str) -> bytes:
         core = stretch[:-1] if stretch[-1] in self.ends else stretch
-        if core.isalpha() and max(core) < "ɐ":
-            low = core.lower()
+        if core.isalpha() and max(core) < "ɐ" and (low := core.lower()).isalpha():
             ids = self.cores.get(low)
             if ids is None:
                 spelled = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode()))
@@ -132,10 +131,10 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
         low, high, best = 0, bisect.bisect_right(sizes, room) - 1, 0
         while low <= high:
             a, b = sizes[low], sizes[high]
-            if a + b > room:
+            if a + b > room or have(b) < 1:
                 high -= 1
             else:
-                if have(a) > 0 and have(b) > 0 and (a != b or have(a) > 1):
+                if have(a) > (a == b):
                     best = max(best, a + b)
                 low += 1
         return best
