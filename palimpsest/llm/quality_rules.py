@@ -103,7 +103,7 @@ def expectation_maximisation(counts: dict[int, int], n_rules: int = len(RULES),
     for _ in range(rounds):
         weight = np.stack([1 - post, post]) * n
         prior = float((weight[1].sum() + 1) / (n.sum() + 2))
-        told = np.stack([[np.bincount(votes[:, j], w, 3) + 1 for j in range(n_rules)] for w in weight])
+        told = np.stack([[np.bincount(votes[:, j], w, 3) + 1.0 for j in range(n_rules)] for w in weight])
         told /= told.sum(2, keepdims=True)
         ll = np.log([1 - prior, prior])[:, None] + sum(np.log(told[:, j, :])[:, votes[:, j]] for j in range(n_rules))
         before, post = post, 1 / (1 + np.exp(np.clip(ll[0] - ll[1], -500, 500)))
@@ -120,14 +120,14 @@ def quality_rules(docs: DataFrame, id_col="doc_id", text_col="text", least: floa
     seen = {r["pattern"]: r["count"] for r in counts.groupBy("pattern").count().collect()}  # at most 3^8 rows
     posterior, _, _ = expectation_maximisation(seen)
     spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame(sorted(posterior.items()), "pattern int, quality double"))  # at most 3^8 rows
+    known = F.broadcast(spark.createDataFrame(sorted(posterior.items()), "pattern int, posterior double"))  # at most 3^8 rows
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = counts.join(known, "pattern").withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules}
