@@ -30,7 +30,7 @@ from palimpsest.llm.suffix_sort import sorted_suffixes
 #: Bytes of an anchor; starts of a text that are handled at once; bits of a place in them.
 GRAM, SEGMENT, PLACE_BITS = 64, 1 << 20, 24
 #: Bytes of a shard's text, about; contexts of an anchor from which its strings are dealt one by one.
-SHARD_BYTES, HOT_CONTEXTS = 2 << 20, 2048
+SHARD_BYTES, HOT_CONTEXTS = 2 << 20, 8192
 
 
 def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -151,7 +151,7 @@ def fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return arrow_map(texts, run, "anchor long, context long, hot boolean, n int, bytes binary").dropDuplicates(["anchor", "context"])
 
 
-HITS = "anchor long, context long, `from` int, `to` int"
+HITS = "anchor long, context long, froms array<int>, tos array<int>"
 
 
 def ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,10 +178,11 @@ def sorted_hits(contexts: DataFrame, length: int) -> DataFrame:
         out: list[list] = [[], [], [], []]
         for a, c, raw, e in zip(shard["anchor"].to_pylist(), shard["context"].to_pylist(), raws, ends.tolist(), strict=True):
             b = e - len(raw) - 1
-            for f, t in zip(*(x.tolist() for x in ranges(repeated[b : b + len(raw) - length + 1])), strict=True):
-                for column, value in zip(out, (a, c, f, t), strict=True):
+            froms, tos = ranges(repeated[b : b + len(raw) - length + 1])
+            if len(froms):
+                for column, value in zip(out, (a, c, froms, tos), strict=True):
                     column.append(value)
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["anchor", "context", "from", "to"])
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=["anchor", "context", "froms", "tos"])
 
     dealt = contexts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInArrow(run, HITS)
@@ -205,8 +206,9 @@ def hot_hits(contexts: DataFrame, length: int) -> DataFrame:
     strings = arrow_map(contexts.select("anchor", "context", "n", "bytes"), run, "anchor long, context long, at int, string long, other long")
     strings = materialize(strings, "suffix-strings")
     again = strings.groupBy("string", "other").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("string", "other")
-    found = strings.join(again, ["string", "other"])
-    return found.select("anchor", "context", F.col("at").alias("from"), F.col("at").alias("to"))
+    found = strings.join(again, ["string", "other"]).groupBy("anchor", "context").agg(F.collect_set("at").alias("ats"))  # at most one for each start of a context
+    edge = lambda step: F.array_sort(F.filter("ats", lambda x: ~F.array_contains("ats", x + step)))
+    return found.select("anchor", "context", edge(-1).alias("froms"), edge(1).alias("tos"))
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:
@@ -253,10 +255,11 @@ def repeated_spans(own: DataFrame, length: int) -> DataFrame:
     if not held.where("hot").isEmpty():
         hits = hits.unionByName(hot_hits(held.where("hot"), length))
     # contexts that stand twice or more repeat as a whole
-    whole = classes.where("copies > 1").select("anchor", "context", F.lit(0).alias("from"), (F.col("home.n") - 1).alias("to"))
+    whole = classes.where("copies > 1").select("anchor", "context", F.array(F.lit(0)).alias("froms"), F.array(F.col("home.n") - 1).alias("tos"))
     single = classes.where("several and copies = 1").select("anchor", "context")
     hits = materialize(whole.unionByName(hits.join(single, ["anchor", "context"], "left_semi")), "suffix-hits")
-    spans = near.join(hits, ["anchor", "context"]).select("doc_id", "row_hash", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") + length).alias("end"))
+    spans = near.join(hits, ["anchor", "context"]).select("doc_id", "row_hash", "start", F.explode(F.arrays_zip("froms", "tos")).alias("x"))
+    spans = spans.select("doc_id", "row_hash", (F.col("start") + F.col("x.froms")).alias("start"), (F.col("start") + F.col("x.tos") + length).alias("end"))
     out = materialize(merged_spans(spans), "suffix-spans")
     discard(near, classes, held, hits)
     return out
