@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
-def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -56,11 +55,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
-    """UTF-8 bytes of each text; null stays None."""
-    return batch.column(column).cast(pa.binary()).to_pylist()
-
-
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     bounded_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
