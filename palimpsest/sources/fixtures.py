@@ -25,7 +25,3 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-
-
-def queries(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    return vectors(spark, sf_dir).where(F.col("id") < n).select(F.col("id").alias("qid"), "embedding")
