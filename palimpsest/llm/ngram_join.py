@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, discard, materialize, table
-from palimpsest.llm.similarity import WordHashes, class_of, link_classes, offered, shingles, small_or_shuffled, verify_sets
+from palimpsest.llm.similarity import WordHashes, class_of, link_classes, offered, packed, shingles, small_or_shuffled, verify_sets
 
 CELL_BITS, PARTS = 20, 32
 
@@ -75,13 +75,13 @@ def column_counts(parts: DataFrame) -> np.ndarray:
 
 
 def first_columns(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Postings (key, cid, n, pos) of each class's rarest n-grams, as many as its size calls for."""
+    """Postings (key, cid, place) of each class's rarest n-grams, as many as its size calls for."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
 
     def run(batches):
         hashes, common, seen = WordHashes(), shared.value, set()
         for batch in batches:
-            keys, cids, sizes, places = [], [], [], []
+            keys, cids, places = [], [], []
             for s in sets_of(batch.column(2).to_pylist(), hashes, width):
                 cid = class_of(s)
                 if not len(s) or cid in seen:
@@ -91,11 +91,10 @@ def first_columns(docs: DataFrame, counts: np.ndarray, width: int, percent: int)
                 first = offered(size, percent)
                 keys.append(s[np.lexsort((s, common[cells_of(s)]))[:first]].view(np.int64))
                 cids.append(np.full(first, cid, np.int64))
-                sizes.append(np.full(first, size, np.int64))
-                places.append(np.arange(first))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (keys, cids, sizes, places)], names=["key", "cid", "n", "pos"])
+                places.append(packed(size, np.arange(first)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (keys, cids, places)], names=["key", "cid", "place"])
 
-    return arrow_map(docs, run, "key long, cid long, n long, pos long")
+    return arrow_map(docs, run, "key long, cid long, place long")
 
 
 def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
@@ -109,7 +108,7 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80, id_col="do
     homes = classes.select("cid", F.col("home.doc_id").alias("home_id"), F.col("home.row_hash").alias("home_hash"))
 
     def make(tasks: DataFrame) -> DataFrame:
-        where = small_or_shuffled(materialize(tasks.select("cid", "home_id", "home_hash", "goals"), "ngram-goals"))
+        where = small_or_shuffled(materialize(tasks.select("cid", "home_id", "home_hash", "goals"), "ngram-goals"), F.size("goals"))
         texts = own.alias("d").join(where.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.home_id")) & (F.col("d.row_hash") == F.col("w.home_hash")))
 
         def run(batches):

@@ -22,8 +22,8 @@ from palimpsest.llm.common import arrow_map, connected_components, discard, mate
 
 #: Words whose hashes a worker remembers; beyond it starts anew.
 REMEMBERED = 300_000
-#: Rows of a frame that a join may broadcast, after they were counted.
-BROADCAST_ROWS = 1_000_000
+#: Items (rows, or elements of their arrays) of a frame that a join may broadcast, after they were counted.
+BROADCAST_ITEMS = 1_000_000
 #: Members that one task checks against a leader.
 BLOCK = 512
 
@@ -71,9 +71,10 @@ def sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def small_or_shuffled(df: DataFrame) -> DataFrame:
-    """For a join with texts: broadcast where a count shows that the frame is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def small_or_shuffled(df: DataFrame, items: Column | None = None) -> DataFrame:
+    """For a join with texts: broadcast where a sum over the frame's rows (of their items, else of 1) shows it small."""
+    total = df.agg(F.sum(F.lit(1) if items is None else items)).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_ITEMS else df
 
 
 def offered(size: int, percent: int) -> int:
@@ -81,6 +82,11 @@ def offered(size: int, percent: int) -> int:
     return size - needed(size, percent) + 1
 
 
+def packed(n, pos):
+    """A set's size and a key's place in it as one number, which halves what a posting adds to a shuffle."""
+    return n * (1 << 32) + pos
+
+
 def pairs_fit(percent: int) -> Column:
     """Of keys at pos in a set of n and at `at` in a set of m: whether they can be the first that similar sets share."""
     need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
@@ -97,7 +103,7 @@ def rarest(hashes: DataFrame, percent: int) -> DataFrame:
 
 
 def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int | None, rounds: int = 2, refine: Callable[[DataFrame], DataFrame] | None = None, at_least: int = 80) -> DataFrame:
-    """(node, component) of the classes that are similar to another; postings: key, cid, n, pos.
+    """(node, component) of the classes that are similar to another; postings: key, cid, place (see packed).
 
     verify: from pairs (a, b) to those that are similar. percent: two classes can only be similar if their sizes n
     allow it and if they share a key that stands, by its place pos, among those that either can lack for the overlap
@@ -107,7 +113,8 @@ def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
     """
     fit = pairs_fit(percent) if percent else F.lit(True)
     both = postings.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("key")
-    shared = materialize(postings.join(both, "key").distinct(), "link-shared")
+    shared = postings.join(both, "key").distinct()
+    shared = materialize(shared.select("key", "cid", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND((1 << 32) - 1).alias("pos")), "link-shared")
     # the more of its keys a class shares, the more central it is
     central = shared.groupBy("cid").agg(F.count(F.lit(1)).alias("weight"))
     rows = materialize(shared.join(central, "cid"), "link-rows")
@@ -125,7 +132,7 @@ def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         return materialize(placed.join(mixed, "key"), "link-rest")
 
-    rest, edges, tested = rows, None, None
+    rest, edges, tested, spent = rows, None, None, [shared, rows]
     for k in range(rounds):
         lead = leaders(rest)
         if k:  # the most central class outside the component of the most central one
@@ -139,18 +146,22 @@ def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
         edges = materialize(edges.unionByName(found) if k else found, "link-edges")
         near = materialize(connected_components(edges), "link-components")
         rest = apart(near, rest)
+        spent += [pairs, edges, rest]
     if refine:
         classes = rest.select("cid", "component").distinct()
-        rest = materialize(rarest(materialize(refine(classes.select("cid")), "link-hashes"), at_least).join(classes, "cid"), "link-rarest")
+        hashes = materialize(refine(classes.select("cid")), "link-hashes")
+        rest = materialize(rarest(hashes, at_least).join(classes, "cid"), "link-rarest")
+        discard(hashes)
         fit = pairs_fit(at_least)
     left = rest.select("key", "cid", "n", "pos", "component").alias("l")
     right = rest.select("key", F.col("cid").alias("cid2"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("component2")).alias("r")
     cross = left.join(right, "key").where("component < component2").where(fit)
     cross = cross.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = materialize(verify(materialize(cross, "link-cross")), "link-edges")
+    cross = materialize(cross, "link-cross")
+    more = materialize(verify(cross), "link-edges")
     if not more.isEmpty():
         near = materialize(connected_components(edges.unionByName(more)), "link-components")
-    discard(shared, rows, rest)
+    discard(*spent, rest, cross, more)
     return near
 
 

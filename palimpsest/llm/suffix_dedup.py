@@ -131,7 +131,7 @@ def context_rows(docs: DataFrame, length: int) -> DataFrame:
 def fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(anchor, context, hot, n, bytes) of contexts, read again from one text that holds them."""
     by_row = wanted.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("anchor", "context", "hot", "start", "n")).alias("wanted"))
-    by_row = small_or_shuffled(materialize(by_row, "suffix-wanted")).alias("w")
+    by_row = small_or_shuffled(materialize(by_row, "suffix-wanted"), F.size("wanted")).alias("w")
     texts = docs.alias("d").join(by_row, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.row_hash") == F.col("w.row_hash"))).select("d.text", "w.wanted")
 
     def run(batches):
@@ -268,7 +268,7 @@ def repeated_spans(own: DataFrame, length: int) -> DataFrame:
 def suffix_dedup(docs: DataFrame, length: int = 200, keep_text: bool = True, id_col="doc_id", text_col="text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the remaining bytes as `kept`."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))
-    spans = small_or_shuffled(repeated_spans(own, length)).alias("s")
+    spans = small_or_shuffled(repeated_spans(own, length), F.size("starts")).alias("s")
     rows = own.alias("d").join(spans, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.row_hash") == F.col("s.row_hash")), "left")
 
     def run(batches):
