@@ -50,9 +50,9 @@ def discard(*frames: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches end at 8 MB or 2,000 rows, so that very long texts do not swell a Python worker."""
+    """Arrow batches end at 4 MB or 2,000 rows, so that very long texts do not swell a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:

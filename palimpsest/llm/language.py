@@ -29,7 +29,9 @@ PAIRS, HASHED, WIDTH, RUN = 1 << 16, 1 << 17, 24, 32
 #: Languages that one model can tell apart.
 MOST_LABELS = 1000
 #: Words whose scores a worker remembers; beyond it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Characters of texts whose words are labelled at once, about.
+AT_ONCE = 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -238,6 +240,19 @@ def labelled_sample(docs: DataFrame, text_col: str, label_col: str, key: Column,
     return [(r["text"], r["label"]) for r in picked.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).collect()]
 
 
+def portions(texts: list[str | None]):
+    """Places of texts in groups of about AT_ONCE characters, so that a group's marginals take little memory."""
+    some, held = [], 0
+    for i, text in enumerate(texts):
+        some.append(i)
+        held += len(text or "")
+        if held > AT_ONCE:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def identify(docs: DataFrame, model: Field | None, id_col="doc_id", text_col="text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, the columns of `keep`, lang_pred, score."""
     extra = [c for c in keep if c != text_col]
@@ -250,13 +265,13 @@ def identify(docs: DataFrame, model: Field | None, id_col="doc_id", text_col="te
         crf = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            words = [words_of(t) for t in texts]
             pred, score = ["und"] * len(texts), [0.0] * len(texts)
-            some = [i for i, t in enumerate(texts) if words[i] and (t.isascii() or any(map(str.isalpha, t)))] if crf else []
-            if some:
-                p = crf.means([words[i] for i in some])
-                for i, best, q in zip(some, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
-                    pred[i], score[i] = crf.labels[best], min(1.0, q)
+            for some in portions(texts) if crf else ():
+                words = {i: w for i in some if (w := words_of(texts[i])) and (texts[i].isascii() or any(map(str.isalpha, texts[i])))}
+                if words:
+                    p = crf.means(list(words.values()))
+                    for i, best, q in zip(words, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
+                        pred[i], score[i] = crf.labels[best], min(1.0, q)
             kept = [batch.column(1 if c == text_col else 2 + extra.index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([batch.column(0), *kept, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=names)
 
