@@ -12,6 +12,8 @@ table gives an empty result. Extra columns of the input are not read.
 from __future__ import annotations
 
 import bisect
+import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -36,11 +38,16 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+#: Letters, then printable ASCII signs: the splitter parts them there. Apostrophes and `<` may begin other units.
+PLAIN = re.compile(r"([^\W\d_]*)([!-&(-/:;=-@\[-`{-~]*)")
+
+
 class WordIds(dict):
     """Ids of each blank-free stretch of a text, as little-endian unsigned 32-bit bytes.
 
     The tokenizer's normalizer and splitter never look across white space, so a text's ids are those of its
-    stretches. A stretch of Latin letters, with or without a final stop or comma, goes straight to the merges.
+    stretches. Latin letters and the signs after them go straight to the merges.
+    Beyond REMEMBERED / 2 stretches a new generation begins; the one before is kept, so frequent words stay known.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -50,30 +57,37 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.cores: dict[str, bytes] = {}
-        self.ends = {end: self.encoded(end) for end in ".,"}
-        self[""] = b""
+        self.older: dict[str, bytes] = {"": b""}
+        self.older_cores: dict[str, bytes] = {}
 
     def encoded(self, stretch: str) -> bytes:
-        return np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.tokenizer.encode(stretch, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def merged(self, core: str) -> bytes:
+        ids = self.cores.get(core) or self.older_cores.get(core)
+        if ids is None:
+            spelled = core if core.isascii() else "".join(map(self.letters.__getitem__, core.encode()))
+            found = [t.id for t in self.model.tokenize(spelled)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self.cores[core] = ids
+        return ids
 
     def __missing__(self, stretch: str) -> bytes:
-        core = stretch[:-1] if stretch[-1] in self.ends else stretch
-        if core.isalpha() and max(core) < "ɐ" and (low := core.lower()).isalpha():
-            ids = self.cores.get(low)
-            if ids is None:
-                spelled = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode()))
-                ids = self.cores[low] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-            ids += self.ends[stretch[-1]] if core is not stretch and len(core) < len(stretch) else b""
-        else:
-            ids = self.encoded(stretch)
+        ids = self.older.get(stretch)
+        if ids is None:
+            found = PLAIN.fullmatch(stretch)
+            if found and (not found[1] or max(found[1]) < "ɐ" and found[1].isalpha() and (low := found[1].lower()).isalpha()):
+                ids = (self.merged(low) if found[1] else b"") + (self.merged(found[2]) if found[2] else b"")
+            else:
+                ids = self.encoded(stretch)
         self[stretch] = ids
         return ids
 
     def text_ids(self, text: str | None) -> bytes:
-        if len(self) > REMEMBERED:
+        if len(self) > REMEMBERED // 2:
+            self.older, self.older_cores, self.cores = {"": b""} | self, self.cores, {}
             self.clear()
-            self.cores.clear()
-            self[""] = b""
         return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 

@@ -37,12 +37,20 @@ def test_pack(spark, messy, messy_docs, no_docs):
     assert packing.pack(no_docs, PATH).count() == 0
 
 
-@pytest.mark.parametrize("text", ["don't  STOP", "Ünïcode, naïve.", "<|endoftext|> x", "a,b.c,", "x\u00a0y\u2028z", "ΣΑΣ Σ", "e\u0301 cafe\u0301s.", "a\tb\rc", "42nd, 7.", "ſ ŉ İstanbul ɐ"])
+@pytest.mark.parametrize("text", ["don't  STOP", "Ünïcode, naïve.", "<|endoftext|> x", "a,b.c,", "x\u00a0y\u2028z", "ΣΑΣ Σ", "e\u0301 cafe\u0301s.", "a\tb\rc", "42nd, 7.", "ſ ŉ İstanbul ɐ", "thnd*** a'b's ?!x |<| _a 9$9"])
 def test_word_ids_are_the_tokenizers(text):
     words = packing.WordIds(PATH)
     assert np.frombuffer(words.text_ids(text), "<u4").tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_of_random_stretches_and_generations(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    words, t, rng = packing.WordIds(PATH), Tokenizer.from_file(PATH), random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choice("abXZ''.,!?#$%&*()<>|-_=+[]{}/:;`~^@09éèßÜñſİ’“ \n\tΣςü\u00ad²½Ⅷ") for _ in range(rng.randint(1, 9)))
+        assert np.frombuffer(words.text_ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def fewest(sizes, capacity):
     """The least number of bins, by trying all."""
     best = len(sizes)
