@@ -157,8 +157,11 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = SEARCH
     n_blocks = max(1, -(-queries.count() // block))
     blocks = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).withColumn("dim", F.size("vector"))
     blocks = blocks.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
-    # the stated query set, in blocks, against every shard of its dimension
-    work = index.join(blocks, "dim").repartition("shard", "block").select("dim", "ids", "vectors", "graph", "entry", "queries")
+    # the stated query set, in blocks, against every shard of its dimension: blocks are dealt to shards, which stay where they are
+    shards = {r["dim"]: r["n"] for r in index.groupBy("dim").agg((F.max("shard") + 1).alias("n")).collect()}  # one row per dimension
+    last = F.coalesce(*[F.when(F.col("dim") == d, F.lit(n - 1)) for d, n in shards.items()], F.lit(-1))
+    dealt = blocks.where(last >= 0).withColumn("shard", F.explode(F.sequence(F.lit(0), last)))
+    work = index.join(dealt, ["dim", "shard"]).select("dim", "ids", "vectors", "graph", "entry", "queries")
 
     def run(batches):
         for batch in batches:
