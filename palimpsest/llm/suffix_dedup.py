@@ -30,7 +30,7 @@ from palimpsest.llm.suffix_sort import sorted_suffixes
 #: Bytes of an anchor; starts of a text that are handled at once; bits of a place in them.
 GRAM, SEGMENT, PLACE_BITS = 64, 1 << 20, 24
 #: Bytes of a shard's text, about; contexts of an anchor from which its strings are dealt one by one.
-SHARD_BYTES, HOT_CONTEXTS = 2 << 20, 8192
+SHARD_BYTES, HOT_CONTEXTS = 1 << 20, 2048
 
 
 def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
