@@ -360,7 +360,7 @@ def degradation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def retriever_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.compare(degradation.degradation(spark, quick=True), "bm25-canon", "hybrid")
+    return metrics.compare(degradation.degradation(spark), "bm25-canon", "hybrid")
 
 
 # quantization
