@@ -31,7 +31,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = paragraph_dedup.substring_dedup(docs, keep=("lang", "source", "n_chars"))
-    changed = (F.col("n_removed") > 0) | (F.col("cut_words") > 0)
+    changed = F.col("n_removed") > 0
     out = out.where(~changed | (F.length(F.trim("text")) > 0))
     return out.select("doc_id", "text", "lang", "source", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 
