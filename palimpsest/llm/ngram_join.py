@@ -2,14 +2,18 @@ r"""N-gram Jaccard join: which documents share at least a given part of their wo
 
 The documents' n-gram incidence is a sparse matrix; similar documents are large entries of its product with itself.
 Documents with equal rows are one class. N-grams are ordered by a count of all classes' n-grams, common ones last;
-by the bound that a set's size sets on the overlap, similar sets share one of their first few columns, so only those
-columns take part in the product, and entries whose sizes cannot reach the bound are dropped. What remains is
-checked against the whole sets, in blocks of one leader and at most 512 members. Counts are kept in 2^20 cells;
-cells may be shared, which moves n-grams in the order but never loses a link.
+by the bound that a set's size sets on the overlap, similar sets share one of their first few columns. The product is
+taken in blocks. The first block is of these columns: a join on them gives an entry's overlap so far and drops those
+that cannot reach the bound of both sizes with all that stands behind. For the entries that remain, rows are dealt in
+blocks of at most 512 beside one other row, and the other columns follow in four blocks; counts add up, and entries
+fall out between blocks as soon as they cannot reach the bound (similarity.overlaps). Not all entries of a group are
+made: rows are multiplied with those of leaders first, and with each other only where leaders leave them apart
+(similarity). Counts are kept in 2^20 cells; cells may be shared, which moves n-grams in the order but never loses a
+link.
 
 Null texts and texts without words have no n-grams and are linked with nothing. Each row is in the result, repeated
 ones too; a null id names no component unless all ids of a component are null. Ties and equal texts are one class.
-Sets are named by 64-bit hashes. An empty table gives an empty result. Extra columns are not read.
+Sets are named by 64-bit hashes; two sets of one name are told apart by a second. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,41 +24,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, discard, materialize, table
-from palimpsest.llm.similarity import WordHashes, class_of, link_classes, offered, packed, shingles, small_or_shuffled, verify_sets
+from palimpsest.llm.similarity import class_of, link_classes, offered, packed, sets_of, small_or_shuffled, verify_sets
 
 CELL_BITS, PARTS = 20, 32
 
 
-def sets_of(texts: list[str | None], hashes: WordHashes, width: int) -> list[np.ndarray]:
-    return [np.unique(shingles(hashes.of((t or "").encode().lower().split()), width)) for t in texts]
-
-
 def cells_of(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def document_classes(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, row_hash, n, cid), and rows with the counts of n-grams of a task, in parts: (part, counts)."""
+    """Rows (doc_id, row_hash, n, cid, check), and rows with the counts of n-grams of a task, in parts: (part, counts)."""
+    names = ["doc_id", "row_hash", "n", "cid", "check", "part", "counts"]
 
     def run(batches):
-        hashes, counts, seen = WordHashes(), np.zeros(1 << CELL_BITS, np.int64), set()
+        counts, seen = np.zeros(1 << CELL_BITS, np.int64), set()
         for batch in batches:
-            sets = sets_of(batch.column(2).to_pylist(), hashes, width)
+            sets = sets_of(batch.column(2).to_pylist(), width)
             cids = [class_of(s) if len(s) else None for s in sets]
+            checks = [class_of(s, 1) if len(s) else None for s in sets]
             for s, c in zip(sets, cids, strict=True):
                 if c is not None and c not in seen:
                     seen.add(c)
                     np.add.at(counts, cells_of(s), 1)
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(cids, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["doc_id", "row_hash", "n", "cid", "part", "counts"],
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(cids, pa.int64()), pa.array(checks, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names=names,
             )
         parts = np.split(np.minimum(counts, (1 << 31) - 1).astype(np.int32), PARTS)
         none = pa.nulls(PARTS, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "row_hash", "n", "cid", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    return arrow_map(docs, run, "doc_id long, row_hash long, n long, cid long, part int, counts binary")
+    return arrow_map(docs, run, "doc_id long, row_hash long, n long, cid long, check long, part int, counts binary")
 
 
 def column_counts(parts: DataFrame) -> np.ndarray:
@@ -74,16 +76,18 @@ def column_counts(parts: DataFrame) -> np.ndarray:
     return out
 
 
-def first_columns(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
+def first_columns(docs: DataFrame, counts: np.ndarray, width: int, percent: int, clashes: frozenset = frozenset()) -> DataFrame:
     """Postings (key, cid, place) of each class's rarest n-grams, as many as its size calls for."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
 
     def run(batches):
-        hashes, common, seen = WordHashes(), shared.value, set()
+        common, seen = shared.value, set()
         for batch in batches:
             keys, cids, places = [], [], []
-            for s in sets_of(batch.column(2).to_pylist(), hashes, width):
+            for s in sets_of(batch.column(2).to_pylist(), width):
                 cid = class_of(s)
+                if cid in clashes:
+                    cid = class_of(s, 1)
                 if not len(s) or cid in seen:
                     continue
                 seen.add(cid)
@@ -101,9 +105,13 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80, id_col="do
     """Per row: doc_id, row_hash, n_shingles, component_id (the least doc_id that links reach), component (its name)."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))
     found = materialize(document_classes(own, width), "ngram-classes")
-    rows = found.where("part is null").select("doc_id", "row_hash", "n", "cid")
+    rows = found.where("part is null").select("doc_id", "row_hash", "n", "cid", "check")
+    # two sets under one 64-bit name (expected once in 4 thousand million classes) take their second name
+    per = rows.groupBy("cid").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    clashes = frozenset(r["cid"] for r in per.where("low < high").select("cid").collect())
+    rows = rows.withColumn("cid", F.when(F.col("cid").isin(*clashes), F.col("check")).otherwise(F.col("cid"))) if clashes else rows
     counts = column_counts(found.where("part is not null").select("part", "counts"))
-    postings = materialize(first_columns(own, counts, width, percent), "ngram-postings")
+    postings = materialize(first_columns(own, counts, width, percent, clashes), "ngram-postings")
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "row_hash")).alias("home"))
     homes = classes.select("cid", F.col("home.doc_id").alias("home_id"), F.col("home.row_hash").alias("home_hash"))
 
@@ -112,11 +120,10 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80, id_col="do
         texts = own.alias("d").join(where.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.home_id")) & (F.col("d.row_hash") == F.col("w.home_hash")))
 
         def run(batches):
-            hashes = WordHashes()
             for batch in batches:
                 out: list[tuple] = []
                 held = 0
-                sets = sets_of(batch.column(1).to_pylist(), hashes, width)
+                sets = sets_of(batch.column(1).to_pylist(), width)
                 for cid, goals, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), sets, strict=True):
                     raw = s.tobytes()
                     out += [(cid, g["to"], g["salt"], g["role"], raw) for g in goals]

@@ -1,11 +1,11 @@
 """From postings of text classes to components of similar classes, without listing the pairs of a group.
 
 A posting says that a class holds a key (a rare n-gram, a MinHash band). Classes that share a key may be similar.
-First every class is checked against one leader of each of its keys, the smallest class there, and what is similar
-is joined into components. Only keys whose classes are then still in different components need more: of these, all
-pairs from different components are checked. So a group of near copies costs one check per copy, and yet no two
-similar classes stay apart. Joins on keys and leaders are ordinary equi-joins, which adaptive execution splits
-where a key is hot.
+First every class is checked against one leader of each of its keys, the most central class there, and what is similar
+is joined into components. Only keys whose classes are then still in different components need more: a second leader,
+and where no link may be lost, all pairs from different components that their counts of shared keys leave. So a group
+of near copies costs one check per copy. Joins on keys and leaders are ordinary equi-joins, which adaptive execution
+splits where a key is hot.
 """
 
 from __future__ import annotations
@@ -15,28 +15,20 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, connected_components, discard, materialize
 
-#: Words whose hashes a worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
 #: Items (rows, or elements of their arrays) of a frame that a join may broadcast, after they were counted.
 BROADCAST_ITEMS = 1_000_000
-#: Members that one task checks against a leader.
-BLOCK = 512
+#: Members that one task checks against a leader; bytes of their rows that it holds at once, about; blocks of columns.
+BLOCK, BLOCK_BYTES, COLUMN_BLOCKS = 512, 4 << 20, 4
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > REMEMBERED:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Bytes hashed at once, about; the odd factor of the words' polynomials.
+CHUNK, FACTOR = 1 << 19, np.uint64(0x9E3779B97F4A7C15)
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -45,6 +37,52 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _values() -> np.ndarray:
+    """A number of each byte, the same for A-Z and a-z; 0 for ASCII white space."""
+    out = spread(np.arange(1, 257, dtype=np.uint64) * FACTOR)
+    out[65:91] = out[97:123]
+    out[SPACE] = 0
+    return out
+
+
+VALUES = _values()
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The factor's first powers, and their inverses modulo 2^64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((int(FACTOR), pow(int(FACTOR), -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of all texts, one after another, and the number of words of each.
+
+    Words stand between ASCII white space; A-Z count as a-z. A word's hash is a polynomial of its bytes' numbers,
+    taken from differences of running sums, so no word becomes an object of its own.
+    """
+    data = np.frombuffer(b"\n" + b"\n".join(raws) + b"\n", np.uint8)
+    space = SPACE[data]
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+    out = np.empty(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):
+        a = int(starts[k])
+        n = max(k + 1, int(np.searchsorted(ends, a + CHUNK, "right")))
+        b = int(ends[n - 1])
+        up, down = powers(max(CHUNK, b - a) + 1)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(VALUES[data[a:b]] * up[: b - a])])
+        s, e = starts[k:n] - a, ends[k:n] - a
+        out[k:n] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
+        k = n
+    borders = np.cumsum([0] + [len(r) + 1 for r in raws])
+    return spread(out), np.diff(np.searchsorted(starts, borders + 1))
+
+
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of `width` words; of all words, if they are fewer."""
     n = len(hashes)
@@ -57,9 +95,21 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return acc
 
 
-def class_of(distinct: np.ndarray) -> int:
+def sets_of(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text."""
+    flat, sizes = word_hashes([(t or "").encode() for t in texts])
+    runs = shingles(flat, width) if len(flat) >= width else flat[:0]
+    out, at = [], 0
+    for n in sizes.tolist():
+        own = np.sort(runs[at : at + n - width + 1]) if n >= width else shingles(flat[at : at + n], width)
+        out.append(own[np.append(True, own[1:] != own[:-1])] if len(own) else own)
+        at += n
+    return out
+
+
+def class_of(distinct: np.ndarray, seed: int = 0) -> int:
     """A signed 64-bit name of a set of hashes, given sorted."""
-    return xxhash.xxh3_64_intdigest(distinct.tobytes()) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(distinct.tobytes(), seed) - (1 << 63)
 
 
 def needed(size, percent: int):
@@ -93,25 +143,15 @@ def pairs_fit(percent: int) -> Column:
     return sizes_fit(F.col("n"), F.col("m"), percent) & (F.col("pos") <= F.col("n") - need) & (F.col("at") <= F.col("m") - need)
 
 
-def rarest(hashes: DataFrame, percent: int) -> DataFrame:
-    """(key, cid, n, pos): of each set its first keys in the order of how many sets hold them."""
-    held = hashes.groupBy("key").agg(F.count(F.lit(1)).alias("sets"))
-    placed = hashes.join(held.where("sets > 1"), "key", "left")
-    order = Window.partitionBy("cid").orderBy(F.coalesce("sets", F.lit(1)), "key")
-    ranked = placed.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
-    return ranked.where((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)) & F.col("sets").isNotNull()).select("key", "cid", "n", "pos")
-
-
-def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int | None, rounds: int = 2, refine: Callable[[DataFrame], DataFrame] | None = None, at_least: int = 80) -> DataFrame:
+def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int | None, rounds: int = 2, exhaustive: bool = True) -> DataFrame:
     """(node, component) of the classes that are similar to another; postings: key, cid, place (see packed).
 
     verify: from pairs (a, b) to those that are similar. percent: two classes can only be similar if their sizes n
     allow it and if they share a key that stands, by its place pos, among those that either can lack for the overlap
-    that both sizes call for, and one. Without it, sharing a key is enough. refine: from classes (cid) to all hashes
-    of their sets (cid, n, key), for keys by chance like bands: what the leaders leave apart is then compared by the
-    rarest hashes of the sets, of which two sets with a similarity of at_least / 100 share one.
+    that both sizes call for, and one; the keys that a pair shares are counted, and it is dropped if they and all that
+    stands behind the last of them cannot reach that overlap. Without percent, sharing a key is enough. exhaustive:
+    after the rounds of leaders, all pairs of what they leave apart are checked.
     """
-    fit = pairs_fit(percent) if percent else F.lit(True)
     both = postings.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("key")
     shared = postings.join(both, "key").distinct()
     shared = materialize(shared.select("key", "cid", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND((1 << 32) - 1).alias("pos")), "link-shared")
@@ -119,12 +159,21 @@ def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
     central = shared.groupBy("cid").agg(F.count(F.lit(1)).alias("weight"))
     rows = materialize(shared.join(central, "cid"), "link-rows")
 
+    def summed(pairs: DataFrame) -> DataFrame:
+        """Pairs (cid with n and pos, other with m and at), a row for each key that they share: the pairs that remain."""
+        if not percent:
+            return pairs.select(F.least("other", "cid").alias("a"), F.greatest("other", "cid").alias("b")).distinct()
+        flip = F.col("other") > F.col("cid")
+        some = pairs.where(pairs_fit(percent)).select(F.least("other", "cid").alias("a"), F.greatest("other", "cid").alias("b"), F.when(flip, F.col("n")).otherwise(F.col("m")).alias("n"), F.when(flip, F.col("pos")).otherwise(F.col("at")).alias("pos"), F.when(flip, F.col("m")).otherwise(F.col("n")).alias("m"), F.when(flip, F.col("at")).otherwise(F.col("pos")).alias("at"))
+        per = some.groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), F.max("pos").alias("pos"), F.max("at").alias("at"), F.max("n").alias("n"), F.max("m").alias("m"))
+        reach = F.col("overlap") + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) - 1
+        return per.where(reach >= F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))).select("a", "b")
+
     def star(some: DataFrame, lead: DataFrame) -> DataFrame:
-        pairs = some.join(lead, "key").where("leader <> cid").where(fit)
-        return pairs.select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b")).distinct()
+        return summed(some.join(lead, "key").where("other <> cid"))
 
     def leaders(some: DataFrame) -> DataFrame:
-        return some.groupBy("key").agg(F.max(F.struct("weight", "cid", "n", "pos")).alias("c")).select("key", F.col("c.cid").alias("leader"), F.col("c.n").alias("m"), F.col("c.pos").alias("at"))
+        return some.groupBy("key").agg(F.max(F.struct("weight", "cid", "n", "pos")).alias("c")).select("key", F.col("c.cid").alias("other"), F.col("c.n").alias("m"), F.col("c.pos").alias("at"))
 
     def apart(near: DataFrame, some: DataFrame) -> DataFrame:
         """Rows of keys whose classes are in several components."""
@@ -136,7 +185,7 @@ def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
     for k in range(rounds):
         lead = leaders(rest)
         if k:  # the most central class outside the component of the most central one
-            chief = rest.join(lead.select("key", F.col("leader").alias("chief")), "key")
+            chief = rest.join(lead.select("key", F.col("other").alias("chief")), "key")
             own = chief.where("cid = chief").select("key", F.col("component").alias("chiefs"))
             lead = leaders(rest.join(own, "key").where("component <> chiefs"))
         pairs = star(rest, lead)
@@ -145,26 +194,46 @@ def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
         found = verify(pairs)
         edges = materialize(edges.unionByName(found) if k else found, "link-edges")
         near = materialize(connected_components(edges), "link-components")
-        rest = apart(near, rest)
-        spent += [pairs, edges, rest]
-    if refine:
-        classes = rest.select("cid", "component").distinct()
-        hashes = materialize(refine(classes.select("cid")), "link-hashes")
-        rest = materialize(rarest(hashes, at_least).join(classes, "cid"), "link-rarest")
-        discard(hashes)
-        fit = pairs_fit(at_least)
-    left = rest.select("key", "cid", "n", "pos", "component").alias("l")
-    right = rest.select("key", F.col("cid").alias("cid2"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("component2")).alias("r")
-    cross = left.join(right, "key").where("component < component2").where(fit)
-    cross = cross.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    cross = materialize(cross, "link-cross")
-    more = materialize(verify(cross), "link-edges")
-    if not more.isEmpty():
-        near = materialize(connected_components(edges.unionByName(more)), "link-components")
-    discard(*spent, rest, cross, more)
+        spent += [pairs, edges]
+        if exhaustive or k + 1 < rounds:
+            rest = apart(near, rest)
+            spent.append(rest)
+    if exhaustive:
+        left = rest.select("key", "cid", "n", "pos", "component")
+        right = rest.select("key", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("component2"))
+        cross = materialize(summed(left.join(right, "key").where("component < component2")).join(tested, ["a", "b"], "left_anti"), "link-cross")
+        more = materialize(verify(cross), "link-edges")
+        if not more.isEmpty():
+            near = materialize(connected_components(edges.unionByName(more)), "link-components")
+        spent += [cross, more]
+    discard(*spent)
     return near
 
 
+def overlaps(leader: np.ndarray, members: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which rows of a block are similar to the leader's: a product of sparse rows, by blocks of columns.
+
+    Overlap counts add up block by block; a row falls out once what it has and what its or the leader's later columns
+    can add at most is below the bound of both sizes.
+    """
+    sizes = np.fromiter(map(len, members), np.int64, len(members))
+    need = -(-percent * (sizes + len(leader)) // (100 + percent))
+    flat, of = np.concatenate(members), np.repeat(np.arange(len(members)), sizes)
+    edges = leader[len(leader) * np.arange(1, COLUMN_BLOCKS) // COLUMN_BLOCKS]
+    block = np.searchsorted(edges, flat, "right")
+    counts, later, ahead = np.zeros(len(members), np.int64), sizes.copy(), len(leader)
+    alive = np.minimum(later, ahead) >= need
+    for k in range(COLUMN_BLOCKS):
+        here = (block == k) & alive[of]
+        own, cols = of[here], flat[here]
+        hit = leader[np.minimum(np.searchsorted(leader, cols), len(leader) - 1)] == cols
+        counts += np.bincount(own[hit], minlength=len(members))
+        later -= np.bincount(own, minlength=len(members))
+        ahead = len(leader) - (int(np.searchsorted(leader, edges[k])) if k + 1 < COLUMN_BLOCKS else len(leader))
+        alive &= counts + np.minimum(later, ahead) >= need
+    return alive & (100 * counts >= percent * (sizes + len(leader) - counts))
+
+
 def verify_sets(pairs: DataFrame, homes: DataFrame, make: Callable, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose sets of hashes have a Jaccard similarity of percent / 100.
 
@@ -182,21 +251,24 @@ def verify_sets(pairs: DataFrame, homes: DataFrame, make: Callable, percent: int
     dealt = sets.repartition("to", "salt").sortWithinPartitions("to", "salt", "role")
 
     def run(batches):
-        at, leader = None, None
+        at, leader, names, rows, held = None, None, [], [], 0
+
+        def judged():
+            good = np.array(names, np.int64)[overlaps(leader, rows, percent)] if rows else np.empty(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(good), at[0] if at else 0)), pa.array(good)], names=["a", "b"])
+
         for batch in batches:
-            a_out, b_out = [], []
             for cid, to, salt, role, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and (at != (to, salt) or held > BLOCK_BYTES):
+                    yield judged()
+                    names, rows, held = [], [], 0
                 own = np.frombuffer(raw, np.uint64)
                 if role == 0:
                     at, leader = (to, salt), own
-                elif at == (to, salt):
-                    small, large = sorted((own, leader), key=len)
-                    if len(small) * 100 >= percent * len(large):
-                        spot = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                        both = int((large[spot] == small).sum())
-                        if 100 * both >= percent * (len(small) + len(large) - both):
-                            a_out.append(to)
-                            b_out.append(cid)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+                else:
+                    names.append(cid)
+                    rows.append(own)
+                    held += len(raw)
+        yield judged()
 
     return arrow_map(dealt, run, "a long, b long")
