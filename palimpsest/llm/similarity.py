@@ -22,8 +22,8 @@ from palimpsest.llm.common import arrow_map, connected_components, discard, mate
 
 #: Items (rows, or elements of their arrays) of a frame that a join may broadcast, after they were counted.
 BROADCAST_ITEMS = 1_000_000
-#: Members that one task checks against a leader; bytes of their rows that it holds at once, about; blocks of columns.
-BLOCK, BLOCK_BYTES, COLUMN_BLOCKS = 512, 4 << 20, 4
+#: Members that one task checks against a leader; bytes of rows that it holds at once, about; 4 blocks of columns.
+BLOCK, BLOCK_BYTES, COLUMN_BITS = 512, 4 << 20, 2
 
 
 #: Bytes hashed at once, about; the odd factor of the words' polynomials.
@@ -210,28 +210,31 @@ def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
     return near
 
 
-def overlaps(leader: np.ndarray, members: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which rows of a block are similar to the leader's: a product of sparse rows, by blocks of columns.
+def overlaps(leaders: list[np.ndarray], members: list[np.ndarray], to: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of a block are similar to the leader that `to` names: a product of sparse rows, by blocks of columns.
 
     Overlap counts add up block by block; a row falls out once what it has and what its or the leader's later columns
     can add at most is below the bound of both sizes.
     """
-    sizes = np.fromiter(map(len, members), np.int64, len(members))
-    need = -(-percent * (sizes + len(leader)) // (100 + percent))
-    flat, of = np.concatenate(members), np.repeat(np.arange(len(members)), sizes)
-    edges = leader[len(leader) * np.arange(1, COLUMN_BLOCKS) // COLUMN_BLOCKS]
-    block = np.searchsorted(edges, flat, "right")
-    counts, later, ahead = np.zeros(len(members), np.int64), sizes.copy(), len(leader)
-    alive = np.minimum(later, ahead) >= need
-    for k in range(COLUMN_BLOCKS):
-        here = (block == k) & alive[of]
-        own, cols = of[here], flat[here]
-        hit = leader[np.minimum(np.searchsorted(leader, cols), len(leader) - 1)] == cols
-        counts += np.bincount(own[hit], minlength=len(members))
-        later -= np.bincount(own, minlength=len(members))
-        ahead = len(leader) - (int(np.searchsorted(leader, edges[k])) if k + 1 < COLUMN_BLOCKS else len(leader))
-        alive &= counts + np.minimum(later, ahead) >= need
-    return alive & (100 * counts >= percent * (sizes + len(leader) - counts))
+    n, m = (np.fromiter(map(len, x), np.int64, len(x)) for x in (members, leaders))
+    need = -(-percent * (n + m[to]) // (100 + percent))
+    salts = spread(np.arange(1, len(leaders) + 1, dtype=np.uint64) * FACTOR)  # one table for all leaders' columns
+    rows = [(np.concatenate(x), np.repeat(np.arange(len(x)), k)) for x, k in ((members, n), (leaders, m))]
+    cells = [(flat >> np.uint64(64 - COLUMN_BITS)).astype(np.int8) for flat, _ in rows]
+    (flat, of), (columns, lead) = rows
+    flat, columns = flat ^ salts[to][of], columns ^ salts[lead]
+    counts, later, ahead = np.zeros(len(n), np.int64), n.copy(), m.copy()
+    alive = np.minimum(n, m[to]) >= need
+    for k in range(1 << COLUMN_BITS):
+        here, own = (cells[0] == k) & alive[of], np.sort(columns[cells[1] == k])
+        who = of[here]
+        if len(own):
+            wanted = flat[here]
+            counts += np.bincount(who[own[np.minimum(np.searchsorted(own, wanted), len(own) - 1)] == wanted], minlength=len(n))
+        later -= np.bincount(who, minlength=len(n))
+        ahead -= np.bincount(lead[cells[1] == k], minlength=len(m))
+        alive &= counts + np.minimum(later, ahead[to]) >= need
+    return alive & (100 * counts >= percent * (n + m[to] - counts))
 
 
 def verify_sets(pairs: DataFrame, homes: DataFrame, make: Callable, percent: int) -> DataFrame:
@@ -251,24 +254,27 @@ def verify_sets(pairs: DataFrame, homes: DataFrame, make: Callable, percent: int
     dealt = sets.repartition("to", "salt").sortWithinPartitions("to", "salt", "role")
 
     def run(batches):
-        at, leader, names, rows, held = None, None, [], [], 0
+        at, leaders, tos, names, rows, to, held = None, [], [], [], [], [], 0
 
         def judged():
-            good = np.array(names, np.int64)[overlaps(leader, rows, percent)] if rows else np.empty(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(good), at[0] if at else 0)), pa.array(good)], names=["a", "b"])
+            good = overlaps(leaders, rows, np.array(to, np.int64), percent) if rows else np.empty(0, bool)
+            return pa.RecordBatch.from_arrays([pa.array(np.array(tos, np.int64)[np.array(to, np.int64)][good]), pa.array(np.array(names, np.int64)[good])], names=["a", "b"])
 
         for batch in batches:
-            for cid, to, salt, role, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows and (at != (to, salt) or held > BLOCK_BYTES):
+            for cid, goal, salt, role, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and held > BLOCK_BYTES:
                     yield judged()
-                    names, rows, held = [], [], 0
+                    leaders, tos, names, rows, to, held = leaders[-1:], tos[-1:], [], [], [], 0
                 own = np.frombuffer(raw, np.uint64)
+                held += len(raw)
                 if role == 0:
-                    at, leader = (to, salt), own
-                else:
+                    at = (goal, salt)
+                    leaders.append(own)
+                    tos.append(goal)
+                elif at == (goal, salt):
                     names.append(cid)
                     rows.append(own)
-                    held += len(raw)
+                    to.append(len(leaders) - 1)
         yield judged()
 
     return arrow_map(dealt, run, "a long, b long")
