@@ -1,9 +1,11 @@
 r"""Language ID with a linear-chain conditional random field over the words of a text.
 
-Words are runs of letters, lower-cased. Their features are character pairs and triples, prefixes and suffixes up to
-four bytes, and the languages whose lexicon holds them; the field learns their weights and the transitions between
-languages. It is fitted to a bounded sample of texts, cut to windows of which half are spliced from two texts, so
-that transitions see code-switched text. Forward-backward labels every word of a whole text: its words are cut into
+Words are runs of letters and marks of any script, lower-cased; a run of over 24 bytes, as in scripts without blanks,
+is several words of the chain that overlap by two characters, so every letter is read. Their features are character
+pairs and triples, prefixes and suffixes up to four bytes, and the languages whose lexicon holds them; the field
+learns their weights and the transitions between languages. It is fitted to a bounded sample: about 300 different
+texts of each of the 1,000 commonest languages, 20,000 characters of each at most, cut to windows of which half are
+spliced from two texts, so that transitions see code-switched text. Forward-backward labels every word of a whole text: its words are cut into
 runs whose transfer matrices are multiplied at once, which gives the exact marginals of the whole sequence. A text's
 language is the one with the largest mean marginal, its score that mean.
 
@@ -14,7 +16,9 @@ of the input are not read.
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,27 +30,54 @@ from palimpsest.llm.common import arrow_map, table
 #: Bytes of ASCII letters and of letters beyond ASCII stay; all others part words.
 SPLIT = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 PAIRS, HASHED, WIDTH, RUN = 1 << 16, 1 << 17, 24, 32
-#: Languages that one model can tell apart.
-MOST_LABELS = 1000
+#: Languages that one model can tell apart, the commonest ones; characters of a text that it may be fitted to.
+MOST_LABELS, SAMPLE_CHARS = 1000, 20_000
 #: Words whose scores a worker remembers; beyond it starts anew.
 REMEMBERED = 300_000
 #: Characters of texts whose words are labelled at once, about.
 AT_ONCE = 1 << 20
 
 
+@lru_cache(1 << 16)
+def is_letter(c: str) -> bool:
+    return unicodedata.category(c)[0] in "LM"
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """A long word as words of at most WIDTH bytes that overlap by two characters."""
+    out, some, size = [], [], 0
+    for c in word.decode():
+        raw = c.encode()
+        if size + len(raw) > WIDTH:
+            out.append(b"".join(some))
+            some = some[-2:]
+            size = sum(map(len, some))
+        some.append(raw)
+        size += len(raw)
+    return [*out, b"".join(some)]
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(SPLIT).split()
+    low = (text or "").lower()
+    if not low.isascii() and (odd := [c for c in set(low) if c > "\x7f" and not is_letter(c)]):
+        low = low.translate(dict.fromkeys(map(ord, odd), " "))
+    words = low.encode(errors="replace").translate(SPLIT).split()
+    if words and max(map(len, words)) > WIDTH:
+        words = [p for w in words for p in (pieces(w) if len(w) > WIDTH else (w,))]
+    return words
+
 
+def word_features(words: list[bytes], lexicon: dict[bytes, int], holders: np.ndarray) -> np.ndarray:
+    """Feature numbers of each word of at most WIDTH bytes, padded with the last number, whose weights are 0.
 
-def word_features(words: list[bytes], lexicon: dict[bytes, int], n_labels: int) -> np.ndarray:
-    """Feature numbers of each word, padded with the last number, whose weights are 0."""
+    lexicon: the row of `holders` (lists of words x languages, row 0 empty) that has the languages of a word.
+    """
+    n_labels = holders.shape[1]
     empty = PAIRS + HASHED + n_labels
     n = len(words)
-    # long words keep their two ends
-    cut = [w if len(w) <= WIDTH else w[: WIDTH // 2] + w[-WIDTH // 2 :] for w in words]
-    size = np.fromiter(map(len, cut), np.int64, n)
+    size = np.fromiter(map(len, words), np.int64, n)
     m = np.zeros((n, WIDTH + 2), np.int64)
-    m[:, 1:-1] = np.array(cut, f"S{WIDTH}").view(np.uint8).reshape(n, WIDTH)
+    m[:, 1:-1] = np.array(words, f"S{WIDTH}").view(np.uint8).reshape(n, WIDTH)
     m[:, 0] = 1
     m[np.arange(n), size + 1] = 2
     at = np.arange(WIDTH + 2)[None, :]
@@ -58,7 +89,7 @@ def word_features(words: list[bytes], lexicon: dict[bytes, int], n_labels: int)
     prefix = PAIRS + mix(m[:, 1], m[:, 2], m[:, 3], m[:, 4], np.int64(3))
     suffix = PAIRS + mix(last[:, 1], last[:, 2], last[:, 3], m[np.arange(n), np.maximum(size - 3, 0)], np.int64(5))
     known = np.fromiter((lexicon.get(w, 0) for w in words), np.int64, n)
-    lex = np.where(known[:, None] >> np.arange(min(n_labels, 62))[None, :] & 1, PAIRS + HASHED + np.arange(min(n_labels, 62))[None, :], empty)
+    lex = np.where(holders[known], PAIRS + HASHED + np.arange(n_labels)[None, :], empty)
     return np.concatenate([pairs, triples, prefix[:, None], suffix[:, None], lex], 1)
 
 
@@ -66,6 +97,7 @@ def word_features(words: list[bytes], lexicon: dict[bytes, int], n_labels: int)
 class Field:
     labels: list[str]
     lexicon: dict[bytes, int]
+    holders: np.ndarray  # rows that words of the lexicon name x labels
     weights: np.ndarray  # features x labels
     transitions: np.ndarray  # labels x labels, logarithms
     start: np.ndarray
@@ -75,10 +107,11 @@ class Field:
     def emissions(self, words: list[bytes]) -> np.ndarray:
         """Score of each label for each distinct word, as exponentials of at most 1."""
         out = np.empty((len(words), len(self.labels)), np.float32)
-        for i in range(0, len(words), 20_000):
-            f = word_features(words[i : i + 20_000], self.lexicon, len(self.labels))
+        some = max(64, 1_200_000 // (60 + len(self.labels)))
+        for i in range(0, len(words), some):
+            f = word_features(words[i : i + some], self.lexicon, self.holders)
             s = sum(self.weights[f[:, j]] for j in range(f.shape[1]))
-            out[i : i + 20_000] = np.exp(s - s.max(1, keepdims=True))
+            out[i : i + some] = np.exp(s - s.max(1, keepdims=True))
         return np.maximum(out, 1e-6)
 
     def rows_of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
@@ -163,7 +196,11 @@ def fit(texts: list[tuple[str, str]], seed: int = 5, window: int = 24, windows_e
             seen.setdefault(w, np.zeros(k))[y] += 1
     per = np.maximum(np.bincount([y for _, y in docs], minlength=k), 1)
     # a word is in a language's lexicon if three of its texts have it, half as often at least as anywhere
-    lexicon = {w: int(sum(1 << i for i in np.nonzero((c >= 3) & (c / per >= 0.5 * (c / per).max()))[0] if i < 62)) for w, c in seen.items() if c.max() >= 3}
+    sets: dict[tuple, int] = {(): 0}
+    lexicon = {w: sets.setdefault(tuple(np.flatnonzero((c >= 3) & (c / per >= 0.5 * (c / per).max())).tolist()), len(sets)) for w, c in seen.items() if c.max() >= 3}
+    holders = np.zeros((len(sets), k), bool)
+    for held, row in sets.items():
+        holders[row, list(held)] = True
     cuts = [(words[i : i + window], y) for words, y in docs for i in rng.choice(max(1, len(words) - window + 1), min(windows_each, max(1, len(words) // window)), replace=False)]
     mates = rng.permutation(len(cuts))
     sequences = []
@@ -173,7 +210,7 @@ def fit(texts: list[tuple[str, str]], seed: int = 5, window: int = 24, windows_e
         mixed = words[:half] + other[half:window]
         sequences.append((mixed[:window], ([y] * half + [z] * len(other[half:window]))[:window]))
     vocabulary = {w: i for i, w in enumerate(sorted({w for s, _ in sequences for w in s}))}
-    features = word_features(list(vocabulary), lexicon, k)
+    features = word_features(list(vocabulary), lexicon, holders)
     size = PAIRS + HASHED + k + 1
     w, w2 = np.zeros((size, k)), np.full((size, k), 1e-2)
     tr, tr2 = np.zeros((k, k)), np.full((k, k), 1.0)
@@ -218,26 +255,26 @@ def fit(texts: list[tuple[str, str]], seed: int = 5, window: int = 24, windows_e
             g_st = miss[:, 0].sum(0) / n
             st2 += g_st * g_st
             st += 0.3 * g_st / np.sqrt(st2)
-    return Field(labels, lexicon, w.astype(np.float32), tr, st)
+    return Field(labels, lexicon, holders, w.astype(np.float32), tr, st)
+
 
+def drawn(rows: DataFrame, key: list[str], each: int) -> DataFrame:
+    """About `each` of the rows (text, label, ...) of each of the commonest labels, by a hash of their keys: different (text, label) rows.
 
-def drawn_shares(label: Column, key: Column, counts: dict[str, int], each: int) -> Column:
-    """True for about `each` rows of every label, picked by a hash of the row's key."""
-    if len(counts) > MOST_LABELS:
-        raise ValueError(f"{len(counts)} labels; at most {MOST_LABELS} can be learned")
-    drawn = F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    share = F.lit(0.0)
-    for name, n in sorted(counts.items()):
-        share = F.when(label == name, F.lit(each / n)).otherwise(share)
-    return drawn < share
+    Whatever stands in the input, no more than twice as many rows come back, and SAMPLE_CHARS characters of each.
+    """
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LABELS)
+    told = counts.collect()
+    place = F.pmod(F.xxhash64(*key), F.lit(1 << 32)) / float(1 << 32)
+    share = F.create_map(*[F.lit(x) for r in told for x in (r["label"], each / r["n"])])[F.col("label")] if told else F.lit(None).cast("double")
+    some = rows.where(place < share).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "label")
+    return some.distinct().limit(2 * each * max(1, len(told)) + 100)
 
 
 def labelled_sample(docs: DataFrame, text_col: str, label_col: str, key: Column, each: int) -> list[tuple[str, str]]:
-    """About `each` rows of every label for the driver; they are picked where they are read, texts are not shuffled."""
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    counts = {r["label"]: r["count"] for r in rows.groupBy(F.col(label_col).alias("label")).count().collect()}
-    picked = rows.where(drawn_shares(F.col(label_col), key, counts, each))
-    return [(r["text"], r["label"]) for r in picked.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).collect()]
+    """About `each` texts of every label for the driver; they are picked where they are read, others are not shuffled."""
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), key.alias("key"))
+    return [(r["text"], r["label"]) for r in drawn(rows, ["key", "text"], each).collect()]
 
 
 def portions(texts: list[str | None]):

@@ -1,7 +1,9 @@
 """Mixing sources to target weights by Pareto order sampling; DataFrame functions only.
 
-A source's ratio of target to size gives each of its documents an expected number of copies. The whole part is
-certain. The rest is sampled: documents stand in the order of odds(u) / odds(p), u a number drawn from the
+Documents have weights; by default longer documents count more (1 below 32 words, 2 below 128, 3 below 512, else 4). A
+document's expected number of copies is its weight times a unit, 3 at most; a source's unit is such that its expected
+words are its target, so what the limit takes from heavy documents goes to the lighter ones. The whole part is
+certain. The rest is sampled with unequal probabilities: documents stand in the order of odds(u) / odds(p), u a number drawn from the
 document's id and p its inclusion probability, and are taken until the source's target is met. Ranks need no sort
 of a source: sums over 4,096 cells of the order, then over 4,096 cells of the cell where the target falls, leave
 about one row in 16 million to rank, so a hot source is never in one task.
@@ -13,7 +15,7 @@ table gives an empty result. Extra columns of the input are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import WORD, materialize, table
@@ -39,24 +41,40 @@ def source_targets(sized: DataFrame, weights=(5, 2, 1), most: float = 3.0) -> Da
     return filled.select("source", "source_size", F.least(F.col("cap"), share * F.col("weight")).alias("target"))
 
 
+def size_weight(size: Column) -> Column:
+    return F.when(size < 32, 1.0).when(size < 128, 2.0).when(size < 512, 3.0).otherwise(4.0)
+
+
+def units(sized: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """(source, unit): how many copies a unit of weight stands for, so that the expected words are the target."""
+    per = sized.groupBy("source", "w").agg(F.sum("size").alias("words")).alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.*", "target")
+    down = Window.partitionBy("source").orderBy(F.col("w").desc())
+    heavier = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lighter = F.sum(F.col("words") * F.col("w")).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    level = per.withColumn("unit", F.when(lighter > 0, (F.col("target") - heavier * F.lit(float(most))) / lighter))
+    # the heaviest weight that stays below the limit; none: every document is taken as often as it may be
+    best = F.max(F.when(F.col("unit") * F.col("w") <= most, F.struct("w", "unit")))["unit"]
+    return level.groupBy("source").agg(F.when(F.sum("words") > 0, F.coalesce(best, F.lit(float("inf")))).otherwise(0.0).alias("unit"))
+
+
 def pareto_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weight_col: str | None = None, weights=(5, 2, 1), most: int = 3, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies, taken, and the columns of `keep`.
 
-    weight_col: documents' own relative weights within their source (positive; null: 1); without it all are equal.
+    weight_col: documents' own relative weights within their source (positive, of few values; null: 1); without it
+    those of their sizes.
     Columns to keep are read once more in the last step and take part in no shuffle, but for the few rows to rank.
     """
-    weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
+    weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else None
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double")
     kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
     measured = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ((drawn + 0.5) / float(1 << 48)).alias("u"), weight.alias("w"), *kept,
+        ((drawn + 0.5) / float(1 << 48)).alias("u"), *([weight.alias("w")] if weight_col else []), *kept,
     )
+    measured = measured if weight_col else measured.withColumn("w", size_weight(F.col("size")))
     sized = materialize(measured.drop(*[f"kept_{i}" for i in range(len(keep))]), "mix-sizes")
-    # per source: how many copies a unit of weight stands for
-    means = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("w")).alias("weighed"))
-    goal = source_targets(sized, weights, most).alias("g").join(means.alias("m"), F.col("g.source").eqNullSafe(F.col("m.source"))).select("g.*", F.when(F.col("weighed") > 0, F.col("target") / F.col("weighed")).otherwise(0.0).alias("unit"))
+    goal = source_targets(sized, weights, most).alias("g").join(units(sized, source_targets(sized, weights, most), most).alias("m"), F.col("g.source").eqNullSafe(F.col("m.source"))).select("g.*", "unit")
     goal = materialize(goal, "mix-goals")
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
     expected = F.least(F.col("unit") * F.col("w"), F.lit(float(most)))
@@ -100,19 +118,25 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH sized AS (
+WITH counted AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          (('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::UBIGINT::DOUBLE + 0.5e0) / 281474976710656e0 AS u
   FROM documents),
+sized AS (SELECT *, CASE WHEN size < 32 THEN 1e0 WHEN size < 128 THEN 2e0 WHEN size < 512 THEN 3e0 ELSE 4e0 END AS w FROM counted),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight, source_size * 3e0 AS cap FROM per),
 levels AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))
     / sum(weight) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 goal AS (SELECT source, source_size, least(cap, weight * (SELECT coalesce(arg_min(level, cap / weight), 'infinity'::DOUBLE) FROM levels WHERE cap >= level * weight)) AS target FROM levels),
+classes AS (SELECT s.source, w, sum(size)::BIGINT AS words, any_value(target) AS target FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source GROUP BY s.source, w),
+steps AS (
+  SELECT *, (target - coalesce(sum(words) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 3e0)
+    / nullif(sum(words * w) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0e0) AS unit FROM classes),
+unit AS (SELECT source, CASE WHEN sum(words) > 0 THEN coalesce(arg_max(unit, w) FILTER (unit * w <= 3e0), 'infinity'::DOUBLE) ELSE 0e0 END AS unit FROM steps GROUP BY source),
 expected AS (
-  SELECT s.doc_id, s.source, s.size, s.u, g.source_size, g.target, least(CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0e0 END, 3e0) AS e
-  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
+  SELECT s.doc_id, s.source, s.size, s.u, g.source_size, g.target, least(unit * w, 3e0) AS e
+  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source JOIN unit v ON s.source IS NOT DISTINCT FROM v.source),
 ranked AS (SELECT *, floor(e)::BIGINT AS whole, e - floor(e) AS p FROM expected),
 placed AS (
   SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS rest,

@@ -156,6 +156,28 @@ def test_mix(spark, messy, messy_docs, no_docs):
     assert mixing.pareto_mix(no_docs).count() == 0
 
 
+def test_units_meet_targets_by_hand(spark):
+    """The unit at which min(unit * weight, 3) copies of all documents are a source's target, found by bisection."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.choice((3, 50, 200, 900))), f"s{i % 5}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.pareto_mix(docs).collect()
+    weight = lambda n: 1 if n < 32 else 2 if n < 128 else 3 if n < 512 else 4
+    several = False
+    for s in {r["source"] for r in out}:
+        own = [r for r in out if r["source"] == s]
+        low, high = 0.0, 10.0
+        for _ in range(80):
+            mid = (low + high) / 2
+            low, high = (low, mid) if sum(min(mid * weight(r["size"]), 3) * r["size"] for r in own) > own[0]["target"] else (mid, high)
+        for r in own:
+            e = min(low * weight(r["size"]), 3)
+            assert int(e - 1e-6) <= r["copies"] <= int(e + 1e-6) + 1
+        several |= len({round(min(low * weight(r["size"]), 3) % 1, 6) for r in own}) > 1
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 900
+    assert several  # inclusion probabilities differ within a source
+
+
 def test_weighted_mix_prefers_heavier_documents(spark):
     rows = spark.range(4000).selectExpr("id AS doc_id", "'a b c' AS text", "if(id < 3000, 's', 't') AS source", "if(id % 2 = 0, 3.0, 1.0) AS w")
     out = mixing.pareto_mix(rows, weight_col="w", weights=(1, 3))

@@ -131,6 +131,48 @@ def test_folds(spark):
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 4 for r in rows)
 
 
-def test_too_many_labels():
-    with pytest.raises(ValueError):
-        language.drawn_shares(F.lit("x"), F.lit(1), {str(i): 1 for i in range(1001)}, 5)
+def test_words_of_any_script():
+    han = "".join(chr(0x4E00 + i) for i in range(200))
+    words = language.words_of(f"Ab\u00a0c\u3000d «e» x-y {han} {'q' * 60} १न्न")
+    assert words[:6] == [b"ab", b"c", b"d", b"e", b"x", b"y"] and words[-1] == "न्न".encode()
+    assert all(len(w) <= language.WIDTH for w in words) and set(han) <= set(b"".join(words).decode())
+    assert language.words_of(han[:80] + "一" + han[81:]) != language.words_of(han)
+
+
+def test_many_languages_and_bounded_samples(spark, monkeypatch):
+    names = [f"l{i:02}" for i in range(70)]
+    ends = {n: (chr(97 + i // 26) + chr(97 + i % 26)) * 2 for i, n in enumerate(names)}
+    text = lambda n, j: " ".join("w" + "kmnprstvz"[(j * 7 + m) % 9] + ends[n] for m in range(40))
+    rows = [(j, text(n, j), n) for n in names for j in range(8)] + [(1, "the same", "l00")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.trained_on(docs, F.lit(False))
+    assert len(model.labels) == 70
+    told = language.identify(docs.where("text <> 'the same'"), model, keep=("lang",))
+    assert told.where("lang = lang_pred").count() > 0.95 * 560
+    sample = language.labelled_sample(docs, "text", "lang", F.col("doc_id"), 300)
+    assert len(sample) == len(set(sample)) <= 561
+    monkeypatch.setattr(language, "MOST_LABELS", 3)  # the commonest ones
+    assert {n for _, n in language.labelled_sample(docs, "text", "lang", F.col("doc_id"), 300)} <= {"l00", "l01", "l02"}
+    long = spark.createDataFrame([(1, "ab " * 20_000, "en")], "doc_id long, text string, lang string")
+    assert [len(t) for t, _ in language.labelled_sample(long, "text", "lang", F.col("doc_id"), 300)] == [language.SAMPLE_CHARS]
+
+
+def test_quality_sizes_by_direct_calls(spark, messy_docs):
+    """Scores from sizes that zstandard tells block by block."""
+    import zstandard
+
+    rng = np.random.default_rng(4)
+    good = ["".join(rng.choice(["clear ", "useful ", "words ", "here "], 60)) for _ in range(40)]
+    bad = ["".join(rng.choice(["buy ", "now!! ", "$$$ ", "click "], 60)) for _ in range(40)]
+    model = quality_classifier.fit([(t, "1") for t in good] + [(t, "0") for t in bad])
+    packers = [zstandard.ZstdCompressor(level=quality_classifier.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    rows = {(r["doc_id"], r["text"]) for r in messy_docs.collect()}
+    want = set()
+    for d, t in rows:
+        raw = (t or "").encode()
+        a, b = (sum(len(p.compress(raw[i : i + 256])) for i in range(0, len(raw), 256)) for p in packers)
+        x = (b - a) / len(raw) if raw else 0.0
+        want.add((d, round(1 / (1 + np.exp(-(model.slope * x + model.intercept))), 9)))
+    got = {(r["doc_id"], round(r["score"], 9)) for r in quality_classifier.score_quality(messy_docs, model).collect()}
+    assert got == want
+    assert model.score(np.array([model.difference(good[0]), model.difference(bad[0])])).round().tolist() == [1.0, 0.0]
