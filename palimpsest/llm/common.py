@@ -60,6 +60,17 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+#: Texts hashed at once.
+SLICE = 256
+
+
+def sliced(batches):
+    """Arrow batches in parts of SLICE rows, whose arrays take little memory."""
+    for batch in batches:
+        for k in range(0, len(batch), SLICE):
+            yield batch.slice(k, SLICE)
+
+
 #: Edges that one task of a round takes, about.
 EDGES_A_TASK = 200_000
 

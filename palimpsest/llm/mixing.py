@@ -62,7 +62,7 @@ def pareto_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="so
 
     weight_col: documents' own relative weights within their source (positive, of few values; null: 1); without it
     those of their sizes.
-    Columns to keep are read once more in the last step and take part in no shuffle, but for the few rows to rank.
+    Columns to keep are written once beside the sizes and take part in no shuffle, but for the few rows to rank.
     """
     weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else None
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double")
@@ -73,8 +73,10 @@ def pareto_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="so
         ((drawn + 0.5) / float(1 << 48)).alias("u"), *([weight.alias("w")] if weight_col else []), *kept,
     )
     measured = measured if weight_col else measured.withColumn("w", size_weight(F.col("size")))
-    sized = materialize(measured.drop(*[f"kept_{i}" for i in range(len(keep))]), "mix-sizes")
-    goal = source_targets(sized, weights, most).alias("g").join(units(sized, source_targets(sized, weights, most), most).alias("m"), F.col("g.source").eqNullSafe(F.col("m.source"))).select("g.*", "unit")
+    measured = materialize(measured, "mix-sizes")  # sizes are counted once
+    sized = measured.drop(*[f"kept_{i}" for i in range(len(keep))])
+    targets = materialize(source_targets(sized, weights, most), "mix-targets")
+    goal = targets.alias("g").join(units(sized, targets, most).alias("m"), F.col("g.source").eqNullSafe(F.col("m.source"))).select("g.*", "unit")
     goal = materialize(goal, "mix-goals")
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
     expected = F.least(F.col("unit") * F.col("w"), F.lit(float(most)))

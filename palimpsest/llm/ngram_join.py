@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_map, discard, materialize, table
+from palimpsest.llm.common import arrow_map, discard, materialize, sliced, table
 from palimpsest.llm.similarity import class_of, link_classes, offered, packed, sets_of, small_or_shuffled, verify_sets
 
 CELL_BITS, PARTS = 20, 32
@@ -39,7 +39,7 @@ def document_classes(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         counts, seen = np.zeros(1 << CELL_BITS, np.int64), set()
-        for batch in batches:
+        for batch in sliced(batches):
             sets = sets_of(batch.column(2).to_pylist(), width)
             cids = [class_of(s) if len(s) else None for s in sets]
             checks = [class_of(s, 1) if len(s) else None for s in sets]
@@ -82,7 +82,7 @@ def first_columns(docs: DataFrame, counts: np.ndarray, width: int, percent: int,
 
     def run(batches):
         common, seen = shared.value, set()
-        for batch in batches:
+        for batch in sliced(batches):
             keys, cids, places = [], [], []
             for s in sets_of(batch.column(2).to_pylist(), width):
                 cid = class_of(s)
@@ -120,7 +120,7 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80, id_col="do
         texts = own.alias("d").join(where.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.home_id")) & (F.col("d.row_hash") == F.col("w.home_hash")))
 
         def run(batches):
-            for batch in batches:
+            for batch in sliced(batches):
                 out: list[tuple] = []
                 held = 0
                 sets = sets_of(batch.column(1).to_pylist(), width)
@@ -144,7 +144,7 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80, id_col="do
     least = classes.select("cid", "doc_id").join(near, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     named = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = materialize(least.join(named, "component").select("cid", "component", "component_id"), "ngram-named")
-    discard(postings)
+    discard(postings)  # rows are still read
     return rows.join(by_class, "cid", "left").select("doc_id", "row_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
