@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import canon, text_of, tokens
+from palimpsest.sources.shared import written
 
 K1, B = 1.2, 0.75
 
@@ -57,8 +58,8 @@ def query_terms(questions: DataFrame, canonical: bool = False) -> DataFrame:
 
 def scores(docs: DataFrame, questions: DataFrame, canonical: bool = False, text: str = "text", by: tuple[str, ...] = (), k1: float = K1, b: float = B) -> DataFrame:
     """(by..., qid, id, score) of documents that share a term with the question."""
-    asked = query_terms(questions, canonical)
-    rows = tokenized(docs, canonical, text, by)
+    asked = written(query_terms(questions, canonical), "query-terms")
+    rows = written(tokenized(docs, canonical, text, by), "tokens")  # read for sizes and for postings
     own = postings(rows, asked, by)
     w = weighted(own, inverse_frequency(own, corpus_size(rows, by), by), k1, b, by)
     return w.join(asked, "term").groupBy(*by, "qid", "id").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import contains_answer
+from palimpsest.sources.shared import written
 
 
 def recall_at(k: int) -> Column:
@@ -39,10 +40,21 @@ def evaluate(rankings: DataFrame, questions: DataFrame, chunks: DataFrame, k: in
 
 def latency(samples: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., p50, p95): the median, and the value at place floor(0.95 n), from 0, in order."""
-    of = Window.partitionBy(*by)
-    ranked = samples.select(*by, F.col(value).cast("double").alias("v")).where("v is not null")
-    ranked = ranked.withColumn("at", F.row_number().over(of.orderBy("v"))).withColumn("n", F.count(F.lit(1)).over(of))
-    return ranked.groupBy(*by).agg(F.median("v").alias("p50"), F.max(F.when(F.col("at") == F.floor(F.col("n") * 95 / 100) + 1, F.col("v"))).alias("p95"))
+    # values are counted, dealt by range, and their places told from sums over ranges: no group is in one task
+    held = samples.select(*by, F.col(value).cast("double").alias("v")).where("v is not null").groupBy(*by, "v").agg(F.count(F.lit(1)).alias("times"))
+    held = written(held.repartitionByRange(*by, "v").withColumn("range", F.spark_partition_id()), "latency")
+    per = held.groupBy(*by, "range").agg(F.sum("times").alias("times"))  # a row for each range and group in it
+    order = Window.partitionBy(*by).orderBy("range")
+    per = per.select(*by, "range", (F.sum("times").over(order) - F.col("times")).alias("before"), F.sum("times").over(Window.partitionBy(*by)).alias("n"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"h.{c}").eqNullSafe(F.col(f"p.{c}"))
+    placed = held.alias("h").join(F.broadcast(per.alias("p")), same & (F.col("h.range") == F.col("p.range"))).select(*[F.col(f"h.{c}") for c in by], "h.range", "v", "times", "before", "n")
+    upto = F.col("before") + F.sum("times").over(Window.partitionBy(*by, "range").orderBy("v"))
+    placed = placed.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("times"))
+    at = lambda place: F.max(F.when((F.col("from") <= place) & (place < F.col("upto")), F.col("v")))
+    n = F.col("n")
+    return placed.groupBy(*by).agg(((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("p50"), at(F.floor(n * 95 / 100)).alias("p95"))
 
 
 def compare(metrics: DataFrame, left: str, right: str, measure: str = "recall_at_5", by: tuple[str, ...] = ("condition",)) -> DataFrame:

@@ -112,26 +112,46 @@ def toy_decoder(vocabulary: int = 64, width: int = 16, layers: int = 2, heads: i
 
 
 class Cache:
-    """Keys and values of a sequence so far, as they come back from storage of a width."""
+    """Keys and values of a sequence so far, held in storage of a width: floats, halves, or codes with a step and a low.
+
+    Four-bit codes stand two to a byte, the earlier in the lower half. Values are restored whenever they are read.
+    """
 
     def __init__(self, bits: int = 32):
-        self.bits, self.held = bits, {}
+        self.bits = bits
+        self.parts: dict[tuple[int, str], list[tuple[np.ndarray, ...]]] = {}
 
-    def stored(self, x: np.ndarray) -> np.ndarray:
-        if self.bits == 32:
-            return x
-        if self.bits == 16:
-            return x.astype(np.float16).astype(np.float32)
+    def stored(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        if self.bits >= 16:
+            return (x.astype(np.float16 if self.bits == 16 else np.float32),)
         levels = 2**self.bits - 1
-        low, high = x.min(-1, keepdims=True), x.max(-1, keepdims=True)
-        step = (high - low) / np.float32(levels)
-        step = np.where(step == 0, np.float32(1e-8), step)
-        return np.clip(np.rint((x - low) / step), 0, levels) * step + low
+        low = x.min(-1, keepdims=True)
+        step = (x.max(-1, keepdims=True) - low) / np.float32(levels)
+        step[step == 0] = 1e-8
+        codes = np.clip(np.rint((x - low) / step), 0, levels).astype(np.uint8)
+        if self.bits == 4:
+            codes = codes[..., ::2] | codes[..., 1::2] << 4
+        return codes, step.astype(np.float32), low.astype(np.float32)
+
+    def restored(self, part: tuple[np.ndarray, ...]) -> np.ndarray:
+        if len(part) == 1:
+            return part[0].astype(np.float32)
+        codes, step, low = part
+        if self.bits == 4:
+            codes = np.stack([codes & 15, codes >> 4], -1).reshape(*codes.shape[:-1], -1)
+        return codes * step + low
 
     def add(self, layer: int, side: str, x: np.ndarray) -> np.ndarray:
-        x = self.stored(x)
-        self.held[layer, side] = np.concatenate([self.held[layer, side], x], 1) if (layer, side) in self.held else x
-        return self.held[layer, side]
+        """Takes further tokens of a layer and gives back all, as they come out of storage."""
+        held = self.parts.setdefault((layer, side), [])
+        held.append(self.stored(x))
+        if len(held) > 16:  # few large parts, not many small ones
+            held[:] = [tuple(np.concatenate(x, 1) for x in zip(*held, strict=True))]
+        return np.concatenate([self.restored(p) for p in held], 1)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for held in self.parts.values() for p in held for x in p)
 
 
 def decode(ids: list[int], w: dict, cache: Cache, past: int = 0) -> np.ndarray:
@@ -150,24 +170,25 @@ def decode(ids: list[int], w: dict, cache: Cache, past: int = 0) -> np.ndarray:
     return layer_norm(x, w["ln.gain"], w["ln.shift"], 1e-5) @ w["word"].T
 
 
-def teacher_forced(prefill: list[int], held_out: list[int], w: dict, bits: int) -> list[tuple[int, float, int]]:
-    """(step, nll, top) for each held-out token; the first is told from the prefill's last logits."""
+def teacher_forced(prefill: list[int], held_out: list[int], w: dict, bits: int) -> list[tuple[int, float, int, int]]:
+    """(step, nll, top, bytes that the cache holds after it) for each held-out token; the first is told from the prefill's last logits."""
     cache, out = Cache(bits), []
     logits = decode(prefill, w, cache)[-1]
     for step, token in enumerate(held_out):
-        out.append((step, float(-log_softmax(logits)[token]), int(logits.argmax())))
+        nll, top = float(-log_softmax(logits)[token]), int(logits.argmax())
         logits = decode([token], w, cache, len(prefill) + step)[-1]
+        out.append((step, nll, top, cache.nbytes))
     return out
 
 
 def decoded_steps(sequences: DataFrame, weights: dict) -> DataFrame:
-    """(seq_id, bits, step, nll, top) of sequences (seq_id, bits, prefill, held_out); each is one sequential task."""
+    """(seq_id, bits, step, nll, top, bytes) of sequences (seq_id, bits, prefill, held_out); each is one sequential task."""
     shared = sequences.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         for batch in batches:
             rows = [(r["seq_id"], r["bits"], *s) for r in batch.to_pylist() for s in teacher_forced(r["prefill"], r["held_out"], shared.value, r["bits"])]
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, types, strict=True)], names=["seq_id", "bits", "step", "nll", "top"])
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, types, strict=True)], names=["seq_id", "bits", "step", "nll", "top", "bytes"])
 
-    return sequences.select("seq_id", "bits", "prefill", "held_out").mapInArrow(run, "seq_id long, bits int, step int, nll double, top int")
+    return sequences.select("seq_id", "bits", "prefill", "held_out").mapInArrow(run, "seq_id long, bits int, step int, nll double, top int, bytes long")

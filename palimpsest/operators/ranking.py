@@ -70,6 +70,20 @@ def rank_all(score_rows: DataFrame, ids: DataFrame, qids: DataFrame, by: tuple[s
     return filled.withColumn("rank", best_first(by))
 
 
+def filled(score_rows: DataFrame, ids: DataFrame, qids: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Scores, and of what has none the ids that a query's first k may need: the least ones, with a score of 0.
+
+    At most twice k ids are looked at for a query that fewer than k ids have a score for, none for others.
+    """
+    few = score_rows.groupBy(*by, "qid").agg(F.count(F.when(F.col("score") > 0, 1)).alias("n"))
+    least = ids.select(*by, "id").withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("at") <= 2 * k).drop("at")
+    short = qids.select("qid").crossJoin(F.broadcast(ids.select(*by).distinct())) if by else qids.select("qid")  # a row per condition
+    short = short.join(few, [*by, "qid"], "left").where(F.coalesce("n", F.lit(0)) < k).drop("n")
+    more = (short.join(least, list(by)) if by else short.crossJoin(F.broadcast(least))).withColumn("score", F.lit(0.0))  # 2 k rows
+    more = more.join(score_rows.select(*by, "qid", "id"), [*by, "qid", "id"], "left_anti")
+    return score_rows.unionByName(more.select(*score_rows.columns))
+
+
 def top_k(score_rows: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., qid, id, score, rank) of the first k; the window keeps k rows of a query in each task."""
     return score_rows.withColumn("rank", best_first(by)).where(F.col("rank") <= k)

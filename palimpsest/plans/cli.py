@@ -5,13 +5,15 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.operators import kv, models, noise
 from palimpsest.plans import degradation, probe, report
 from palimpsest.sources import corpus
+from palimpsest.sources.shared import written
 
 
-def kv_table(spark: SparkSession, prefill: int = 96, decode: int = 32):
+def kv_table(spark: SparkSession, prefill: int = 768, decode: int = 64):
     """Perplexity, agreement and memory by bit width, of the toy decoder over the corpus's text."""
     w = models.toy_decoder(longest=prefill + decode + 1)
     size = len(w["word"])
@@ -19,9 +21,8 @@ def kv_table(spark: SparkSession, prefill: int = 96, decode: int = 32):
     ids = [i % size for i in models.hashed_ids(text, 1 << 16)]
     ids = (ids * (-(-(prefill + decode) // len(ids))))[: prefill + decode]
     rows = spark.createDataFrame([(0, b, ids[:prefill], ids[prefill:]) for b in kv.BITS], "seq_id long, bits int, prefill array<int>, held_out array<int>")
-    tokens = kv.bytes_per_token(spark, w["layers"], w["heads"], w["word"].shape[1] // w["heads"])
-    mb = tokens.selectExpr("bits", f"bytes_per_token * {prefill + decode} / 1e3D AS mb")
-    return kv.summary(models.decoded_steps(rows.repartition(len(kv.BITS)), w), mb)
+    steps = written(models.decoded_steps(rows.repartition(len(kv.BITS)), w), "kv-steps")
+    return kv.summary(steps, steps.groupBy("bits").agg((F.max("bytes") / 1e3).alias("mb")))  # as measured
 
 
 def main(args: list[str] | None = None) -> None:
@@ -29,8 +30,8 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("what", choices=["curve", "kv", "probe", "corpus", "noise"])
     parser.add_argument("mode", nargs="?", default="hybrid")
     parser.add_argument("--quick", action="store_true")
-    parser.add_argument("--prefill", type=int, default=96)
-    parser.add_argument("--decode", type=int, default=32)
+    parser.add_argument("--prefill", type=int, default=768)
+    parser.add_argument("--decode", type=int, default=64)
     parser.add_argument("--json")
     parser.add_argument("--markdown")
     told = parser.parse_args(args)
@@ -45,7 +46,10 @@ def main(args: list[str] | None = None) -> None:
                 f.write(report.markdown(rows, about))
         report.show(rows)
     elif told.what == "kv":
-        report.show(kv_table(spark, told.prefill, told.decode).orderBy("bits"))
+        rows = kv_table(spark, told.prefill, told.decode).orderBy("bits").persist()
+        if told.json:
+            report.write_json(rows, told.json, report.meta(spark, prefill=told.prefill, decode=told.decode))
+        report.show(rows)
     elif told.what == "probe":
         print(probe.probe(spark, told.mode))
     elif told.what == "corpus":

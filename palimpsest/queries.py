@@ -10,6 +10,7 @@ from palimpsest.functions.text import canon, contains_answer, text_of, tokens
 from palimpsest.operators import bm25, kv, metrics, models, noise, ranking
 from palimpsest.plans import cli, degradation
 from palimpsest.sources import corpus, fixtures
+from palimpsest.sources.shared import written
 from palimpsest.streaming import rows as stream_rows
 
 QUERIES: dict = {}
@@ -53,13 +54,18 @@ S_QUESTIONS = """gold AS (SELECT item_id AS qid, b.text, min(doc_id) AS gold_chu
 questions AS (SELECT qid, array_to_string(string_split(text, ' ')[1:12], ' ') AS question, array_to_string(string_split(text, ' ')[13:15], ' ') AS answer, gold_chunk_id FROM gold)"""
 
 
-def s_bm25(name: str, canonical: bool = False) -> str:
+def s_index(name: str, canonical: bool = False) -> str:
     of = (lambda x: sql_tokens(sql_canon(x))) if canonical else sql_tokens
     return f"""{name}_t AS (SELECT doc_id AS id, {of("text")} AS t FROM documents),
 {name}_size AS (SELECT count(*) AS n, CASE WHEN avg(len(t)) > 0 THEN avg(len(t)) ELSE 1e0 END AS avgdl FROM {name}_t),
 {name}_p AS (SELECT id, len(t) AS dl, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM {name}_t) GROUP BY ALL),
 {name}_df AS (SELECT term, count(*) AS df, ln(1e0 + (n - count(*) + 0.5e0) / (count(*) + 0.5e0)) AS idf FROM {name}_p, {name}_size GROUP BY term, n),
-{name}_w AS (SELECT id, term, tf, tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl)) * idf AS w FROM {name}_p JOIN {name}_df USING (term), {name}_size),
+{name}_w AS (SELECT id, term, tf, tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl)) * idf AS w FROM {name}_p JOIN {name}_df USING (term), {name}_size)"""
+
+
+def s_bm25(name: str, canonical: bool = False) -> str:
+    of = (lambda x: sql_tokens(sql_canon(x))) if canonical else sql_tokens
+    return f"""{s_index(name, canonical)},
 {name}_q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({of("question")}) AS term FROM questions) GROUP BY ALL),
 {name}_s AS (SELECT qid, id, sum(qtf * w) AS score FROM {name}_w JOIN {name}_q USING (term) GROUP BY ALL)"""
 
@@ -84,13 +90,21 @@ def dense_over_chunks(spark, sf_dir, questions) -> DataFrame:
     return ranking.dense_scores(own, question_vectors(spark, sf_dir, questions))
 
 
-def four_rankings(spark, sf_dir, questions) -> DataFrame:
+def parent_rankings(spark, sf_dir, questions) -> DataFrame:
+    """What the hybrid fuses: both parents' full rankings."""
     docs = fixtures.chunks(spark, sf_dir)
-    ids, qids = docs.select("id"), questions.select("qid")
-    full = lambda s, name: ranking.rank_all(s, ids, qids).withColumn("retriever", F.lit(name))
-    plain = full(bm25.scores(docs, questions), "bm25")
-    parents = full(bm25.scores(docs, questions, True), "bm25-canon").unionByName(full(dense_over_chunks(spark, sf_dir, questions), "dense")).persist()
-    return plain.unionByName(parents).unionByName(full(ranking.fuse(parents), "hybrid"))
+    full = lambda s, name: ranking.rank_all(s, docs.select("id"), questions.select("qid")).withColumn("retriever", F.lit(name))
+    return full(bm25.scores(docs, questions, True), "bm25-canon").unionByName(full(dense_over_chunks(spark, sf_dir, questions), "dense"))
+
+
+def four_rankings(spark, sf_dir, questions, depth: int = 10) -> DataFrame:
+    """The first `depth` of all four retrievers; every id has a place in a parent's list, so also in the hybrid's."""
+    top = lambda s, name: ranking.top_k(s, depth).withColumn("retriever", F.lit(name))
+    parents = written(parent_rankings(spark, sf_dir, questions), "parents")
+    docs = fixtures.chunks(spark, sf_dir)
+    plain = ranking.filled(bm25.scores(docs, questions), docs.select("id"), questions.select("qid"), depth)
+    hybrid = top(ranking.fuse(parents), "hybrid")
+    return top(plain, "bm25").unionByName(parents.where(F.col("rank") <= depth)).unionByName(hybrid)
 
 
 # text
@@ -130,13 +144,13 @@ def doc_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.corpus_size(bm25.tokenized(fixtures.chunks(spark, sf_dir))).select("n", *sixth("avgdl"))
 
 
-@query(lead(S_QUESTIONS, s_bm25("plain")) + "SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM plain_df")
+@query(lead(s_index("plain")) + "SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM plain_df")
 def term_df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bm25.tokenized(fixtures.chunks(spark, sf_dir))
     return bm25.inverse_frequency(bm25.postings(rows), bm25.corpus_size(rows)).select("term", "df", *sixth("idf"))
 
 
-@query(lead(S_QUESTIONS, s_bm25("plain")) + "SELECT id, term, tf::BIGINT AS tf, round(w, 6) AS w FROM plain_w")
+@query(lead(s_index("plain")) + "SELECT id, term, tf::BIGINT AS tf, round(w, 6) AS w FROM plain_w")
 def bm25_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bm25.tokenized(fixtures.chunks(spark, sf_dir))
     own = bm25.postings(rows)
@@ -212,17 +226,14 @@ S_BOTH = (S_QUESTIONS, s_bm25("canon", True), s_full("canon"), S_DENSE, s_full("
 
 @query(lead(*S_BOTH) + "SELECT qid, id, round(score, 9) AS score FROM hybrid_s")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = fixtures.questions(spark, sf_dir).persist()
-    docs = fixtures.chunks(spark, sf_dir)
-    full = lambda s, name: ranking.rank_all(s, docs.select("id"), asked.select("qid")).withColumn("retriever", F.lit(name))
-    both = full(bm25.scores(docs, asked, True), "bm25-canon").unionByName(full(dense_over_chunks(spark, sf_dir, asked), "dense"))
-    return ranking.fuse(both).select("qid", "id", F.round("score", 9).alias("score"))
+    asked = fixtures.questions(spark, sf_dir)
+    return ranking.fuse(parent_rankings(spark, sf_dir, asked)).select("qid", "id", F.round("score", 9).alias("score"))
 
 
 @query(lead(*S_BOTH) + S_TOP.format("hybrid"))
 def hybrid_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = fixtures.questions(spark, sf_dir).persist()
-    return four_rankings(spark, sf_dir, asked).where("retriever = 'hybrid' and rank <= 5").select("qid", "id", "rank", *sixth("score"))
+    asked = fixtures.questions(spark, sf_dir)
+    return ranking.top_k(ranking.fuse(parent_rankings(spark, sf_dir, asked)), 5).select("qid", "id", "rank", *sixth("score"))
 
 
 def s_answers(name: str) -> str:
@@ -299,7 +310,7 @@ def noise_hyphenation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     lead(s_keyed("header"), "s AS (SELECT *, string_split(replace(text, '. ', '. ' || chr(1)), chr(1)) AS s FROM k)",
-         f"h AS (SELECT *, floor({sql_uniform('key', '1', 4)} * (len(s) + 1))::INT AS pos, replace(replace(([{', '.join(repr(x) for x in noise.HEADERS)}])[(1 + floor({sql_uniform('key', '1', 1)} * 8))::INT], "
+         f"h AS (SELECT *, floor({sql_uniform('key', '1', 4)} * (len(s) + 1))::INT AS pos, replace(replace(([{', '.join(repr(x) for x in noise.HEADERS)}])[(1 + floor({sql_uniform('key', '1', 1)} * {len(noise.HEADERS)}))::INT], "
          f"'{{p}}', (1 + floor({sql_uniform('key', '1', 2)} * 400))::INT::VARCHAR), '{{n}}', (1 + floor({sql_uniform('key', '1', 3)} * 900))::INT::VARCHAR) AS h FROM s)")
     + "SELECT doc_id AS id, array_to_string(list_concat(s[1:pos], [chr(10) || h || chr(10)], s[pos + 1:]), '') AS noisy FROM h"
 )

@@ -14,12 +14,28 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("doc_title"), F.col("lang").alias("section"), "text")
 
 
+def holders(items: DataFrame, docs: DataFrame, run: int = 4) -> DataFrame:
+    """(item_id, text, doc_id, body) where a body contains an item's text.
+
+    Words inside an item stand between blanks in every body that holds it, so items and bodies meet by runs of four
+    such words; only items of fewer than six words are looked for in every body.
+    """
+    words, own = F.split("text", " ", -1), F.split("body", " ", -1)
+    keyed = items.withColumn("key", F.when(F.size(words) >= run + 2, F.array_join(F.slice(words, 2, run), " ")))
+    runs = F.when(F.size("own") >= run, F.transform(F.sequence(F.lit(1), F.greatest(F.size("own") - run + 1, F.lit(1))), lambda i: F.array_join(F.slice(F.col("own"), i, F.lit(run)), " ")))
+    wanted = docs.withColumn("own", own).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
+    pairs = wanted.join(keyed.where("key is not null").select("key", "item_id", "text"), "key").drop("key").join(docs, "doc_id")
+    short = docs.join(keyed.where("key is null").select("item_id", "text"), F.contains("body", F.col("text")))
+    columns = ["item_id", "text", "doc_id", "body"]
+    return pairs.where(F.contains("body", F.col("text"))).select(*columns).unionByName(short.select(*columns))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that some document holds: 12 words as question, the next three as answer, the first document as gold."""
     items = table(spark, sf_dir, "benchmark")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
     words = F.split("text", " ", -1)
-    gold = docs.join(items, F.contains("body", F.col("text"))).groupBy("item_id", "text").agg(F.min("doc_id").alias("gold_chunk_id"))
+    gold = holders(items, docs).groupBy("item_id", "text").agg(F.min("doc_id").alias("gold_chunk_id"))
     return gold.select(F.col("item_id").alias("qid"), F.array_join(F.slice(words, 1, 12), " ").alias("question"), F.array_join(F.slice(words, 13, 3), " ").alias("answer"), "gold_chunk_id")
 
 

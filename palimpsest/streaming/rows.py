@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import canon, tokens
 from palimpsest.operators import kv, noise
+from palimpsest.sources.shared import shared_root
 
 
 def read_parquet(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -32,11 +35,7 @@ def value_stats(events: DataFrame, late: str = "10 minutes", window: str = "1 ho
 
 def run_once(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over all that is there and reads back what it wrote, in the shared folder where one is named."""
-    import tempfile
-    import uuid
-
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="palimpsest-stream-")
-    at = f"{root}/{name}-{uuid.uuid4().hex}"
+    at = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import kv, models
+from palimpsest.operators import kv, metrics, models
 from palimpsest.plans import cli
 from palimpsest.sources import weights
 from palimpsest.streaming import rows as streams
@@ -73,7 +73,68 @@ def test_sweep(spark):
 
 def test_missing_weights(tmp_path):
     with pytest.raises(weights.MissingWeights):
-        weights.find_snapshot("some/model", str(tmp_path))
+        weights.load(str(tmp_path))
+
+
+def linear(rng, prefix, a, b, flip):
+    return {f"{prefix}.weight": rng.normal(0, 0.2, (b, a) if flip else (a, b)).astype(np.float32), f"{prefix}.bias": rng.normal(0, 0.2, b).astype(np.float32)}
+
+
+def norms(rng, prefix, n):
+    return {f"{prefix}.weight": rng.normal(1, 0.1, n).astype(np.float32), f"{prefix}.bias": rng.normal(0, 0.1, n).astype(np.float32)}
+
+
+def test_published_names_of_an_encoder():
+    rng = np.random.default_rng(1)
+    t = {f"embeddings.{n}_embeddings.weight": rng.normal(size=(k, 24)).astype(np.float32) for n, k in (("word", 40), ("position", 64), ("token_type", 2))}
+    t |= norms(rng, "embeddings.LayerNorm", 24)
+    for k in range(2):
+        at = f"encoder.layer.{k}"
+        for n in ("attention.self.query", "attention.self.key", "attention.self.value", "attention.output.dense"):
+            t |= linear(rng, f"{at}.{n}", 24, 24, True)
+        t |= linear(rng, f"{at}.intermediate.dense", 24, 96, True) | linear(rng, f"{at}.output.dense", 96, 24, True)
+        t |= norms(rng, f"{at}.attention.output.LayerNorm", 24) | norms(rng, f"{at}.output.LayerNorm", 24)
+    w = weights.encoder(t, heads=4)
+    assert w["layers"] == 2 and {k: getattr(v, "shape", v) for k, v in w.items() if k.startswith("1.")} == {k: v.shape for k, v in models.toy_encoder(40, 24, 2, 4, 64).items() if k.startswith("1.")}
+    out = models.encode(["a b", "c"], w, ids_of=lambda text, n: [1, *(3 + ord(c) % 30 for c in text.split())])  # a tokenizer of one's own
+    assert out.shape == (2, 24) and np.allclose(np.linalg.norm(out, axis=1), 1, atol=1e-5)
+    assert not np.allclose(out, models.encode(["a b", "c"], weights.encoder(t | {"encoder.layer.0.attention.self.query.weight": np.zeros((24, 24), np.float32)}, 4), ids_of=lambda text, n: [1, *(3 + ord(c) % 30 for c in text.split())]))
+
+
+def test_published_names_of_a_decoder():
+    rng = np.random.default_rng(2)
+    t = {"transformer.wte.weight": rng.normal(size=(50, 16)).astype(np.float32), "transformer.wpe.weight": rng.normal(size=(32, 16)).astype(np.float32)} | norms(rng, "transformer.ln_f", 16)
+    for k in range(2):
+        at = f"transformer.h.{k}"
+        t |= linear(rng, f"{at}.attn.c_attn", 16, 48, False) | linear(rng, f"{at}.attn.c_proj", 16, 16, False) | linear(rng, f"{at}.mlp.c_fc", 16, 64, False) | linear(rng, f"{at}.mlp.c_proj", 64, 16, False)
+        t |= norms(rng, f"{at}.ln_1", 16) | norms(rng, f"{at}.ln_2", 16)
+    w = weights.decoder(t, heads=2)
+    ids = [5, 9, 33, 2]
+    cache = models.Cache()
+    step = np.concatenate([models.decode([i], w, cache, k) for k, i in enumerate(ids)])
+    assert w["layers"] == 2 and np.allclose(models.decode(ids, w, models.Cache()), step, atol=1e-4)
+
+
+@pytest.mark.parametrize("bits, size", [(32, 256), (16, 128), (8, 72), (4, 40)])
+def test_cache_holds_codes(bits, size):
+    """64 values a vector: payload, and two floats where it is quantized."""
+    x = np.random.default_rng(3).normal(size=(2, 40, 64)).astype(np.float32)
+    cache = models.Cache(bits)
+    for k in range(40):
+        back = cache.add(0, "k", x[:, k : k + 1])
+    assert back.shape == x.shape and cache.nbytes == 2 * 40 * size
+    step = (x.max(-1) - x.min(-1)) / (2 ** min(bits, 16) - 1)
+    assert (np.abs(back - x).max(-1) <= (step * 0.51 if bits < 16 else 2e-3)).all()
+
+
+def test_latency_places(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if k % 7 == 0 else f"t{k % 3}", float(rng.integers(0, 9)) if k % 5 else None) for k in range(400)]
+    got = {r["t"]: (r["p50"], r["p95"]) for r in metrics.latency(spark.createDataFrame(rows, "t string, v double"), "v", ("t",)).collect()}
+    for t in {t for t, _ in rows}:
+        v = sorted(x for s, x in rows if s == t and x is not None)
+        assert got[t] == (float(np.median(v)), v[len(v) * 95 // 100])
+    assert metrics.latency(spark.createDataFrame(rows, "t string, v double"), "v").count() == 1
 
 
 def test_row_operators_on_a_stream(spark, tmp_path):
