@@ -3,8 +3,8 @@ r"""Suffix-array dedup: removes every byte of a string of `length` bytes that st
 Two equal strings of `length` bytes have their least 64-byte hash at the same place, so only text around such anchors
 that occur more than once can hold repeats. A run of starts with one anchor, with the bytes that their strings cover,
 is a context. Equal contexts are counted, not compared: all their starts repeat. Where an anchor has different
-contexts, these are dealt by anchor to shards, and each shard's text is sorted by external induction
-(suffix_sort): a start repeats if its common prefix with a neighbour in the suffix array is `length` at least. An
+contexts, these are dealt by anchor to shards of about 4 MB, and each shard's text is sorted by external induction
+(suffix_sort), which holds 65,536 tuples in memory and works on files beyond, so shards may be far larger: a start repeats if its common prefix with a neighbour in the suffix array is `length` at least. An
 anchor with very many contexts, as at the edges of a passage that a large part of all documents holds, is
 cut into single strings first, which meet by hash in as many tasks as there are; so no shard grows with one anchor.
 
@@ -16,6 +16,7 @@ read.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, discard, materialize, table
 from palimpsest.llm.similarity import small_or_shuffled, spread
-from palimpsest.llm.suffix_sort import sorted_suffixes
+from palimpsest.llm.suffix_sort import repeated_starts
 
 #: Bytes of an anchor; starts of a text that are handled at once; bits of a place in them.
 GRAM, SEGMENT, PLACE_BITS = 64, 1 << 20, 24
-#: Bytes of a shard's text, about; contexts of an anchor from which its strings are dealt one by one.
-SHARD_BYTES, HOT_CONTEXTS = 1 << 20, 2048
+#: Bytes of a shard's text, about, many times what the sorter holds in memory; contexts of an anchor from which its
+#: strings are dealt one by one; tasks that shards are dealt to.
+SHARD_BYTES, HOT_CONTEXTS, MOST_TASKS = 4 << 20, 2048, 10_000
 
 
 def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -160,32 +162,51 @@ def ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
 
 
-def sorted_hits(contexts: DataFrame, length: int) -> DataFrame:
-    """The repeated starts of contexts (anchor, context, n, bytes), by suffix sorting shards dealt by anchor."""
+def sorted_hits(contexts: DataFrame, length: int, shard_bytes: int | None = None) -> DataFrame:
+    """The repeated starts of contexts (anchor, context, n, bytes), by suffix sorting shards dealt by anchor.
+
+    A shard's contexts stream to a file as they arrive, and the sorter works on that. A row without anchor has an
+    account of each shard: (runs that queues wrote to disk, levels of recursion) as froms.
+    """
     size = contexts.agg(F.sum(F.length("bytes") + 1)).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
-
-    def run(shard: pa.Table) -> pa.Table:
-        raws = shard["bytes"].to_pylist()
-        text = np.frombuffer(b"".join(r + b"\0" for r in raws), np.uint8) + np.uint8(2)  # no byte of UTF-8 is over 244
-        ends = np.cumsum([len(r) + 1 for r in raws])
-        text[ends - 1] = 1  # between contexts; bytes are 2 at least, so no common prefix of `length` goes past it
-        order, common = sorted_suffixes(text, length)
-        repeated = np.zeros(len(text) + 1, bool)
-        near = common >= length
-        repeated[order[near]] = True
-        repeated[order[np.flatnonzero(near) - 1]] = True
-        out: list[list] = [[], [], [], []]
-        for a, c, raw, e in zip(shard["anchor"].to_pylist(), shard["context"].to_pylist(), raws, ends.tolist(), strict=True):
-            b = e - len(raw) - 1
-            froms, tos = ranges(repeated[b : b + len(raw) - length + 1])
+    shards = max(1, -(-size // (shard_bytes or SHARD_BYTES)))
+    types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    names = ["anchor", "context", "froms", "tos"]
+
+    def hits(path: str, told: list[tuple[int, int, int]]):
+        text = np.memmap(path, np.uint8, "r")
+        repeated, spills, levels = repeated_starts(text, length)
+        out: list[list] = [[None], [None], [np.array([spills, levels])], [[]]]
+        b = 0
+        for anchor, context, size in told:
+            froms, tos = ranges(repeated[b : b + size - length + 1])
             if len(froms):
-                for column, value in zip(out, (a, c, froms, tos), strict=True):
+                for column, value in zip(out, (anchor, context, froms, tos), strict=True):
                     column.append(value)
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=["anchor", "context", "froms", "tos"])
+            b += size + 1
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
-    dealt = contexts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(run, HITS)
+    def run(batches):
+        at, told = None, []
+        with tempfile.TemporaryDirectory() as folder:
+            path = f"{folder}/text"
+            f = open(path, "wb")  # noqa: SIM115
+            for batch in batches:
+                for shard, anchor, context, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                    if told and shard != at:
+                        f.close()
+                        yield hits(path, told)
+                        f, told = open(path, "wb"), []  # noqa: SIM115
+                    at = shard
+                    # no byte of UTF-8 is over 244, so 2 can be added; 1 stands between contexts, so no common prefix of `length` goes past it
+                    f.write((np.frombuffer(raw, np.uint8) + np.uint8(2)).tobytes() + b"\1")
+                    told.append((anchor, context, len(raw)))
+            f.close()
+            if told:
+                yield hits(path, told)
+
+    dealt = contexts.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "anchor", "context", "bytes")
+    return arrow_map(dealt.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard"), run, HITS)
 
 
 def hot_hits(contexts: DataFrame, length: int) -> DataFrame:
@@ -251,7 +272,7 @@ def repeated_spans(own: DataFrame, length: int) -> DataFrame:
     hot = contexts.groupBy("anchor").count().where(F.col("count") > HOT_CONTEXTS).select("anchor", F.lit(True).alias("hot"))
     contexts = contexts.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     held = materialize(fetched(own, contexts, length), "suffix-contexts")
-    hits = sorted_hits(held.where("not hot"), length)
+    hits = sorted_hits(held.where("not hot"), length).where("anchor is not null")
     if not held.where("hot").isEmpty():
         hits = hits.unionByName(hot_hits(held.where("hot"), length))
     # contexts that stand twice or more repeat as a whole

@@ -1,12 +1,16 @@
-"""Suffix sorting by induction with disk-backed priority queues.
+"""External suffix sorting by induction with disk-backed priority queues.
 
 A suffix is larger (L) or smaller (S) than the next one. Sorted S suffixes that follow an L suffix (seeds) induce the
 order of all L suffixes in one ascending pass, and those that of all S suffixes in one descending pass: whoever is
 taken from the queue pushes the suffix before it, as a tuple of first character, position and the place of its source.
-Seeds are sorted by naming the stretches between them and sorting the shorter text of names in the same way. Tuples
-also carry common-prefix values: those of two neighbours with equal first characters are one more than the least value
-between their sources. Values are kept up to a cap. The queue takes a bucket of tuples at a time, in arrays, and
-writes sorted runs to disk beyond a number of tuples; order and values are mapped files beyond it.
+Seeds are sorted by naming the stretches between them and sorting the shorter text of names in the same way, down to
+`base` names, which are sorted in memory. On the text itself tuples also carry common-prefix values: those of two
+neighbours with equal first characters are one more than the least value between their sources. Values are kept up to
+a cap; those of the seeds are told by comparing them, eight bytes at a time, which the cap bounds.
+
+Memory holds `held` tuples or places at a time. The queues write sorted runs beyond that, a bucket is read in blocks,
+and the text, its names, orders and values are mapped files worked on in blocks, so a text can be far larger than
+memory. Of names, a bucket and what is due soon after are in memory together.
 """
 
 from __future__ import annotations
@@ -16,15 +20,15 @@ import tempfile
 
 import numpy as np
 
-#: Tuples held in memory; names up to which a reduced text is sorted in memory.
-HELD, BASE = 1 << 23, 1 << 22
+#: Tuples or places held in memory; names that are sorted in memory.
+HELD, BASE = 1 << 16, 1 << 12
 
 
 class DiskQueue:
-    """A priority queue of (character, position, source): all tuples of a character leave together, in order of entry."""
+    """A priority queue of (character, position, source): tuples of a character leave in order of entry."""
 
     def __init__(self, folder: str, held: int = HELD):
-        self.folder, self.limit, self.n, self.runs = folder, held, 0, []
+        self.folder, self.limit, self.n, self.runs, self.spills = folder, held, 0, [], 0
         self.buckets: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def push(self, chars: np.ndarray, pos: np.ndarray, src: np.ndarray) -> None:
@@ -45,56 +49,126 @@ class DiskQueue:
         ends = np.cumsum([len(p) for p in parts[0]]).tolist()
         handle, path = tempfile.mkstemp(dir=self.folder)
         with os.fdopen(handle, "wb") as f:
-            np.concatenate([np.concatenate(p) for p in parts]).astype(np.int64).tofile(f)
+            for p in parts[0] + parts[1]:
+                p.astype(np.int64).tofile(f)
         self.runs.append((np.memmap(path, np.int64, "r").reshape(2, -1), {c: (e - len(p), e) for c, p, e in zip(keys, parts[0], ends, strict=True)}))
-        self.buckets, self.n = {}, 0
+        os.unlink(path)  # the mapping keeps it until it is dropped
+        self.buckets, self.n, self.spills = {}, 0, self.spills + 1
 
-    def pop(self, char: int) -> tuple[np.ndarray, np.ndarray]:
-        found = [(run[0, a:b], run[1, a:b]) for run, index in self.runs if (at := index.pop(char, None)) for a, b in [at]]
+    def pop(self, char: int):
+        """Blocks of (positions, sources) of a character; what it pushes into itself meanwhile is left for the next call."""
+        runs = [(run, at) for run, index in self.runs if (at := index.pop(char, None))]
+        self.runs = [r for r in self.runs if r[1]]
         own = self.buckets.pop(char, [])
         self.n -= sum(len(p) for p, _ in own)
-        found += own
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate([p for p, _ in found]), np.concatenate([s for _, s in found])
+        for run, (a, b) in runs:
+            for k in range(a, b, self.limit):
+                yield np.array(run[0, k : min(b, k + self.limit)]), np.array(run[1, k : min(b, k + self.limit)])
+        yield from own
+
+
+class RangeQueue:
+    """A priority queue of (key, position) from which all up to a key leave at once, by key and order of entry."""
+
+    def __init__(self, folder: str, held: int = HELD):
+        self.folder, self.limit, self.runs, self.spills = folder, held, [], 0
+        self.keys, self.pos = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def push(self, keys: np.ndarray, pos: np.ndarray) -> None:
+        self.keys, self.pos = np.concatenate([self.keys, keys]), np.concatenate([self.pos, pos])
+        if len(self.keys) > self.limit:
+            order = np.argsort(self.keys, kind="stable")
+            handle, path = tempfile.mkstemp(dir=self.folder)
+            with os.fdopen(handle, "wb") as f:
+                self.keys[order].tofile(f)
+                self.pos[order].tofile(f)
+            self.runs.append([np.memmap(path, np.int64, "r").reshape(2, -1), 0])
+            os.unlink(path)
+            self.keys, self.pos, self.spills = np.empty(0, np.int64), np.empty(0, np.int64), self.spills + 1
+
+    def least(self) -> int | None:
+        heads = [int(run[0, at]) for run, at in self.runs] + ([int(self.keys.min())] if len(self.keys) else [])
+        return min(heads, default=None)
+
+    def take(self, upto: int) -> tuple[np.ndarray, np.ndarray]:
+        keys, pos = [], []
+        for r in self.runs:
+            run, at = r
+            end = at + int(np.searchsorted(run[0, at:], upto, "right"))
+            keys.append(np.array(run[0, at:end]))
+            pos.append(np.array(run[1, at:end]))
+            r[1] = end
+        self.runs = [r for r in self.runs if r[1] < r[0].shape[1]]
+        due = self.keys <= upto
+        keys, pos = np.concatenate([*keys, self.keys[due]]), np.concatenate([*pos, self.pos[due]])
+        self.keys, self.pos = self.keys[~due], self.pos[~due]
+        order = np.argsort(keys, kind="stable")
+        return keys[order], pos[order]
 
 
 class Sorter:
     def __init__(self, folder: str, held: int = HELD, base: int = BASE):
-        self.folder, self.held, self.base = folder, held, base
+        self.folder, self.held, self.base, self.spills, self.levels = folder, held, base, 0, 0
 
     def array(self, n: int, kind) -> np.ndarray:
         if n <= self.held:
-            return np.empty(n, kind)
+            return np.zeros(n, kind)
         handle, path = tempfile.mkstemp(dir=self.folder)
         os.close(handle)
-        return np.memmap(path, kind, "w+", shape=(n,))
+        out = np.memmap(path, kind, "w+", shape=(n,))
+        os.unlink(path)
+        return out
 
-    @staticmethod
-    def shape(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(is S, length of the run of equal characters from here)."""
+    def blocks(self, n: int):
+        return ((a, min(n, a + self.held)) for a in range(0, n, self.held))
+
+    def joined(self, parts, total: int, kind=np.int64) -> np.ndarray:
+        """Arrays one after another, `total` at most."""
+        out, at = self.array(total, kind), 0
+        for p in parts:
+            out[at : at + len(p)] = p
+            at += len(p)
+        return out[:at]
+
+    def shape(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is S, length of the run of equal characters from here, 65,535 at most)."""
         n = len(t)
-        ends = np.concatenate([np.flatnonzero(t[1:] != t[:-1]), [n - 1]])
-        lengths = np.diff(np.concatenate([[-1], ends]))
-        smaller = np.ones(len(ends), bool)
-        smaller[:-1] = t[ends[:-1]] < t[ends[:-1] + 1]
-        return np.repeat(smaller, lengths), np.repeat(ends, lengths) - np.arange(n) + 1
+        is_s, run = self.array(n, bool), self.array(n, np.uint16)
+        after = None  # of the next block's first place: (character, is S, run)
+        for a, b in list(self.blocks(n))[::-1]:
+            own = np.asarray(t[a:b])
+            ends = np.concatenate([np.flatnonzero(own[1:] != own[:-1]), [b - a - 1]])
+            lengths = np.diff(np.concatenate([[-1], ends]))
+            smaller = np.ones(len(ends), bool)
+            smaller[:-1] = own[ends[:-1]] < own[ends[:-1] + 1]
+            more = 0
+            if after:
+                more = after[2] if own[-1] == after[0] else 0
+                smaller[-1] = after[1] if more else own[-1] < after[0]
+            here = np.repeat(ends, lengths) - np.arange(b - a) + 1
+            here[b - a - lengths[-1] :] += more
+            is_s[a:b], run[a:b] = np.repeat(smaller, lengths), np.minimum(here, 65535)
+            after = (own[0], bool(is_s[a]), int(min(here[0], 65535)))
+        return is_s, run
+
+    def seeds(self, is_s: np.ndarray) -> np.ndarray:
+        n = len(is_s)
+        count = sum(int((is_s[max(a, 1) : b] & ~is_s[max(a, 1) - 1 : b - 1]).sum()) for a, b in self.blocks(n))
+        found = (np.flatnonzero(is_s[max(a, 1) : b] & ~is_s[max(a, 1) - 1 : b - 1]) + max(a, 1) for a, b in self.blocks(n))
+        return self.joined(found, count) if count else np.array([n - 1])
 
     def induce(self, t, is_s, run, seeds, seed_lcp=None, cap=0):
-        """Order of all suffixes, and common-prefix values with the one before, from the seeds'."""
+        """Order of all suffixes, and common-prefix values with the one before, from the seeds'; these in order of first characters."""
         n, carry = len(t), seed_lcp is not None
-        chars = np.unique(t)
-        n_l = int(n - is_s.sum())
-        order, lcp = self.array(n_l + len(seeds), np.int64), self.array(n_l + len(seeds) if carry else 0, np.uint8)
-        first = t[seeds]
-        if not carry:
-            by = np.argsort(first, kind="stable")
-            seeds, first = seeds[by], first[by]
-        seed_at = np.searchsorted(first, chars)
-        seed_to = np.searchsorted(first, chars, side="right")
+        kind = np.uint8 if cap < 256 else np.uint16
+        chars = np.unique(np.concatenate([np.unique(t[a:b]) for a, b in self.blocks(n)]))
+        n_l = n - sum(int(is_s[a:b].sum()) for a, b in self.blocks(n))
+        order, lcp = self.array(n_l + len(seeds), np.int64), self.array(n_l + len(seeds) if carry else 0, kind)
+        first = self.joined((t[seeds[a:b]] for a, b in self.blocks(len(seeds))), len(seeds), t.dtype)
+        seed_at, seed_to = np.searchsorted(first, chars), np.searchsorted(first, chars, side="right")
         bounds: dict[int, tuple[int, int]] = {}
 
-        def induced(values, pos, src, begun, last):
+        def induced(values, src, begun, last):
             """Values of a bucket's next tuples: one more than the least value between two sources."""
             froms = np.concatenate([[last], src[:-1]]) + 1
             if not begun:
@@ -104,74 +178,141 @@ class Sorter:
                 out[0] = 0
             return np.minimum(out, cap)
 
+        def drained(queue, c, out, values, filled, wanted):
+            """Takes all of a character, block by block, and what it pushes into itself."""
+            last, some = -1, True
+            while some:
+                some = False
+                for pos, src in queue.pop(c):
+                    some = True
+                    out[filled : filled + len(pos)] = pos
+                    if carry:
+                        values[filled : filled + len(pos)] = induced(values, src, last >= 0, last)
+                    last = int(src[-1])
+                    here = np.arange(filled, filled + len(pos))
+                    filled += len(pos)
+                    ok = pos > 0
+                    before, here = pos[ok] - 1, here[ok]
+                    ch = t[before]
+                    good = ch >= c if wanted == "L" else ch <= c
+                    queue.push(ch[good], before[good], here[good])
+            return filled
+
         queue, filled = DiskQueue(self.folder, self.held), 0
         for k, c in enumerate(chars.tolist()):
-            start, last = filled, -1
-            pos, src = queue.pop(c)
-            while len(pos):
-                order[filled : filled + len(pos)] = pos
-                if carry:
-                    lcp[filled : filled + len(pos)] = induced(lcp, pos, src, last >= 0, last)
-                last = int(src[-1])
-                here = np.arange(filled, filled + len(pos))
-                filled += len(pos)
-                ok = pos > 0
-                before = pos[ok] - 1
-                ch, here = t[before], here[ok]
-                queue.push(ch[ch > c], before[ch > c], here[ch > c])
-                pos, src = before[ch == c], here[ch == c]
+            start = filled
+            filled = drained(queue, c, order, lcp, filled, "L")
             bounds[c] = (start, filled)
-            own = seeds[seed_at[k] : seed_to[k]]
-            if len(own):
+            for a in range(seed_at[k], seed_to[k], self.held):
+                own = np.array(seeds[a : min(seed_to[k], a + self.held)])
                 order[filled : filled + len(own)] = own
                 if carry:
-                    lcp[filled : filled + len(own)] = seed_lcp[seed_at[k] : seed_to[k]]
-                    lcp[filled] = min(int(run[order[filled - 1]]), int(run[own[0]]), cap) if filled > start else 0
+                    lcp[filled : filled + len(own)] = seed_lcp[a : a + len(own)]
+                    if a == seed_at[k]:
+                        lcp[filled] = min(int(run[order[filled - 1]]), int(run[own[0]]), cap) if filled > start else 0
                 here = np.arange(filled, filled + len(own))[own > 0]
                 filled += len(own)
                 before = own[own > 0] - 1
                 queue.push(t[before], before, here)
-        down, down_lcp = self.array(n, np.int64), self.array(n if carry else 0, np.uint8)
+        self.spills += queue.spills
+        down, down_lcp = self.array(n, np.int64), self.array(n if carry else 0, kind)
         queue, filled = DiskQueue(self.folder, self.held), 0
         for c in chars[::-1].tolist():
-            start, last = filled, -1
-            pos, src = queue.pop(c)
-            if c == chars[0]:  # the end of the text, the least suffix, has no source
-                pos, src = np.empty(0, np.int64), np.empty(0, np.int64)
-            while len(pos):
-                down[filled : filled + len(pos)] = pos
-                if carry:
-                    down_lcp[filled : filled + len(pos)] = induced(down_lcp, pos, src, last >= 0, last)
-                last = int(src[-1])
-                here = np.arange(filled, filled + len(pos))
-                filled += len(pos)
-                ok = pos > 0
-                before, here = pos[ok] - 1, here[ok]
-                ch = t[before]
-                queue.push(ch[ch < c], before[ch < c], here[ch < c])
-                pos, src = before[ch == c], here[ch == c]
+            start = filled
+            if c != chars[0]:  # the end of the text, the least suffix, has no source
+                filled = drained(queue, c, down, down_lcp, filled, "S")
             a, b = bounds[c]
-            if b > a:
-                own = np.asarray(order[a:b])[::-1]
+            for e in range(b, a, -self.held):
+                s = max(a, e - self.held)
+                own = np.array(order[s:e])[::-1]
                 down[filled : filled + len(own)] = own
                 if carry:
-                    down_lcp[filled + 1 : filled + len(own)] = np.asarray(lcp[a + 1 : b])[::-1]
-                    down_lcp[filled] = min(int(run[down[filled - 1]]), int(run[own[0]]), cap) if filled > start else 0
+                    down_lcp[filled + 1 : filled + len(own)] = np.array(lcp[s + 1 : e])[::-1]
+                    if e == b:
+                        down_lcp[filled] = min(int(run[down[filled - 1]]), int(run[own[0]]), cap) if filled > start else 0
+                    else:
+                        down_lcp[filled] = lcp[e]
                 here = np.arange(filled, filled + len(own))
                 filled += len(own)
                 ok = own > 0
                 before, here = own[ok] - 1, here[ok]
                 ch = t[before]
                 queue.push(ch[ch < c], before[ch < c], here[ch < c])
+        self.spills += queue.spills
         down[filled] = n - 1
-        if carry:
-            down_lcp[filled] = 0
-        out = down[::-1]
         if not carry:
-            return out, None
-        values = np.zeros(n, np.uint8)
-        values[1:] = down_lcp[::-1][:-1]
-        return out, values
+            return down[::-1], None
+        down_lcp[filled] = 0
+        values = self.array(n, kind)
+        for a, b in self.blocks(n - 1):
+            values[a + 1 : b + 1] = down_lcp[n - b : n - a][::-1]
+        return down[::-1], values
+
+    def sweep(self, t, is_s, listed, smaller: bool, size: int) -> np.ndarray:
+        """One pass of induction over a text of names: all suffixes of a kind from those listed, in order.
+
+        Names are many and their buckets small, so buckets are taken together, as far as none pushes into another.
+        """
+        top = int(t[int(listed[0])]) if smaller else 0
+        key_of = (lambda c: top - c) if smaller else (lambda c: c)
+        out, filled, at, width = self.array(size, np.int64), 0, 0, 256
+        queue, never = RangeQueue(self.folder, self.held), np.iinfo(np.int64).max
+        keys = self.joined((key_of(t[listed[a:b]].astype(np.int64)) for a, b in self.blocks(len(listed))), len(listed))
+        while at < len(listed) or queue.least() is not None:
+            low = min(x for x in (queue.least(), int(keys[at]) if at < len(listed) else None) if x is not None)
+            high = low + width
+            m = int(np.searchsorted(keys, high, "right"))
+            k, p = queue.take(high)
+            key, pos, given = np.concatenate([k, keys[at:m]]), np.concatenate([p, listed[at:m]]), np.repeat([False, True], [len(k), m - at])
+            at, rounds = m, 0
+            order = np.argsort(key, kind="stable")
+            key, pos, given = key[order], pos[order], given[order]
+            while len(key):
+                rounds += 1
+                before = np.maximum(pos - 1, 0)
+                to = np.where((pos > 0) & (is_s[before] == smaller), key_of(t[before].astype(np.int64)), never)
+                n = int(np.searchsorted(key, to.min(), "left"))
+                if not n:  # the first bucket pushes into itself: what it holds so far, then what that pushed, then what is listed
+                    n = int(np.searchsorted(key, key[0], "right"))
+                    n = int((~given[:n]).sum()) or n
+                new = pos[:n][~given[:n]]
+                out[filled : filled + len(new)] = new
+                filled += len(new)
+                ok = to[:n] < never
+                to, before = to[:n][ok], before[:n][ok]
+                queue.push(to[to > high], before[to > high])
+                near = to <= high
+                key, pos, given = (np.concatenate([x[n:], y]) for x, y in ((key, to[near]), (pos, before[near]), (given, np.zeros(int(near.sum()), bool))))
+                if near.any():
+                    order = np.lexsort((given, key))
+                    key, pos, given = key[order], pos[order], given[order]
+            width = max(1, width // 2) if rounds > 3 else width * 2 if rounds == 1 and width < self.held else width
+        self.spills += queue.spills
+        return out[:filled]
+
+    def swept(self, t, is_s, seeds) -> np.ndarray:
+        """Order of all suffixes of a text of names, from the seeds' order."""
+        n_s = sum(int(is_s[a:b].sum()) for a, b in self.blocks(len(t)))
+        larger = self.sweep(t, is_s, seeds, False, len(t) - n_s)
+        if not len(larger):
+            return np.arange(len(t))[::-1] if len(t) == 1 else np.array([len(t) - 1])
+        smaller = self.sweep(t, is_s, larger[::-1], True, n_s)
+        # of a name, larger suffixes come before smaller ones; the end of the text is the least
+        out, x, y, filled = self.array(len(t), np.int64), 0, len(smaller), 1
+        out[0] = len(t) - 1
+        ascending = smaller[::-1]
+        y = 0
+        while x < len(larger) or y < len(ascending):
+            a, b = larger[x : x + self.held], ascending[y : y + self.held]
+            ka, kb = t[a], t[b]
+            if len(a) and len(b):  # all up to the lesser of the two blocks' last names, ties on the larger kind's side first
+                edge = min(ka[-1], kb[-1])
+                a, b = a[: np.searchsorted(ka, edge, "right")], b[: np.searchsorted(kb, edge, "right" if ka[-1] > edge or x + self.held >= len(larger) else "left")]
+            names = np.concatenate([t[a], t[b]])
+            both = np.concatenate([a, b])[np.argsort(names, kind="stable")]
+            out[filled : filled + len(both)] = both
+            filled, x, y = filled + len(both), x + len(a), y + len(b)
+        return out
 
     @staticmethod
     def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray | int) -> np.ndarray:
@@ -179,24 +320,22 @@ class Sorter:
         n, out = len(t), np.zeros(len(a), np.int64)
         most = np.broadcast_to(most, a.shape)
         live = np.arange(len(a))
-        if t.dtype == np.uint8:
-            step = 8
-            padded = np.concatenate([t, np.zeros(step + 1, np.uint8)])
-            words = np.lib.stride_tricks.as_strided(padded, (n + 1, step), (1, 1)).copy().view("<u8").ravel()
-        else:
-            step, words = 1, np.concatenate([t.astype(np.int64), [-1]])
+        step = 8 if t.dtype == np.uint8 and n > 8 else 1
+        words = np.ndarray((n - 7,), "<u8", t, strides=(1,)) if step == 8 else t
         while len(live):
             x, y = a[live] + out[live], b[live] + out[live]
-            differ = words[np.minimum(x, n)] ^ words[np.minimum(y, n)]
-            whole = differ == 0
-            if step == 8:
-                first = np.zeros(len(live), np.int64)
-                odd = differ[~whole]
-                first[~whole] = np.frexp((odd & (~odd + np.uint64(1))).astype(float))[1] - 1 >> 3
-                out[live] += np.where(whole, step, first)
-            else:
-                out[live] += whole
-            live = live[whole & (out[live] < most[live])]
+            wide = (step == 8) & (np.maximum(x, y) < n - 7)
+            got = np.zeros(len(live), np.int64)
+            if wide.any():
+                differ = words[x[wide]] ^ words[y[wide]]
+                first = np.full(len(differ), 8)
+                odd = differ[differ != 0]
+                first[differ != 0] = np.frexp((odd & (~odd + np.uint64(1))).astype(float))[1] - 1 >> 3
+                got[wide] = first
+            near = ~wide & (np.maximum(x, y) < n)
+            got[near] = t[x[near]] == t[y[near]]
+            out[live] += got
+            live = live[(got == np.where(wide, 8, 1)) & (out[live] < most[live])]
         return np.minimum(out, most)
 
     @staticmethod
@@ -216,42 +355,87 @@ class Sorter:
                 return order
             width *= 2
 
-    def sort(self, t: np.ndarray, cap: int = 0):
+    def by_first(self, t, seeds) -> np.ndarray:
+        """Seeds in order of their first characters."""
+        if len(seeds) <= self.held:
+            return seeds[np.argsort(t[seeds], kind="stable")]
+        queue = RangeQueue(self.folder, self.held)
+        for a, b in self.blocks(len(seeds)):
+            queue.push(t[seeds[a:b]].astype(np.int64), np.array(seeds[a:b]))
+        out, at = self.array(len(seeds), np.int64), 0
+        while (low := queue.least()) is not None:
+            some = queue.take(low + (0 if t.dtype.itemsize < 8 else self.held))[1]
+            out[at : at + len(some)] = some
+            at += len(some)
+        self.spills += queue.spills
+        return out
+
+    def sort(self, t: np.ndarray, cap: int = 0, level: int = 0):
         """(suffix array, values up to `cap` or None); t's last character is its least and stands there only."""
+        self.levels = max(self.levels, level)
+        ordered = lambda seeds: self.swept(t, is_s, seeds) if level else self.induce(t, is_s, run, seeds)[0]
         is_s, run = self.shape(t)
-        seeds = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-        if not len(seeds):
-            seeds = np.array([len(t) - 1])
-        order, _ = self.induce(t, is_s, run, seeds)
-        is_seed = np.zeros(len(t), bool)
-        is_seed[seeds] = True
-        by_stretch = np.asarray(order[is_seed[order]])
-        length = np.empty(len(t), np.int64)
-        length[seeds] = np.diff(np.concatenate([seeds, [len(t) - 1]])) + 1
-        a, b = by_stretch[:-1], by_stretch[1:]
-        same = length[a] == length[b]
-        same[same] = self.common(t, a[same], b[same], length[a[same]]) == length[a[same]]
-        name = np.empty(len(t), np.int64)
-        name[by_stretch] = np.concatenate([[0], np.cumsum(~same)])
-        names = name[seeds]
-        if names.max() == len(names) - 1:
-            rank = np.argsort(names)
+        seeds = self.seeds(is_s)
+        order, is_seed = ordered(self.by_first(t, seeds)), self.array(len(t), bool)
+        for a, b in self.blocks(len(seeds)):
+            is_seed[seeds[a:b]] = True
+        by_stretch = self.joined((x[is_seed[x]] for a, b in self.blocks(len(t)) for x in [np.array(order[a:b])]), len(seeds))
+        names, name = self.array(len(seeds), np.int64), 0
+        for s, e in self.blocks(len(seeds)):
+            some = np.array(by_stretch[max(s - 1, 0) : e])
+            at = np.searchsorted(seeds, some)
+            length = np.where(at + 1 < len(seeds), seeds[np.minimum(at + 1, len(seeds) - 1)], len(t) - 1) - some + 1
+            a, b = some[:-1], some[1:]
+            same = length[:-1] == length[1:]
+            same[same] = self.common(t, a[same], b[same], length[:-1][same]) == length[:-1][same]
+            told = np.concatenate([[0], np.cumsum(~same)]) + name
+            names[at[1:] if s else at] = told[1:] if s else told
+            name = int(told[-1])
+        del order, is_seed, by_stretch
+        if name == len(seeds) - 1:
+            rank = self.array(len(seeds), np.int64)
+            for a, b in self.blocks(len(seeds)):
+                rank[names[a:b]] = np.arange(a, b)
         elif len(names) <= self.base:
-            rank = self.doubled(names)
+            rank = self.doubled(np.array(names))
         else:
-            rank, _ = self.sort(names)
-        seeds = seeds[rank]
+            rank, _ = self.sort(names, 0, level + 1)
+        seeds = self.joined((seeds[rank[a:b]] for a, b in self.blocks(len(seeds))), len(seeds))
         if not cap:
-            return self.induce(t, is_s, run, seeds[np.argsort(t[seeds], kind="stable")])
-        values = np.zeros(len(seeds), np.int64)
-        values[1:] = self.common(t, seeds[:-1], seeds[1:], cap)
+            return ordered(seeds), None
+        values = self.array(len(seeds), np.uint8 if cap < 256 else np.uint16)
+        for s, e in self.blocks(len(seeds)):
+            some = np.array(seeds[max(s - 1, 0) : e])
+            values[max(s, 1) : e] = self.common(t, some[:-1], some[1:], cap)
         return self.induce(t, is_s, run, seeds, values, cap)
 
 
+def ended(text: np.ndarray, sorter: Sorter) -> np.ndarray:
+    """The text with its end, in a mapped file if it is long."""
+    most = max((int(text[a:b].max()) for a, b in sorter.blocks(len(text))), default=0)
+    out = sorter.array(len(text) + 1, np.uint8 if most < 256 else np.uint16 if most < 65536 else np.int64)
+    for a, b in sorter.blocks(len(text)):
+        out[a:b] = text[a:b]
+    out[len(text)] = 0
+    return out
+
+
 def sorted_suffixes(text: np.ndarray, cap: int, held: int = HELD, base: int = BASE):
-    """Suffix array and common-prefix values up to `cap` (at most 255) of characters of at least 1; the end is added."""
-    most = int(text.max(initial=0))
-    t = np.concatenate([text, [0]]).astype(np.uint8 if most < 256 else np.uint16 if most < 65536 else np.int64)
+    """Suffix array and common-prefix values up to `cap` (65,534 at most) of characters of at least 1; the end is added."""
+    with tempfile.TemporaryDirectory() as folder:
+        sorter = Sorter(folder, held, base)
+        order, values = sorter.sort(ended(text, sorter), cap)
+        return np.array(order), np.array(values)
+
+
+def repeated_starts(text: np.ndarray, length: int, held: int = HELD, base: int = BASE) -> tuple[np.ndarray, int, int]:
+    """Which strings of `length` characters start elsewhere too; the runs that queues wrote to disk, and levels of recursion."""
     with tempfile.TemporaryDirectory() as folder:
-        order, values = Sorter(folder, held, base).sort(t, cap)
-        return np.array(order), values
+        sorter = Sorter(folder, held, base)
+        order, values = sorter.sort(ended(text, sorter), length)
+        out = sorter.array(len(text) + 1, bool)
+        for a, b in sorter.blocks(len(order)):
+            near = np.flatnonzero(values[a:b] >= length) + a
+            out[order[near]] = True
+            out[order[near - 1]] = True
+        return np.array(out[:-1]), sorter.spills, sorter.levels

@@ -73,7 +73,7 @@ def sorted_by_hand(t, cap):
     return order, common
 
 
-@pytest.mark.parametrize("held, base", [(1 << 20, 1 << 20), (8, 2)])  # in memory; spilled to disk, with recursion to the end
+@pytest.mark.parametrize("held, base", [(1 << 20, 1 << 20), (8, 2), (5, 1)])  # in memory; spilled to disk, with recursion to the end
 def test_suffix_sorting(held, base):
     rng = np.random.default_rng(7)
     for n in range(1, 120):
@@ -85,6 +85,28 @@ def test_suffix_sorting(held, base):
             assert (order.tolist(), common.tolist()) == sorted_by_hand(t.tolist(), 20)
 
 
+def test_shards_far_larger_than_memory(spark):
+    """A shard of the query's size spills and recurses, and marks what a count of all strings marks; so do values over 255."""
+    rng = np.random.default_rng(5)
+    pool = [rng.integers(97, 110, 3000) for _ in range(60)]
+    text = np.concatenate([np.concatenate([pool[rng.integers(60)][rng.integers(900) :], rng.integers(97, 123, 700), [1]]) for _ in range(100)])
+    for length in (200, 300):
+        repeated, spills, levels = suffix_sort.repeated_starts(text, length, 4096, 256)
+        assert len(text) > 64 * 4096 and spills > 10 and levels > 1
+        raw = text.astype(np.uint8).tobytes()
+        times = Counter(raw[i : i + length] for i in range(len(raw)))
+        assert all(repeated[i] == (times[raw[i : i + length]] > 1) for i in range(len(raw) - length + 1) if b"\1" not in raw[i : i + length])
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(4000)]
+    rows = []
+    for k in range(4000):
+        raw = " ".join(words[i] for i in rng.integers(0, 4000, 60)).encode()
+        rows.append((k // 2, k, 201, bytearray(raw[:400] if k % 4 else (b"same " * 50 + raw)[:400])))
+    found = suffix_dedup.sorted_hits(spark.createDataFrame(rows, "anchor long, context long, n int, bytes binary"), 200).persist()
+    account = [r["froms"] for r in found.where("anchor is null").collect()]
+    assert len(account) == 1 and account[0][0] > 2 and account[0][1] >= 1  # 1.6 MB in one shard of the query's own settings
+    assert found.where("anchor is not null").count() == 1000
+
+
 def removed_by_hand(rows, length):
     raws = [(d, (t or "").encode()) for d, t, *_ in rows]
     times = Counter(raw[i : i + length] for _, raw in raws for i in range(len(raw) - length + 1))
