@@ -21,14 +21,14 @@ import tempfile
 import numpy as np
 
 #: Tuples or places held in memory; names that are sorted in memory.
-HELD, BASE = 1 << 16, 1 << 12
+HELD, BASE = 1 << 15, 1 << 12
 
 
 class DiskQueue:
     """A priority queue of (character, position, source): tuples of a character leave in order of entry."""
 
-    def __init__(self, folder: str, held: int = HELD):
-        self.folder, self.limit, self.n, self.runs, self.spills = folder, held, 0, [], 0
+    def __init__(self, folder: str, held: int = HELD, kind=np.int64):
+        self.folder, self.limit, self.kind, self.n, self.runs, self.spills = folder, held, kind, 0, [], 0
         self.buckets: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def push(self, chars: np.ndarray, pos: np.ndarray, src: np.ndarray) -> None:
@@ -50,8 +50,8 @@ class DiskQueue:
         handle, path = tempfile.mkstemp(dir=self.folder)
         with os.fdopen(handle, "wb") as f:
             for p in parts[0] + parts[1]:
-                p.astype(np.int64).tofile(f)
-        self.runs.append((np.memmap(path, np.int64, "r").reshape(2, -1), {c: (e - len(p), e) for c, p, e in zip(keys, parts[0], ends, strict=True)}))
+                p.astype(self.kind).tofile(f)
+        self.runs.append((np.memmap(path, self.kind, "r").reshape(2, -1), {c: (e - len(p), e) for c, p, e in zip(keys, parts[0], ends, strict=True)}))
         os.unlink(path)  # the mapping keeps it until it is dropped
         self.buckets, self.n, self.spills = {}, 0, self.spills + 1
 
@@ -106,6 +106,11 @@ class RangeQueue:
         return keys[order], pos[order]
 
 
+def place_kind(n: int):
+    """The type that places of a text of n characters take."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 class Sorter:
     def __init__(self, folder: str, held: int = HELD, base: int = BASE):
         self.folder, self.held, self.base, self.spills, self.levels = folder, held, base, 0, 0
@@ -155,7 +160,7 @@ class Sorter:
         n = len(is_s)
         count = sum(int((is_s[max(a, 1) : b] & ~is_s[max(a, 1) - 1 : b - 1]).sum()) for a, b in self.blocks(n))
         found = (np.flatnonzero(is_s[max(a, 1) : b] & ~is_s[max(a, 1) - 1 : b - 1]) + max(a, 1) for a, b in self.blocks(n))
-        return self.joined(found, count) if count else np.array([n - 1])
+        return self.joined(found, count, place_kind(n)) if count else np.array([n - 1])
 
     def induce(self, t, is_s, run, seeds, seed_lcp=None, cap=0):
         """Order of all suffixes, and common-prefix values with the one before, from the seeds'; these in order of first characters."""
@@ -163,7 +168,7 @@ class Sorter:
         kind = np.uint8 if cap < 256 else np.uint16
         chars = np.unique(np.concatenate([np.unique(t[a:b]) for a, b in self.blocks(n)]))
         n_l = n - sum(int(is_s[a:b].sum()) for a, b in self.blocks(n))
-        order, lcp = self.array(n_l + len(seeds), np.int64), self.array(n_l + len(seeds) if carry else 0, kind)
+        order, lcp = self.array(n_l + len(seeds), place_kind(n)), self.array(n_l + len(seeds) if carry else 0, kind)
         first = self.joined((t[seeds[a:b]] for a, b in self.blocks(len(seeds))), len(seeds), t.dtype)
         seed_at, seed_to = np.searchsorted(first, chars), np.searchsorted(first, chars, side="right")
         bounds: dict[int, tuple[int, int]] = {}
@@ -198,7 +203,7 @@ class Sorter:
                     queue.push(ch[good], before[good], here[good])
             return filled
 
-        queue, filled = DiskQueue(self.folder, self.held), 0
+        queue, filled = DiskQueue(self.folder, self.held, place_kind(n)), 0
         for k, c in enumerate(chars.tolist()):
             start = filled
             filled = drained(queue, c, order, lcp, filled, "L")
@@ -215,8 +220,8 @@ class Sorter:
                 before = own[own > 0] - 1
                 queue.push(t[before], before, here)
         self.spills += queue.spills
-        down, down_lcp = self.array(n, np.int64), self.array(n if carry else 0, kind)
-        queue, filled = DiskQueue(self.folder, self.held), 0
+        down, down_lcp = self.array(n, place_kind(n)), self.array(n if carry else 0, kind)
+        queue, filled = DiskQueue(self.folder, self.held, place_kind(n)), 0
         for c in chars[::-1].tolist():
             start = filled
             if c != chars[0]:  # the end of the text, the least suffix, has no source
@@ -255,7 +260,7 @@ class Sorter:
         """
         top = int(t[int(listed[0])]) if smaller else 0
         key_of = (lambda c: top - c) if smaller else (lambda c: c)
-        out, filled, at, width = self.array(size, np.int64), 0, 0, 256
+        out, filled, at, width = self.array(size, place_kind(len(t))), 0, 0, 256
         queue, never = RangeQueue(self.folder, self.held), np.iinfo(np.int64).max
         keys = self.joined((key_of(t[listed[a:b]].astype(np.int64)) for a, b in self.blocks(len(listed))), len(listed))
         while at < len(listed) or queue.least() is not None:
@@ -298,10 +303,9 @@ class Sorter:
             return np.arange(len(t))[::-1] if len(t) == 1 else np.array([len(t) - 1])
         smaller = self.sweep(t, is_s, larger[::-1], True, n_s)
         # of a name, larger suffixes come before smaller ones; the end of the text is the least
-        out, x, y, filled = self.array(len(t), np.int64), 0, len(smaller), 1
+        out, x, y, filled = self.array(len(t), place_kind(len(t))), 0, 0, 1
         out[0] = len(t) - 1
         ascending = smaller[::-1]
-        y = 0
         while x < len(larger) or y < len(ascending):
             a, b = larger[x : x + self.held], ascending[y : y + self.held]
             ka, kb = t[a], t[b]
@@ -362,7 +366,7 @@ class Sorter:
         queue = RangeQueue(self.folder, self.held)
         for a, b in self.blocks(len(seeds)):
             queue.push(t[seeds[a:b]].astype(np.int64), np.array(seeds[a:b]))
-        out, at = self.array(len(seeds), np.int64), 0
+        out, at = self.array(len(seeds), place_kind(len(t))), 0
         while (low := queue.least()) is not None:
             some = queue.take(low + (0 if t.dtype.itemsize < 8 else self.held))[1]
             out[at : at + len(some)] = some
@@ -379,8 +383,8 @@ class Sorter:
         order, is_seed = ordered(self.by_first(t, seeds)), self.array(len(t), bool)
         for a, b in self.blocks(len(seeds)):
             is_seed[seeds[a:b]] = True
-        by_stretch = self.joined((x[is_seed[x]] for a, b in self.blocks(len(t)) for x in [np.array(order[a:b])]), len(seeds))
-        names, name = self.array(len(seeds), np.int64), 0
+        by_stretch = self.joined((x[is_seed[x]] for a, b in self.blocks(len(t)) for x in [np.array(order[a:b])]), len(seeds), place_kind(len(t)))
+        names, name = self.array(len(seeds), place_kind(len(t))), 0
         for s, e in self.blocks(len(seeds)):
             some = np.array(by_stretch[max(s - 1, 0) : e])
             at = np.searchsorted(seeds, some)
@@ -393,14 +397,15 @@ class Sorter:
             name = int(told[-1])
         del order, is_seed, by_stretch
         if name == len(seeds) - 1:
-            rank = self.array(len(seeds), np.int64)
+            rank = self.array(len(seeds), place_kind(len(t)))
             for a, b in self.blocks(len(seeds)):
                 rank[names[a:b]] = np.arange(a, b)
         elif len(names) <= self.base:
             rank = self.doubled(np.array(names))
         else:
             rank, _ = self.sort(names, 0, level + 1)
-        seeds = self.joined((seeds[rank[a:b]] for a, b in self.blocks(len(seeds))), len(seeds))
+        seeds = self.joined((seeds[rank[a:b]] for a, b in self.blocks(len(seeds))), len(seeds), place_kind(len(t)))
+        del names, rank
         if not cap:
             return ordered(seeds), None
         values = self.array(len(seeds), np.uint8 if cap < 256 else np.uint16)

@@ -103,7 +103,7 @@ def test_shards_far_larger_than_memory(spark):
         rows.append((k // 2, k, 201, bytearray(raw[:400] if k % 4 else (b"same " * 50 + raw)[:400])))
     found = suffix_dedup.sorted_hits(spark.createDataFrame(rows, "anchor long, context long, n int, bytes binary"), 200).persist()
     account = [r["froms"] for r in found.where("anchor is null").collect()]
-    assert len(account) == 1 and account[0][0] > 2 and account[0][1] >= 1  # 1.6 MB in one shard of the query's own settings
+    assert len(account) == 2 and all(spills > 10 and levels >= 1 for spills, levels in account)  # 1.6 MB in shards of the query's own settings
     assert found.where("anchor is not null").count() == 1000
 
 
