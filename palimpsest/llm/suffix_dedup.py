@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, discard, materialize, table
-from palimpsest.llm.similarity import small_or_shuffled, spread
+from palimpsest.llm.similarity import FACTOR, powers, small_or_shuffled, spread
 from palimpsest.llm.suffix_sort import repeated_starts
 
 #: Bytes of an anchor; starts of a text that are handled at once; bits of a place in them.
@@ -35,6 +35,9 @@ GRAM, SEGMENT, PLACE_BITS = 64, 1 << 20, 24
 SHARD_BYTES, HOT_CONTEXTS, MOST_TASKS = 1 << 20, 2048, 10_000
 
 
+BYTE_VALUES = spread(np.arange(1, 257, dtype=np.uint64) * FACTOR)
+
+
 def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + y
 
@@ -67,7 +70,7 @@ def window_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def text_runs(raws: list[bytes], length: int):
-    """(text number, first start, starts, anchor hash, bytes) of each run of starts with one anchor."""
+    """Arrays of (text number, first start, starts, anchor hash, hash of its bytes) of all runs of starts with one anchor."""
     cuts = [(k, s, min(len(raw) - length + 1, s + SEGMENT)) for k, raw in enumerate(raws) for s in range(0, max(0, len(raw) - length + 1), SEGMENT)]
     group: list = []
     size = 0
@@ -105,8 +108,12 @@ def _runs_of(raws, group, length):
     starts = first - begins[own] + np.array([a for _, a, _ in group])[own]
     texts = np.array([k for k, _, _ in group])[own]
     grams = hashes[anchors[first]].view(np.int64)
-    for k, s, n, g, f in zip(texts.tolist(), starts.tolist(), count.tolist(), grams.tolist(), first.tolist(), strict=True):
-        yield k, s, n, g, whole[f : f + n + length - 1]
+    # hashes of the runs' bytes, from differences of running sums
+    up, down = powers(len(flat) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(BYTE_VALUES[flat] * up[: len(flat)])])
+    ends = first + count + length - 1
+    names = spread((sums[ends] - sums[first]) * down[first] + count.astype(np.uint64))
+    yield texts, starts, count, grams, names.view(np.int64)
 
 
 def name_of(context: bytes, seed: int = 0) -> int:
@@ -118,14 +125,10 @@ def context_rows(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             raws = [(t or "").encode() for t in batch.column(2).to_pylist()]
-            out: list[list] = [[], [], [], [], [], []]
-            for k, s, n, g, context in text_runs(raws, length):
-                for column, value in zip(out, (g, name_of(context), ids[k], rows[k], s, n), strict=True):
-                    column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["anchor", "context", "doc_id", "row_hash", "start", "n"])
+            for texts, starts, count, grams, names in text_runs(raws, length):
+                own = [batch.column(k).take(pa.array(texts)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(names), *own, pa.array(starts), pa.array(count.astype(np.int32))], names=["anchor", "context", "doc_id", "row_hash", "start", "n"])
 
     return arrow_map(docs, run, "anchor long, context long, doc_id long, row_hash long, start long, n int")
 

@@ -21,7 +21,11 @@ import tempfile
 import numpy as np
 
 #: Tuples or places held in memory; names that are sorted in memory.
-HELD, BASE = 1 << 15, 1 << 12
+HELD, BASE = 1 << 15, 1 << 15
+
+
+def mapped(path: str, kind, mode: str = "r", shape=None) -> np.ndarray:
+    return np.memmap(path, kind, mode, shape=shape).view(np.ndarray)
 
 
 class DiskQueue:
@@ -51,7 +55,7 @@ class DiskQueue:
         with os.fdopen(handle, "wb") as f:
             for p in parts[0] + parts[1]:
                 p.astype(self.kind).tofile(f)
-        self.runs.append((np.memmap(path, self.kind, "r").reshape(2, -1), {c: (e - len(p), e) for c, p, e in zip(keys, parts[0], ends, strict=True)}))
+        self.runs.append((mapped(path, self.kind).reshape(2, -1), {c: (e - len(p), e) for c, p, e in zip(keys, parts[0], ends, strict=True)}))
         os.unlink(path)  # the mapping keeps it until it is dropped
         self.buckets, self.n, self.spills = {}, 0, self.spills + 1
 
@@ -82,7 +86,7 @@ class RangeQueue:
             with os.fdopen(handle, "wb") as f:
                 self.keys[order].tofile(f)
                 self.pos[order].tofile(f)
-            self.runs.append([np.memmap(path, np.int64, "r").reshape(2, -1), 0])
+            self.runs.append([mapped(path, np.int64).reshape(2, -1), 0])
             os.unlink(path)
             self.keys, self.pos, self.spills = np.empty(0, np.int64), np.empty(0, np.int64), self.spills + 1
 
@@ -120,7 +124,7 @@ class Sorter:
             return np.zeros(n, kind)
         handle, path = tempfile.mkstemp(dir=self.folder)
         os.close(handle)
-        out = np.memmap(path, kind, "w+", shape=(n,))
+        out = mapped(path, kind, "w+", (n,))
         os.unlink(path)
         return out
 
@@ -363,12 +367,22 @@ class Sorter:
         """Seeds in order of their first characters."""
         if len(seeds) <= self.held:
             return seeds[np.argsort(t[seeds], kind="stable")]
-        queue = RangeQueue(self.folder, self.held)
+        out = self.array(len(seeds), place_kind(len(t)))
+        if t.dtype.itemsize < 4:  # few characters: each seed goes to its place by counts
+            counts = sum(np.bincount(t[seeds[a:b]], minlength=1 << 8 * t.dtype.itemsize) for a, b in self.blocks(len(seeds)))
+            start = np.cumsum(counts) - counts
+            for a, b in self.blocks(len(seeds)):
+                chars = t[seeds[a:b]]
+                by = np.argsort(chars, kind="stable")
+                some = np.bincount(chars, minlength=len(start))
+                out[(start - np.cumsum(some) + some)[chars[by]] + np.arange(b - a)] = seeds[a:b][by]
+                start += some
+            return out
+        queue, at = RangeQueue(self.folder, self.held), 0
         for a, b in self.blocks(len(seeds)):
             queue.push(t[seeds[a:b]].astype(np.int64), np.array(seeds[a:b]))
-        out, at = self.array(len(seeds), place_kind(len(t))), 0
         while (low := queue.least()) is not None:
-            some = queue.take(low + (0 if t.dtype.itemsize < 8 else self.held))[1]
+            some = queue.take(low + self.held // 2)[1]
             out[at : at + len(some)] = some
             at += len(some)
         self.spills += queue.spills

@@ -139,9 +139,11 @@ def test_text_runs_hold_every_start(monkeypatch):
     for segment in (1 << 20, 700):
         monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
         starts = defaultdict(list)
-        for k, s, n, _, context in suffix_dedup.text_runs(raws, 200):
-            assert context == raws[k][s : s + n + 199]
+        names = defaultdict(set)
+        for k, s, n, _, name in (row for run in suffix_dedup.text_runs(raws, 200) for row in zip(*(x.tolist() for x in run), strict=True)):
+            names[raws[k][s : s + n + 199]].add(name)
             starts[k] += range(s, s + n)
+        assert all(len(x) == 1 for x in names.values()) and len(set().union(*names.values())) == len(names)
         assert all(starts[k] == list(range(max(0, len(r) - 199))) for k, r in enumerate(raws))
 
 
