@@ -27,7 +27,7 @@ BLOCK, BLOCK_BYTES, COLUMN_BITS = 512, 4 << 20, 2
 
 
 #: Bytes hashed at once, about; the odd factor of the words' polynomials.
-CHUNK, FACTOR = 1 << 18, np.uint64(0x9E3779B97F4A7C15)
+CHUNK, FACTOR = 1 << 16, np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 

@@ -4,7 +4,7 @@ Two equal strings of `length` bytes have their least 64-byte hash at the same pl
 that occur more than once can hold repeats. A run of starts with one anchor, with the bytes that their strings cover,
 is a context. Equal contexts are counted, not compared: all their starts repeat. Where an anchor has different
 contexts, these are dealt by anchor to shards of about 1 MB, and each shard's text is sorted by external induction
-(suffix_sort), which holds 32,768 tuples in memory and works on files beyond, so shards may be far larger: a start repeats if its common prefix with a neighbour in the suffix array is `length` at least. An
+(suffix_sort), which holds 65,536 tuples in memory and works on files beyond, so shards may be far larger: a start repeats if its common prefix with a neighbour in the suffix array is `length` at least. An
 anchor with very many contexts, as at the edges of a passage that a large part of all documents holds, is
 cut into single strings first, which meet by hash in as many tasks as there are; so no shard grows with one anchor.
 
@@ -29,7 +29,7 @@ from palimpsest.llm.similarity import FACTOR, powers, small_or_shuffled, spread
 from palimpsest.llm.suffix_sort import repeated_starts
 
 #: Bytes of an anchor; starts of a text that are handled at once; bits of a place in them.
-GRAM, SEGMENT, PLACE_BITS = 64, 1 << 20, 24
+GRAM, SEGMENT, PLACE_BITS = 64, 1 << 17, 24
 #: Bytes of a shard's text, about, many times what the sorter holds in memory; contexts of an anchor from which its
 #: strings are dealt one by one; tasks that shards are dealt to.
 SHARD_BYTES, HOT_CONTEXTS, MOST_TASKS = 1 << 20, 2048, 10_000

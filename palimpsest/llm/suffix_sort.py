@@ -21,7 +21,7 @@ import tempfile
 import numpy as np
 
 #: Tuples or places held in memory; names that are sorted in memory.
-HELD, BASE = 1 << 15, 1 << 15
+HELD, BASE = 1 << 16, 1 << 16
 
 
 def mapped(path: str, kind, mode: str = "r", shape=None) -> np.ndarray:
@@ -266,36 +266,44 @@ class Sorter:
         key_of = (lambda c: top - c) if smaller else (lambda c: c)
         out, filled, at, width = self.array(size, place_kind(len(t))), 0, 0, 256
         queue, never = RangeQueue(self.folder, self.held), np.iinfo(np.int64).max
+
+        def target(pos):
+            """The keys that positions push to."""
+            before = np.maximum(pos - 1, 0)
+            return np.where((pos > 0) & (is_s[before] == smaller), key_of(t[before].astype(np.int64)), never)
+
         keys = self.joined((key_of(t[listed[a:b]].astype(np.int64)) for a, b in self.blocks(len(listed))), len(listed))
         while at < len(listed) or queue.least() is not None:
             low = min(x for x in (queue.least(), int(keys[at]) if at < len(listed) else None) if x is not None)
             high = low + width
             m = int(np.searchsorted(keys, high, "right"))
             k, p = queue.take(high)
-            key, pos, given = np.concatenate([k, keys[at:m]]), np.concatenate([p, listed[at:m]]), np.repeat([False, True], [len(k), m - at])
+            # twice the key, and one more for what is listed, which comes behind what was pushed
+            code, pos = np.concatenate([2 * k, 2 * keys[at:m] + 1]), np.concatenate([p, listed[at:m]])
             at, rounds = m, 0
-            order = np.argsort(key, kind="stable")
-            key, pos, given = key[order], pos[order], given[order]
-            while len(key):
+            order = code.argsort(kind="stable")
+            code, pos = code[order], pos[order]
+            to = target(pos)
+            while len(code):
                 rounds += 1
-                before = np.maximum(pos - 1, 0)
-                to = np.where((pos > 0) & (is_s[before] == smaller), key_of(t[before].astype(np.int64)), never)
-                n = int(np.searchsorted(key, to.min(), "left"))
+                n = int(code.searchsorted(2 * min(int(to.min()), high + 1)))
                 if not n:  # the first bucket pushes into itself: what it holds so far, then what that pushed, then what is listed
-                    n = int(np.searchsorted(key, key[0], "right"))
-                    n = int((~given[:n]).sum()) or n
-                new = pos[:n][~given[:n]]
+                    n = int(code.searchsorted(code[0], "right"))
+                new = pos[:n][code[:n] & 1 == 0]
                 out[filled : filled + len(new)] = new
                 filled += len(new)
-                ok = to[:n] < never
-                to, before = to[:n][ok], before[:n][ok]
-                queue.push(to[to > high], before[to > high])
-                near = to <= high
-                key, pos, given = (np.concatenate([x[n:], y]) for x, y in ((key, to[near]), (pos, before[near]), (given, np.zeros(int(near.sum()), bool))))
+                due, before = to[:n], pos[:n] - 1
+                near = due <= high
+                far = (due > high) & (due < never)
+                if far.any():
+                    queue.push(due[far], before[far])
+                code, pos, to = code[n:], pos[n:], to[n:]
                 if near.any():
-                    order = np.lexsort((given, key))
-                    key, pos, given = key[order], pos[order], given[order]
-            width = max(1, width // 2) if rounds > 3 else width * 2 if rounds == 1 and width < self.held else width
+                    before = before[near]
+                    code, pos, to = np.concatenate([code, 2 * due[near]]), np.concatenate([pos, before]), np.concatenate([to, target(before)])
+                    order = code.argsort(kind="stable")
+                    code, pos, to = code[order], pos[order], to[order]
+            width = max(1, width // 2) if rounds > 8 else width * 2 if rounds < 4 and width < self.held else width
         self.spills += queue.spills
         return out[:filled]
 

@@ -121,12 +121,12 @@ def removed_by_hand(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot, segment", [(2048, 1 << 20), (2, 1000)])  # the second: hot anchors, and texts in many pieces
+@pytest.mark.parametrize("hot, segment", [(2048, 1 << 17), (2, 1000)])  # the second: hot anchors, and texts in many pieces
 def test_suffix_dedup(spark, messy, messy_docs, no_docs, hot, segment, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
     short = [m for m in messy if m[1] is None or len(m[1]) < 50_000]
     docs = messy_docs.where("text is null or length(text) < 50000")
-    if segment == 1 << 20:
+    if segment == 1 << 17:
         docs, short = messy_docs, messy
     got = Counter(r[:] for r in suffix_dedup.suffix_dedup(docs, keep_text=False).collect())
     assert got == removed_by_hand(short, 200)
