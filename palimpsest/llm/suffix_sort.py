@@ -21,7 +21,7 @@ import tempfile
 import numpy as np
 
 #: Tuples or places held in memory; names that are sorted in memory.
-HELD, BASE = 1 << 16, 1 << 16
+HELD, BASE = 1 << 16, 1 << 17
 
 
 def mapped(path: str, kind, mode: str = "r", shape=None) -> np.ndarray:
