@@ -1,10 +1,10 @@
 r"""Approximate nearest neighbours by robust-pruned directed graphs, one per shard.
 
-Equal vectors are one node, which keeps the smallest ids that carry it. Nodes are dealt to shards of bounded size by
-a hash; each shard builds its graph alone: from random edges, greedy beam searches propose every node's neighbours,
-pruning keeps those that no kept neighbour is much nearer to, and reverse edges are added and pruned in turn. Queries
-come in blocks; each block's beam search runs on every shard, and the best of all shards are the answer, with
-distances computed in double precision on the original vectors.
+Equal vectors are one node, which keeps the smallest ids that carry it. Nodes are dealt to shards of at most about
+32,768 by a hash; each shard builds its graph alone: from random edges, greedy beam searches propose every node's
+neighbours, pruning keeps those that no kept neighbour is much nearer to, and reverse edges are added, and pruned where
+a node has too many. Queries come in blocks; each block's beam search runs on every shard, and the best of all shards
+are the answer, with distances computed in double precision on the original vectors.
 
 Vectors that are null, zero, of another length than most of the first, or with null or non-finite components take no
 part, neither as queries nor as candidates. Null ids take no part. Rows that repeat an id and vector are one
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import arrow_map, materialize, table
 
 #: Nodes of a shard, out-degree, beam while building and while searching, slack of the pruning, queries in a block.
-SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, SLACK, QUERY_BLOCK = 4096, 32, 64, 128, 1.2, 256
+SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, SLACK, QUERY_BLOCK = 1 << 15, 32, 64, 128, 1.2, 256
+#: Times that every node of a graph is searched for and linked anew.
+PASSES = 1
 
 
 def squared(x: np.ndarray, ids: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -95,31 +97,47 @@ def robust_prune(x: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree:
     return out
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, slack: float = SLACK, seed: int = 3, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """(out-edges, -1 padded; entry nodes) of one shard."""
+def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, slack: float = SLACK, passes: int = PASSES, seed: int = 3, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(out-edges, -1 padded; entry nodes) of one shard.
+
+    Nodes may have half as many edges again while the graph grows; who has more is pruned.
+    """
     rng = np.random.default_rng(seed)
-    n = len(x)
-    graph = rng.integers(0, n, (n, degree)) if n > 1 else np.full((n, degree), -1)
-    graph[graph == np.arange(n)[:, None]] = -1
+    n, room = len(x), degree + degree // 2
+    graph = np.full((n, room), -1)
+    if n > 1:
+        graph[:, : degree // 2] = rng.integers(0, n, (n, degree // 2))
+        graph[graph == np.arange(n)[:, None]] = -1
     center = ((x - x.mean(0)) ** 2).sum(1).argmin() if n else 0
     entry = np.unique(np.concatenate([[center], rng.choice(n, min(n, 8), replace=False)])) if n else np.array([], int)
-    for alpha in (1.0, slack):
-        for some in np.array_split(rng.permutation(n), max(1, -(-n // batch))):
-            found, _ = beam_search(x, graph, entry, x[some], beam)
-            graph[some] = robust_prune(x, some, np.concatenate([found, graph[some]], 1), degree, alpha)
-            # reverse edges; nodes that overflow are pruned anew
-            ends, heads = graph[some].ravel(), np.repeat(some, degree)
-            ends, heads = ends[ends >= 0], heads[graph[some].ravel() >= 0]
-            order = np.argsort(ends, kind="stable")
-            ends, heads = ends[order], heads[order]
-            nodes, first, count = np.unique(ends, return_index=True, return_counts=True)
-            back = np.full((len(nodes), min(int(count.max()), 2 * degree) if len(nodes) else 0), -1)
-            slot = np.arange(len(ends)) - np.repeat(first, count)
-            fits = slot < back.shape[1]
-            back[np.repeat(np.arange(len(nodes)), count)[fits], slot[fits]] = heads[fits]
-            if len(nodes):
-                graph[nodes] = robust_prune(x, nodes, np.concatenate([graph[nodes], back], 1), degree, alpha)
-    return graph, entry
+
+    def pruned(of: np.ndarray, candidates: np.ndarray) -> None:
+        for k in range(0, len(of), 2 * batch):
+            some = of[k : k + 2 * batch]
+            graph[some, :degree] = robust_prune(x, some, candidates[k : k + 2 * batch], degree, slack)
+            graph[some, degree:] = -1
+
+    for some in (s for _ in range(passes) for s in np.array_split(rng.permutation(n), max(1, -(-n // batch)))):
+        found, _ = beam_search(x, graph, entry, x[some], beam)
+        pruned(some, np.concatenate([found, graph[some]], 1))
+        # reverse edges go to free places; nodes without any are pruned anew
+        heads, ends = np.repeat(some, degree), graph[some, :degree].ravel()
+        heads, ends = heads[ends >= 0], ends[ends >= 0]
+        known = (graph[ends] == heads[:, None]).any(1)
+        heads, ends = heads[~known], ends[~known]
+        order = np.argsort(ends, kind="stable")
+        nodes, first, count = np.unique(ends[order], return_index=True, return_counts=True)
+        slot = np.arange(len(ends)) - np.repeat(first, count)
+        back = np.full((len(nodes), int(count.max()) if len(nodes) else 0), -1)
+        back[np.repeat(np.arange(len(nodes)), count), slot] = heads[order]
+        held = (graph[nodes] >= 0).sum(1)
+        fits = held + count <= room
+        packed = np.sort(np.concatenate([graph[nodes[fits]], back[fits]], 1), 1)[:, ::-1][:, :room]
+        graph[nodes[fits]] = packed
+        pruned(nodes[~fits], np.concatenate([graph[nodes[~fits]], back[~fits]], 1))
+    over = np.flatnonzero((graph >= 0).sum(1) > degree)
+    pruned(over, graph[over])
+    return np.sort(graph, 1)[:, ::-1][:, :degree], entry
 
 
 def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -146,7 +164,7 @@ def build_index(vectors: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
         ids = np.full((len(x), k + 1), -1, np.int64)
         for row, own in zip(ids, group["ids"].to_pylist(), strict=True):
             row[: len(own)] = own
-        graph, entry = build_graph(x)
+        graph, entry = build_graph(x.astype(np.float32))
         return pa.table({"shard": pa.array([group["shard"][0].as_py()], pa.int32()), "dim": pa.array([x.shape[1]], pa.int32()), "ids": [ids.tobytes()], "vectors": [x.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "entry": [entry.astype(np.int32).tobytes()]})
 
     return dealt.groupBy("dim", "shard").applyInArrow(build, "shard int, dim int, ids binary, vectors binary, graph binary, entry binary")
@@ -171,7 +189,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = SEARCH
                 edges = np.frombuffer(graph, np.int32).reshape(len(x), -1).astype(np.int64)
                 q_ids = np.array([a["vec_id"] for a in asked], np.int64)
                 q = np.array([a["vector"] for a in asked], float)
-                found, dist = beam_search(x, edges, np.frombuffer(entry, np.int32).astype(np.int64), q, max(beam, k + 1))
+                found, _ = beam_search(x.astype(np.float32), edges, np.frombuffer(entry, np.int32).astype(np.int64), q.astype(np.float32), max(beam, k + 1))
+                dist = np.where(found >= 0, squared(x, found, q), np.inf)  # graphs are walked in single precision, answers told in double
                 who = np.where(found[:, :, None] >= 0, names[found], -1)
                 score = np.broadcast_to(np.sqrt(dist)[:, :, None], who.shape)
                 who, score = who.reshape(len(q), -1), score.reshape(len(q), -1)
