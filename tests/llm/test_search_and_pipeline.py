@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from palimpsest.llm import mixing, ngram_join, packing, registry, vector_search
@@ -77,6 +78,17 @@ def test_pipeline(spark, folder, messy):
     assert corpus_pipeline.run(spark, folder).count() == want
 
 
+def test_pipeline_of_nothing_and_of_clashing_columns(spark, no_docs, messy_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, no_docs, "")
+        assert out.count() == 0 and (name == "pack_best_fit" or out.columns == list(corpus_pipeline.COLUMNS))
+    more = messy_docs.withColumns({c: F.lit(1) for c in ("row_hash", "doc", "spans", "component", "u", "w", "copies", "taken")})
+    docs = corpus_pipeline.substring_dedup(spark, more.where("doc_id < 30"), "")
+    assert docs.columns == list(corpus_pipeline.COLUMNS) and docs.count() == more.where("doc_id < 30").count()
+    assert corpus_pipeline.ngram_jaccard_join(spark, more.where("doc_id < 30"), "").columns == list(corpus_pipeline.COLUMNS)
+    assert corpus_pipeline.mix_sources(spark, more.where("doc_id < 30"), "").columns == list(corpus_pipeline.COLUMNS)
+
+
 def packing_path():
     import public_tokenizers
 
