@@ -280,6 +280,8 @@ def answer_canon_at5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # noise
 
+RATES = ("ocr", "whitespace", "hyphenation", "header", "redaction")
+
 
 def noisy(spark, sf_dir, family: str, rate: float) -> DataFrame:
     docs = fixtures.chunks(spark, sf_dir)
@@ -338,18 +340,69 @@ def noise_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noisy(spark, sf_dir, "ocr", 0.19)
 
 
-@query()
+def s_greedy(hits: str) -> str:
+    """The places of hits that no earlier one has used up. hits: a list of {t: the places it uses, d: the first behind}."""
+    return f"list_reduce({hits}, lambda a, x: CASE WHEN x.t[1] >= a.d THEN {{'t': list_concat(a.t, x.t), 'd': x.d}} ELSE a END, {{'t': []::BIGINT[], 'd': 0::BIGINT}}).t"
+
+
+def s_swallowed(rate: str, key: str) -> str:
+    """The places of redacted words in `w`."""
+    behind = f"i + 1 + floor({sql_uniform(key, 'i', 1)} * 4)::BIGINT"
+    return s_greedy(f"list_transform(list_filter(range(0, len(w)), lambda i: {sql_uniform(key, 'i')} < {rate}), lambda i: {{'t': range(i, {behind}), 'd': {behind}}})")
+
+
+S_REDACTED = "array_to_string(list_transform(list_filter(list_zip(w, range(0, len(w))), lambda p: NOT list_contains(taken, p[2])), lambda p: p[1]), ' ')"
+
+
+@query(lead(s_keyed("redaction"), "w AS (SELECT *, string_split(text, ' ') AS w FROM k)", f"t AS MATERIALIZED (SELECT *, {s_swallowed('0.05e0', 'key')} AS taken FROM w)") + f"SELECT doc_id AS id, {S_REDACTED} AS noisy FROM t")
 def noise_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noisy(spark, sf_dir, "redaction", 0.05)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{label}', {float(spec.get('ocr', 0))!r}::DOUBLE, {float(spec.get('whitespace', 0))!r}::DOUBLE, {float(spec.get('hyphenation', 0))!r}::DOUBLE, {float(spec.get('header', 0))!r}::DOUBLE, {float(spec.get('redaction', 0))!r}::DOUBLE)" for k, (label, spec) in enumerate(noise.CONDITIONS)) + ") t(ord, label, ocr, whitespace, hyphenation, header, redaction)")
+S_LADDER = "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{label}', {', '.join(f'{float(spec.get(f, 0))!r}::DOUBLE' for f in RATES)})" for k, (label, spec) in enumerate(noise.CONDITIONS)) + f") t(ord, label, {', '.join(RATES)})"
+
+
+def s_corrupted(source: str) -> str:
+    """`damaged` (condition, id, doc_title, section, text): all conditions over `source`, a family at a time."""
+    kept = f"condition, {', '.join(RATES)}, id, field, k_redaction, k_hyphenation, k_whitespace, k_ocr, k_header"
+    keys = ", ".join(sql_key("7", "id", "field", f"'{f}'") + f" AS k_{f}" for f in noise.FAMILIES)
+    fields = " UNION ALL ".join(f"SELECT id, '{f}' AS field, coalesce({f}, '') AS v FROM {source}" for f in ("doc_title", "section", "text"))
+    cut = f"(3 + floor({sql_uniform('k_hyphenation', 'i - 1', 1)} * (length(x) - 5)))::INT"
+    hits = f"list_transform(list_filter(range(0, len(w) - 1), lambda i: {sql_uniform('k_ocr', 'i')} < ocr AND (w[i + 1] || w[i + 2]) IN ({', '.join(map(repr, noise.PAIRS))})), lambda i: {{'t': [i], 'd': i + 2}})"
+    step = lambda name, of, split, rate, value: f"{name}_w AS MATERIALIZED (SELECT {kept}, v, CASE WHEN {rate} > 0 THEN {split} END AS w FROM {of}),\n{name} AS MATERIALIZED (SELECT {kept}, CASE WHEN {rate} > 0 THEN {value} ELSE v END AS v FROM {name}_w)"
+    words, letters = "string_split(v, ' ')", "string_split(v, '')"
+    lines = f"([{', '.join(repr(x) for x in noise.HEADERS)}])"
+    number = lambda j, draw, most: f"(1 + floor({sql_uniform('k_header', str(j), draw)} * {most}))::INT"
+    line = lambda j: f"replace(replace({lines}[{number(j, 1, len(noise.HEADERS))}], '{{p}}', {number(j, 2, 400)}::VARCHAR), '{{n}}', {number(j, 3, 900)}::VARCHAR)"
+    place = lambda j: f"floor({sql_uniform('k_header', str(j), 4)} * (len(w) + 1))::INT"
+    inserted = [
+        f"h{j} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN n >= {j} THEN list_concat(w[1:{place(j)}], [chr(10) || {line(j)} || chr(10)], w[{place(j)} + 1:]) ELSE w END AS w) FROM h{j - 1})"
+        for j in range(1, 1 + int(max(spec.get("header", 0) for _, spec in noise.CONDITIONS)))
+    ]
+    return ",\n".join([
+        f"ladder AS ({S_LADDER})", f"fields AS ({fields})",
+        f"n0 AS MATERIALIZED (SELECT label AS condition, {', '.join(RATES)}, id, field, v, {keys} FROM fields, ladder)",
+        f"n1_w AS MATERIALIZED (SELECT {kept}, v, CASE WHEN redaction > 0 THEN {words} END AS w FROM n0)",
+        f"n1_t AS MATERIALIZED (SELECT *, {s_swallowed('redaction', 'k_redaction')} AS taken FROM n1_w)",
+        f"n1 AS MATERIALIZED (SELECT {kept}, CASE WHEN redaction > 0 THEN {S_REDACTED} ELSE v END AS v FROM n1_t)",
+        step("n2", "n1", words, "hyphenation", f"array_to_string(list_transform(w, lambda x, i: CASE WHEN length(x) >= 7 AND {sql_uniform('k_hyphenation', 'i - 1')} < hyphenation * 6 THEN x[1:{cut}] || '-' || chr(10) || x[{cut} + 1:] ELSE x END), ' ')"),
+        step("n3", "n2", letters, "whitespace", f"array_to_string(list_transform(w, lambda c, i: CASE WHEN {sql_uniform('k_whitespace', 'i - 1')} >= CASE WHEN c = ' ' THEN whitespace ELSE whitespace * 0.35e0 END THEN c WHEN c <> ' ' THEN c || ' ' WHEN {sql_uniform('k_whitespace', 'i - 1', 1)} < 0.5e0 THEN '' ELSE '  ' END), '')"),
+        f"n4_w AS MATERIALIZED (SELECT {kept}, v, CASE WHEN ocr > 0 THEN {letters} END AS w FROM n3)",
+        f"n4_t AS MATERIALIZED (SELECT *, {s_greedy(hits)} AS taken FROM n4_w)",
+        f"n4 AS MATERIALIZED (SELECT {kept}, CASE WHEN ocr > 0 THEN array_to_string(list_transform(w, lambda c, i: CASE WHEN list_contains(taken, i - 2) THEN '' WHEN {sql_uniform('k_ocr', 'i - 1')} >= ocr THEN c WHEN list_contains(taken, i - 1) THEN ({s_map(noise.PAIRS)})[c || w[i + 1]] ELSE coalesce(({s_map(noise.SINGLES)})[c], c) END), '') ELSE v END AS v FROM n4_t)",
+        f"h0 AS MATERIALIZED (SELECT condition, id, field, k_header, v, string_split(replace(v, '. ', '. ' || chr(1)), chr(1)) AS w, CASE WHEN field = 'text' THEN floor(header)::INT + CASE WHEN {sql_uniform('k_header', '0')} < header - floor(header) THEN 1 ELSE 0 END ELSE 0 END AS n FROM n4)",
+        *inserted,
+        f"damaged AS (SELECT condition, id, max(CASE WHEN field = 'doc_title' THEN v END) AS doc_title, max(CASE WHEN field = 'section' THEN v END) AS section, max(CASE WHEN field = 'text' THEN v END) AS text FROM (SELECT condition, id, field, array_to_string(w, '') AS v FROM h{len(inserted)}) GROUP BY ALL)",
+    ])
+
+
+@query(S_LADDER)
 def condition_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     ladder = noise.conditions(spark)
-    return ladder.select("ord", "label", *[F.coalesce(F.col("spec")[f], F.lit(0.0)).alias(f) for f in ("ocr", "whitespace", "hyphenation", "header", "redaction")])
+    return ladder.select("ord", "label", *[F.coalesce(F.col("spec")[f], F.lit(0.0)).alias(f) for f in RATES])
 
 
-@query()
+@query(lead("chunks AS (SELECT doc_id AS id, source AS doc_title, lang AS section, text FROM documents)", s_corrupted("chunks")) + "SELECT id, condition, length(x)::INT AS n_chars, md5(x) AS digest FROM (SELECT id, condition, concat_ws(' ', doc_title, section, text) AS x FROM damaged)")
 def corrupt_all_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = noise.corrupt_all(fixtures.chunks(spark, sf_dir), noise.conditions(spark))
     return damaged.select("id", "condition", F.length("indexed").alias("n_chars"), F.md5("indexed").alias("digest"))
@@ -357,9 +410,8 @@ def corrupt_all_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cer_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the benchmark's items as chunks: edit distance takes time with the square of a text."""
-    items = fixtures.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("").alias("doc_title"), F.lit("").alias("section"), "text")
-    return noise.mean_error_rate(items, noise.corrupt_all(items, noise.conditions(spark))).select("condition", *sixth("cer"))
+    """The mean over all documents, each compared whole."""
+    return noise.ladder_error_rates(fixtures.chunks(spark, sf_dir), noise.conditions(spark)).select("condition", *sixth("cer"))
 
 
 @query()
@@ -461,12 +513,47 @@ def latency_p50_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
 # generated corpus and streams
 
 
-@query()
+def s_corpus() -> str:
+    """`generated`: chunks and questions of the corpus with the default seed."""
+    names = lambda rows: f"([{', '.join(repr(x) for x in rows)}])"
+    pick = lambda rows, at: f"{names(rows)}[(({at}) % {len(rows)} + 1)::INT]"
+    between = lambda k, low, high: f"({low} + floor({sql_uniform('key', str(k))} * {high - low + 1}))::BIGINT"
+    money = lambda k, low, high, step: f"'$' || format('{{:,}}', {between(k, low // step, high // step)} * {step})"
+    values = {
+        "amount": money(0, 2_000_000, 90_000_000, 500_000), "fee": money(1, 10_000, 400_000, 2_500), "rate": money(2, 250, 950, 25), "retainer": money(3, 5_000, 60_000, 1_000),
+        "margin": f"printf('%.2f', {between(4, 100, 525)} / 100e0)", "ratio": f"printf('%.1f', {between(5, 20, 65)} / 10e0)", "month": pick(corpus.MONTHS, between(6, 0, 5)),
+        "year": between(7, 2026, 2034) + "::VARCHAR", "days": between(8, 2, 15) + "::VARCHAR", "account": f"printf('%04d-%d', {between(9, 1000, 9999)}, {between(10, 0, 9)})",
+        "file": f"printf('F%05d', {between(11, 10000, 99999)})", "weeks": between(12, 3, 26) + "::VARCHAR",
+    }
+    held = ("borrower", "agent", "firm", "partner", *values)
+    n, quoted = len(corpus.BORROWERS), lambda x: "'" + x.replace("'", "''") + "'"
+
+    def fill(x: str) -> str:
+        for name in held:
+            x = f"replace({x}, '{{{name}}}', {name})"
+        return x
+
+    rows = ", ".join(f"('{f}', {k}, {', '.join(map(quoted, t))})" for f, group in (("credit", corpus.CREDIT), ("legal", corpus.LEGAL)) for k, t in enumerate(group))
+    return f"""d AS (SELECT 'credit' AS family, i AS ord, printf('AG-%03d', i) AS doc_id, {pick(corpus.BORROWERS, "i")} AS borrower, {pick(corpus.AGENTS, "i")} AS agent, '' AS firm, '' AS partner, 'Credit agreement' AS kind FROM range({n}) t(i)
+  UNION ALL SELECT 'legal', i + {n}, printf('LT-%03d', i), {pick(corpus.BORROWERS, "i // 2 * 2 + i % 2")}, '', {pick(corpus.FIRMS, "i // 2")}, {pick(corpus.PARTNERS, "i // 2 * 2 + i % 2")}, 'Engagement letter' FROM range({2 * len(corpus.FIRMS)}) t(i)),
+drawn AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in values.items())} FROM (SELECT *, {sql_key("1729", "doc_id")} AS key FROM d)),
+templates AS (SELECT * FROM (VALUES {rows}) t(family, place, section, body, ask, told)),
+generated AS (SELECT CASE WHEN family = 'credit' THEN ord * {len(corpus.CREDIT)} + place ELSE {n * len(corpus.CREDIT)} + (ord - {n}) * {len(corpus.LEGAL)} + place END::BIGINT AS id,
+  doc_id, kind || ' ' || doc_id AS doc_title, section, {fill("body")} AS text, {fill("ask")} AS question, {fill("told")} AS answer, family FROM drawn JOIN templates USING (family))"""
+
+
+@query(lead(s_corpus()) + "SELECT id, doc_id, doc_title, section, text FROM generated")
 def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.chunks(spark)
 
 
-@query()
+@query(lead(s_corpus(), s_corrupted("generated")) + "SELECT condition, round(avg(levenshtein(g.text, d.text) / length(g.text)::DOUBLE), 6) AS cer FROM damaged d JOIN generated g USING (id) GROUP BY condition")
+def corpus_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rates of the generated corpus, which is ASCII, as distances in SQL are between bytes."""
+    return noise.ladder_error_rates(corpus.chunks(spark), noise.conditions(spark)).select("condition", *sixth("cer"))
+
+
+@query(lead(s_corpus()) + "SELECT id AS qid, question, answer, id AS gold_chunk_id, family FROM generated")
 def corpus_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.questions(spark)
 

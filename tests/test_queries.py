@@ -9,7 +9,7 @@ from palimpsest import queries
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "documents benchmark embeddings events"
-SLOW = {"degradation_curve", "retriever_wins", "corrupt_all_conditions"}
+SLOW = {"degradation_curve", "retriever_wins"}
 
 
 @pytest.fixture(scope="module")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +137,33 @@ def test_corpus(spark):
     assert both.equals(corpus.generated(spark).orderBy("id").toPandas())
     own = corpus.checked(both.pipe(spark.createDataFrame), corpus.CHUNKS)
     assert own.columns == ["id", "doc_id", "doc_title", "section", "text"]
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        below = [i + 1]
+        for j, y in enumerate(b):
+            below.append(min(row[j + 1] + 1, below[j] + 1, row[j] + (x != y)))
+        row = below
+    return row[-1]
+
+
+def test_edits_against_the_whole_table_of_distances():
+    draw = random.Random(5)
+    for longest in [12] * 2000 + [300] * 20:
+        a, b = ("".join(draw.choice("abcé ") for _ in range(draw.randint(0, longest))) for _ in range(2))
+        assert noise.edits(a, b) == plain_distance(a, b)
+
+
+def test_error_rates_of_long_texts_against_the_whole_table(spark):
+    draw = random.Random(6)
+    texts = ["", None, "x", *("".join(draw.choice("rnm clé. ") for _ in range(n)) for n in (40, noise.SHORT, noise.SHORT + 1, 900))]
+    chunks = spark.createDataFrame([(i, "t", "s", t) for i, t in enumerate(texts)], "id long, doc_title string, section string, text string")
+    ladder = noise.conditions(spark, quick=True)
+    noisy = {(r["condition"], r["id"]): r["text"] for r in noise.corrupt_all(chunks, ladder).collect()}
+    told = {r["condition"]: r["cer"] for r in noise.ladder_error_rates(chunks, ladder).collect()}
+    for label in noise.QUICK:
+        rates = [plain_distance(t, noisy[label, i]) / len(t) if t else 0.0 for i, t in enumerate(texts)]
+        assert told[label] == pytest.approx(sum(rates) / len(texts))
+    assert told["clean"] == 0 < told["scan-degraded"]
