@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from itertools import chain
 
 import numpy as np
 
@@ -65,11 +66,15 @@ class DiskQueue:
         self.runs = [r for r in self.runs if r[1]]
         own = self.buckets.pop(char, [])
         self.n -= sum(len(p) for p, _ in own)
-        for run, (a, b) in runs:
-            for k in range(a, b, self.limit):
-                yield np.array(run[0, k : min(b, k + self.limit)]), np.array(run[1, k : min(b, k + self.limit)])
-        yield from own
-
+        some, n = [], 0  # small parts, up to a block of them
+        for pos, src in chain((run[:, k : min(b, k + self.limit)] for run, (a, b) in runs for k in range(a, b, self.limit)), own):
+            some.append((pos, src))
+            n += len(pos)
+            if n >= self.limit:
+                yield np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some])
+                some, n = [], 0
+        if some:
+            yield np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some])
 
 class RangeQueue:
     """A priority queue of (key, position) from which all up to a key leave at once, by key and order of entry."""
@@ -335,23 +340,29 @@ class Sorter:
         """Common prefixes of suffixes a and b, up to `most`; texts of bytes are compared eight at a time."""
         n, out = len(t), np.zeros(len(a), np.int64)
         most = np.broadcast_to(most, a.shape)
-        live = np.arange(len(a))
-        step = 8 if t.dtype == np.uint8 and n > 8 else 1
-        words = np.ndarray((n - 7,), "<u8", t, strides=(1,)) if step == 8 else t
-        while len(live):
-            x, y = a[live] + out[live], b[live] + out[live]
-            wide = (step == 8) & (np.maximum(x, y) < n - 7)
-            got = np.zeros(len(live), np.int64)
-            if wide.any():
-                differ = words[x[wide]] ^ words[y[wide]]
-                first = np.full(len(differ), 8)
-                odd = differ[differ != 0]
-                first[differ != 0] = np.frexp((odd & (~odd + np.uint64(1))).astype(float))[1] - 1 >> 3
-                got[wide] = first
-            near = ~wide & (np.maximum(x, y) < n)
-            got[near] = t[x[near]] == t[y[near]]
-            out[live] += got
-            live = live[(got == np.where(wide, 8, 1)) & (out[live] < most[live])]
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        rest = np.arange(len(a))
+        if t.dtype == np.uint8 and n > 8:
+            words = np.ndarray((n - 7,), "<u8", t, strides=(1,))
+            safe = np.maximum(a, b) + most < n - 15
+            live, rest, done = rest[safe], rest[~safe], 0
+            x, y, least = a[live], b[live], most[live]
+            while len(live):
+                differ = words[x] ^ words[y]
+                equal = differ == 0
+                odd = differ[~equal]
+                out[live[~equal]] = done + (np.frexp((odd & (~odd + np.uint64(1))).astype(float))[1] - 1 >> 3)
+                done += 8
+                out[live[equal]] = done
+                equal &= least > done
+                live, x, y, least = live[equal], x[equal] + 8, y[equal] + 8, least[equal]
+        while len(rest):
+            x, y = a[rest] + out[rest], b[rest] + out[rest]
+            near = np.maximum(x, y) < n
+            near[near] = t[x[near]] == t[y[near]]
+            rest = rest[near]
+            out[rest] += 1
+            rest = rest[out[rest] < most[rest]]
         return np.minimum(out, most)
 
     @staticmethod
