@@ -40,6 +40,12 @@ def byte_letters() -> list[str]:
 
 #: Letters, then printable ASCII signs: the splitter parts them there. Apostrophes and `<` may begin other units.
 PLAIN = re.compile(r"([^\W\d_]*)([!-&(-/:;=-@\[-`{-~]*)")
+SIGNS = "".join(c for c in map(chr, range(128)) if PLAIN.fullmatch(c) and not c.isalpha())
+PACKED = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
+def bytes_of(ids: list[int]) -> bytes:
+    return PACKED[len(ids)](*ids) if len(ids) < len(PACKED) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordIds(dict):
@@ -61,21 +67,29 @@ class WordIds(dict):
         self.older_cores: dict[str, bytes] = {}
 
     def encoded(self, stretch: str) -> bytes:
-        ids = self.tokenizer.encode(stretch, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return bytes_of(self.tokenizer.encode(stretch, add_special_tokens=False).ids)
 
     def merged(self, core: str) -> bytes:
-        ids = self.cores.get(core) or self.older_cores.get(core)
+        ids = self.cores.get(core)
         if ids is None:
-            spelled = core if core.isascii() else "".join(map(self.letters.__getitem__, core.encode()))
-            found = [t.id for t in self.model.tokenize(spelled)]
-            ids = struct.pack(f"<{len(found)}I", *found)
-        self.cores[core] = ids
+            ids = self.older_cores.get(core)
+            if ids is None:
+                spelled = core if core.isascii() else "".join(map(self.letters.__getitem__, core.encode()))
+                ids = bytes_of([t.id for t in self.model.tokenize(spelled)])
+            self.cores[core] = ids
         return ids
 
     def __missing__(self, stretch: str) -> bytes:
         ids = self.older.get(stretch)
-        if ids is None:
+        if ids is None and stretch.isascii():
+            core = stretch.rstrip(SIGNS)
+            if core and not core.isalpha():
+                ids = self.encoded(stretch)
+            else:
+                ids = self.merged(core.lower()) if core else b""
+                if len(core) < len(stretch):
+                    ids += self.merged(stretch[len(core) :])
+        elif ids is None:
             found = PLAIN.fullmatch(stretch)
             if found and (not found[1] or max(found[1]) < "ɐ" and found[1].isalpha() and (low := found[1].lower()).isalpha()):
                 ids = (self.merged(low) if found[1] else b"") + (self.merged(found[2]) if found[2] else b"")
