@@ -16,6 +16,7 @@ import re
 import struct
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -105,12 +106,18 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
+@lru_cache(1)
+def word_ids(tokenizer_path: str) -> WordIds:
+    """A worker's words: known ones stay known from one task of a worker to its next."""
+    return WordIds(tokenizer_path)
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, keep_ids: bool, id_col: str, text_col: str) -> DataFrame:
     schema = PIECES + (", ids array<int>" if keep_ids else "")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        words, part, seen = WordIds(tokenizer_path), TaskContext.get().partitionId(), defaultdict(int)
+        words, part, seen = word_ids(tokenizer_path), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             out: list[list] = [[] for _ in range(8 if keep_ids else 7)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
