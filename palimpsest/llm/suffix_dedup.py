@@ -267,8 +267,10 @@ def repeated_spans(own: DataFrame, length: int) -> DataFrame:
     """The merged spans of repeated strings of rows (doc_id, row_hash, text)."""
     runs = materialize(context_rows(own, length), "suffix-runs")
     often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("context").alias("low"), F.max("context").alias("high")).where("times > 1")
-    near = materialize(runs.join(often.select("anchor", (F.col("low") < F.col("high")).alias("several")), "anchor"), "suffix-near")
-    discard(runs)
+    # written first: a join of two plain reads is one whose hot keys can be split while it runs
+    often = materialize(often.select("anchor", (F.col("low") < F.col("high")).alias("several")), "suffix-anchors")
+    near = materialize(runs.join(often, "anchor"), "suffix-near")
+    discard(runs, often)
     home = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_hash", "start", "n"))
     classes = materialize(near.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.first("several").alias("several"), home.alias("home")), "suffix-classes")
     contexts = classes.where("several").select("anchor", "context", "home.doc_id", "home.row_hash", "home.start", "home.n")
