@@ -4,8 +4,11 @@ A paragraph is a run of words between content-defined cuts; line ends are blanks
 hash of five words is the least among `REACH` neighbours on either side, so copies of a passage are cut alike wherever
 they stand and however their lines are wrapped, and every word of a text lies in a paragraph. Equal paragraphs are one
 class. MinHash signatures of classes are cut into bands, chosen so that a pair at the threshold collides with the
-wanted recall; classes that collide are checked by the exact Jaccard similarity of their word shingles, and components
-of similar classes are clusters. Of each cluster the first paragraph stays, by document id and place.
+wanted recall; classes that collide are checked against two leaders by the exact Jaccard similarity of their word
+shingles. What bands and leaders leave apart follows exactly: each class offers its rarest shingles, as many as its size
+calls for, so that any two similar classes share one, and all such pairs from different components are counted and
+checked. So no link is lost. Components of similar classes are clusters; of each the first paragraph stays, by document
+id and place.
 
 What is repeated is then followed word by word to the ends of the passage, across paragraphs: windows of `least` words
 that stand earlier too are added (word_runs). Repeated paragraphs and windows that overlap or touch are one passage; a
@@ -26,12 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, discard, materialize, sliced, table
-from palimpsest.llm.similarity import link_classes, packed, shingles, small_or_shuffled, spread, verify_sets
+from palimpsest.llm.ngram_join import CELL_BITS, PARTS, cells_of, column_counts
+from palimpsest.llm.similarity import link_classes, offered, packed, shingles, small_or_shuffled, spread, verify_sets
 from palimpsest.llm.word_runs import DOC, ODD, merged, repeated_windows, run_hashes, segments_of, sliding_least, streams, without
 
 #: Words of a shingle; neighbours on either side that a cut's hash must be less than.
 WIDTH, REACH = 5, 24
-#: Paragraphs of a band that every other one there is checked against.
+#: Paragraphs of a band that every other one there is checked against, before the exact way for what they leave apart.
 LEADERS = 2
 MOST = np.uint64(np.iinfo(np.uint64).max)
 
@@ -86,20 +90,35 @@ def band_keys(runs: np.ndarray, first: np.ndarray, count: np.ndarray, bands: int
     return keys
 
 
-PIECES = "unnamed boolean, doc long, row_hash long, pos int, size int, key long, name long, n int, keys array<long>"
+def unseen(names: np.ndarray, of: np.ndarray, seen: set) -> np.ndarray:
+    """Which of the names at `of` are not in `seen`, to which they are added."""
+    new = np.zeros(len(names), bool)
+    for i in np.flatnonzero(of).tolist():
+        if (name := int(names[i])) not in seen:
+            seen.add(name)
+            new[i] = True
+    return new
+
+
+def runs_in(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, place) of all elements of sets that stand at [first : first + count]."""
+    return np.repeat(np.arange(len(first)), count), np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+
+
+PIECES = "unnamed boolean, doc long, row_hash long, pos int, size int, key long, name long, n int, keys array<long>, part int, counts binary"
 
 
 def found_pieces(docs: DataFrame, least: int, bands: int, rows: int, percent: int) -> DataFrame:
-    """Two kinds of rows from one reading of the texts: paragraphs (without key; band keys once for a class and task)
-    and segments of windows (see word_runs.segments_of).
+    """Three kinds of rows from one reading of the texts: paragraphs (without key; band keys once for a class and
+    task), segments of windows (see word_runs.segments_of), and counts of the shingles of a task's classes, in parts.
 
-    A paragraph so small that one shingle more or less is already below the threshold is similar to equal ones only,
-    which are the same class: it needs no bands. Its `n` is a second hash of 31 bits.
+    A paragraph of fewer words than a shingle is similar to equal ones only, which are the same class: it needs no
+    bands. Its `n` is a second hash of 31 bits.
     """
-    fields = ["pos", "size", "key", "name", "n", "keys"]
+    fields = ["pos", "size", "key", "name", "n", "keys", "part", "counts"]
 
     def run(batches):
-        seen = set()
+        seen, counts = set(), np.zeros(1 << CELL_BITS, np.int64)
         for batch in sliced(batches):
             flat, of, starts = streams(batch.column(3).to_pylist())
             first, size, text = paragraphs_of(flat, of, starts)
@@ -107,28 +126,61 @@ def found_pieces(docs: DataFrame, least: int, bands: int, rows: int, percent: in
                 continue
             names = names_of(flat, first, size).view(np.int64)
             count = size - WIDTH + 1
-            new = np.zeros(len(names), bool)
-            for i in np.flatnonzero((count > 0) & (100 * count >= percent * (count + 1))).tolist():
-                if (name := int(names[i])) not in seen:
-                    seen.add(name)
-                    new[i] = True
-            keys = band_keys(run_hashes(flat, WIDTH), first[new], count[new], bands, rows).view(np.int64) if new.any() else np.empty((0, bands), np.int64)
+            new = unseen(names, count > 0, seen)
+            runs = run_hashes(flat, WIDTH)
+            keys = band_keys(runs, first[new], count[new], bands, rows).view(np.int64) if new.any() else np.empty((0, bands), np.int64)
+            np.add.at(counts, cells_of(runs[runs_in(first[new], count[new])[1]]), 1)
             ends = np.concatenate([[0], np.cumsum(new * bands)]).astype(np.int32)
             none = pa.nulls(len(first))
             second = (names_of(flat, first, size, 1 << 40) >> np.uint64(33)).astype(np.int64)
             columns = [first - starts[text], size, none, names, second, pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
             own = lambda at: [batch.column(k).take(pa.array(at)) for k in range(3)]  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([*own(text), *(pa.array(c).cast(t) for c, t in zip(columns, types, strict=True))], names=[*DOC, *fields])
+            no_counts = lambda n: [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*own(text), *(pa.array(c).cast(t) for c, t in zip(columns, types, strict=True)), *no_counts(len(text))], names=[*DOC, *fields])
             at, *columns = segments_of(flat, of, starts, least)
             if len(at):
-                yield pa.RecordBatch.from_arrays([*own(at), *(pa.array(c).cast(t) for c, t in zip(columns, types[:5], strict=True)), pa.nulls(len(at), types[5])], names=[*DOC, *fields])
+                yield pa.RecordBatch.from_arrays([*own(at), *(pa.array(c).cast(t) for c, t in zip(columns, types[:5], strict=True)), pa.nulls(len(at), types[5]), *no_counts(len(at))], names=[*DOC, *fields])
+        if seen:
+            none = [pa.nulls(PARTS, t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))]
+            told = [p.tobytes() for p in np.split(np.minimum(counts, (1 << 31) - 1).astype(np.int32), PARTS)]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(PARTS), pa.int32()), pa.array(told, pa.binary())], names=[*DOC, *fields])
 
     return arrow_map(docs.select(*DOC, "text"), run, PIECES)
 
 
-def repeated_paragraphs(found: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(doc, span) of the paragraphs that are not the first of their cluster."""
+def first_shingles(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """Postings (key, cid, place) of each class's rarest shingles, as many as its size calls for: similar classes share one."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
+
+    def run(batches):
+        common, seen = shared.value, set()
+        for batch in sliced(batches):
+            flat, of, starts = streams(batch.column(0).to_pylist())
+            first, size, _ = paragraphs_of(flat, of, starts)
+            if not len(first):
+                continue
+            names = names_of(flat, first, size).view(np.int64)
+            new = unseen(names, size >= WIDTH, seen)
+            if not new.any():
+                continue
+            own, at = runs_in(first[new], size[new] - WIDTH + 1)
+            hashes = run_hashes(flat, WIDTH)[at]
+            order = np.lexsort((hashes, common[cells_of(hashes)], own))
+            own, hashes = own[order], hashes[order]
+            distinct = np.append(True, (own[1:] != own[:-1]) | (hashes[1:] != hashes[:-1]))
+            own, hashes = own[distinct], hashes[distinct]
+            n = np.bincount(own)
+            pos = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            some = pos < offered(n, percent)[own]
+            own, columns = own[some], [hashes[some].view(np.int64), names[new][own[some]], packed(n[own[some]], pos[some])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "cid", "place"])
+
+    return arrow_map(docs.select("text"), run, "key long, cid long, place long")
+
+
+def repeated_paragraphs(found: DataFrame, docs: DataFrame, percent: int, rarest: DataFrame) -> DataFrame:
+    """(doc, span) of the paragraphs that are not the first of their cluster; rarest: as of first_shingles."""
     postings = found.select(F.explode("keys").alias("key"), F.col("name").alias("cid"), packed(F.lit(0).cast("long"), F.lit(0).cast("long")).alias("place"))
     place = F.struct(*DOC, "pos")
     classes = found.groupBy(F.col("name").alias("cid")).agg(F.min(F.struct(*DOC, "pos", "size")).alias("home"), F.count(F.lit(1)).alias("copies"), (F.min("n") == F.max("n")).alias("sure"))
@@ -139,10 +191,12 @@ def repeated_paragraphs(found: DataFrame, docs: DataFrame, percent: int) -> Data
         per = tasks.groupBy(*[F.col(f"home.{c}").alias(c) for c in DOC]).agg(F.collect_list(F.struct("cid", "home.pos", "home.size", "goals")).alias("wanted"))
         where = small_or_shuffled(materialize(per, "paragraph-goals"), F.aggregate("wanted", F.lit(0), lambda n, w: n + F.size(w["goals"])))
 
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
         def run(batches):
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             for batch in sliced(batches):
                 out: list[tuple] = []
+                held = 0
                 flat, _, starts = streams(batch.column(0).to_pylist())
                 runs = shingles(flat, WIDTH)
                 for start, wanted in zip(starts.tolist(), batch.column(1).to_pylist(), strict=True):
@@ -151,8 +205,15 @@ def repeated_paragraphs(found: DataFrame, docs: DataFrame, percent: int) -> Data
                         own = np.sort(runs[a : a + n - WIDTH + 1] if n >= WIDTH else shingles(flat[a : a + n], WIDTH))
                         raw = own[np.append(True, own[1:] != own[:-1])].tobytes()
                         out += [(w["cid"], g["to"], g["salt"], g["role"], raw) for g in w["goals"]]
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["cid", "to", "salt", "role", "hashes"])
+                        held += len(raw) * len(w["goals"])
+                        if held > 8 << 20:
+                            yield told(out)
+                            out, held = [], 0
+                yield told(out)
+
+        def told(out):
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["cid", "to", "salt", "role", "hashes"])
 
         # a text that stands in several rows is read once
         texts = docs.join(where, list(DOC)).dropDuplicates(list(DOC)) if repeated_rows else docs.join(where, list(DOC))
@@ -160,7 +221,9 @@ def repeated_paragraphs(found: DataFrame, docs: DataFrame, percent: int) -> Data
 
     repeated_rows = not docs.groupBy(*DOC).count().where("count > 1").isEmpty()
 
-    near = link_classes(postings, lambda pairs: verify_sets(pairs, homes, make, percent), None, rounds=LEADERS, exhaustive=False)
+    verify = lambda pairs: verify_sets(pairs, homes, make, percent)
+    near = link_classes(postings, verify, None, rounds=LEADERS, exhaustive=False)
+    near = link_classes(rarest, verify, percent, rounds=1, known=near)
     placed = classes.join(near, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     first = placed.groupBy("component").agg(F.min("home").alias("first"), F.sum("copies").alias("copies")).where("copies > 1")
     repeats = materialize(placed.join(first.select("component", "first"), "component").select("sure", F.col("cid").alias("name"), F.struct(*[f"first.{c}" for c in (*DOC, "pos")]).alias("first")), "paragraph-repeats")
@@ -196,9 +259,10 @@ def substring_dedup(docs: DataFrame, least: int = 50, percent: int = 80, recall:
     named = named.withColumns({"unnamed": F.col("doc_id").isNull(), "doc": F.coalesce("doc_id", F.lit(0).cast("long"))})
     texts = named.select(*DOC, "text")
     pieces = materialize(found_pieces(texts, least, bands, band_rows, percent), "paragraph-pieces")
-    paragraphs = repeated_paragraphs(pieces.where("key is null").select(*DOC, "pos", "size", "name", "n", "keys"), texts, percent)
+    rarest = materialize(first_shingles(texts, column_counts(pieces.where("part is not null").select("part", "counts")), percent), "paragraph-rarest")
+    paragraphs = repeated_paragraphs(pieces.where("key is null and part is null").select(*DOC, "pos", "size", "name", "n", "keys"), texts, percent, rarest)
     windows = repeated_windows(pieces.where("key is not null").select(*DOC, "pos", "size", "key", "name", "n"), texts, least)
-    discard(pieces)
+    discard(pieces, rarest)
     spans = materialize(passages(paragraphs.unionByName(windows), least), "paragraph-cuts")
     discard(paragraphs, windows)
     joined = named.join(small_or_shuffled(spans, F.size("spans")), list(DOC), "left").select("doc_id", *carried, "text", "spans")

@@ -143,21 +143,31 @@ def pairs_fit(percent: int) -> Column:
     return sizes_fit(F.col("n"), F.col("m"), percent) & (F.col("pos") <= F.col("n") - need) & (F.col("at") <= F.col("m") - need)
 
 
-def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int | None, rounds: int = 2, exhaustive: bool = True) -> DataFrame:
+def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int | None, rounds: int = 2, exhaustive: bool = True, known: DataFrame | None = None) -> DataFrame:
     """(node, component) of the classes that are similar to another; postings: key, cid, place (see packed).
 
     verify: from pairs (a, b) to those that are similar. percent: two classes can only be similar if their sizes n
     allow it and if they share a key that stands, by its place pos, among those that either can lack for the overlap
     that both sizes call for, and one; the keys that a pair shares are counted, and it is dropped if they and all that
     stands behind the last of them cannot reach that overlap. Without percent, sharing a key is enough. exhaustive:
-    after the rounds of leaders, all pairs of what they leave apart are checked.
+    after the rounds of leaders, all pairs of what they leave apart are checked. known: components, as returned, that
+    other postings gave; only classes that they leave apart are checked.
     """
+
+    def apart(near: DataFrame, some: DataFrame) -> DataFrame:
+        """Rows of keys whose classes are in several components."""
+        placed = some.drop("component").join(near, F.col("cid") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "cid"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        return materialize(placed.join(mixed, "key"), "link-rest")
+
     both = postings.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("key")
     shared = postings.join(both, "key").distinct()
     shared = materialize(shared.select("key", "cid", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND((1 << 32) - 1).alias("pos")), "link-shared")
+    open_ = shared if known is None else apart(known, shared)
     # the more of its keys a class shares, the more central it is
-    central = shared.groupBy("cid").agg(F.count(F.lit(1)).alias("weight"))
-    rows = materialize(shared.join(central, "cid"), "link-rows")
+    central = open_.groupBy("cid").agg(F.count(F.lit(1)).alias("weight"))
+    rows = materialize(open_.join(central, "cid"), "link-rows")
+    placed = [] if known is None else ["component"]
 
     def summed(pairs: DataFrame) -> DataFrame:
         """Pairs (cid with n and pos, other with m and at), a row for each key that they share: the pairs that remain."""
@@ -170,18 +180,14 @@ def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
         return per.where(reach >= F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))).select("a", "b")
 
     def star(some: DataFrame, lead: DataFrame) -> DataFrame:
-        return summed(some.join(lead, "key").where("other <> cid"))
+        return summed(some.join(lead, "key").where("component <> component2" if placed else "other <> cid"))
 
     def leaders(some: DataFrame) -> DataFrame:
-        return some.groupBy("key").agg(F.max(F.struct("weight", "cid", "n", "pos")).alias("c")).select("key", F.col("c.cid").alias("other"), F.col("c.n").alias("m"), F.col("c.pos").alias("at"))
-
-    def apart(near: DataFrame, some: DataFrame) -> DataFrame:
-        """Rows of keys whose classes are in several components."""
-        placed = some.drop("component").join(near, F.col("cid") == F.col("node"), "left").drop("node").withColumn("component", F.coalesce("component", "cid"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        return materialize(placed.join(mixed, "key"), "link-rest")
+        best = some.groupBy("key").agg(F.max(F.struct("weight", "cid", "n", "pos", *placed)).alias("c"))
+        return best.select("key", F.col("c.cid").alias("other"), F.col("c.n").alias("m"), F.col("c.pos").alias("at"), *[F.col(f"c.{c}").alias(f"{c}2") for c in placed])
 
-    rest, edges, tested, spent = rows, None, None, [shared, rows]
+    rest, tested, spent = rows, None, [shared, open_, rows]
+    edges = None if known is None else known.select(F.col("node").alias("a"), F.col("component").alias("b"))
     for k in range(rounds):
         lead = leaders(rest)
         if k:  # the most central class outside the component of the most central one
@@ -192,7 +198,7 @@ def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti") if k else pairs, "link-star")
         tested = tested.unionByName(pairs) if k else pairs
         found = verify(pairs)
-        edges = materialize(edges.unionByName(found) if k else found, "link-edges")
+        edges = materialize(found if edges is None else edges.unionByName(found), "link-edges")
         near = materialize(connected_components(edges), "link-components")
         spent += [pairs, edges]
         if exhaustive or k + 1 < rounds:

@@ -126,3 +126,33 @@ def test_passages_hold_alike_paragraphs(reach):
         cuts.append({int(f) - n for f, k in zip(first, text, strict=True) if k == 1 and n + reach <= f - starts[1] < n + 400 - reach - 5})
     assert cuts[0] == cuts[1] == cuts[2] and len(cuts[0]) > 4
     assert np.diff(sorted(cuts[0])).min() > reach
+
+
+def cuts_against_brute_force(spark, texts, least):
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").persist()
+    want = {d: v for (_, d, _, _), v in spans_by_hand([(r["doc_id"], r["h"], r["text"]) for r in docs.selectExpr("*", "xxhash64(text) AS h").collect()], least).items()}
+    got = {r["doc_id"]: [(x["a"], x["b"]) for x in r["spans"]] for r in paragraph_dedup.substring_dedup(docs, least).collect()}
+    assert {d: v for d, v in got.items() if v} == {d: v for d, v in want.items() if v}
+    return want
+
+
+def test_similar_paragraphs_without_a_common_band_are_linked(spark):
+    rng = random.Random(1)
+    some = [made(rng, 100) for _ in range(500)]
+    flat, of, starts = word_runs.streams([" ".join(w) for w in some])
+    _, size, text = paragraph_dedup.paragraphs_of(flat, of, starts)
+    base = next(w for k, w in enumerate(some) if size[text == k].tolist() == [50, 50])
+    # one word of each paragraph changed, so that no window of 50 words repeats and the similarity is 41 / 51
+    near = [" ".join([*base[:25], f"v{k}", *base[26:75], f"u{k}", *base[76:]]) for k in range(3000)]
+    flat, of, starts = word_runs.streams([" ".join(base), *near])
+    first, size, text = paragraph_dedup.paragraphs_of(flat, of, starts)
+    keys = paragraph_dedup.band_keys(word_runs.run_hashes(flat, 5), first, size - 4, *paragraph_dedup.tuned_bands(80))
+    held = [(k, keys[text == k]) for k in range(1, 3001) if size[text == k].tolist() == [50, 50]]
+    missed = [k for k, own in held if (own != keys[:2]).all(1).any()]
+    assert missed
+    want = cuts_against_brute_force(spark, [" ".join(base), near[missed[0] - 1]], LEAST)
+    assert want[1] == [(0, 100)]
+
+
+def test_equal_sets_of_few_shingles_are_linked(spark):
+    assert cuts_against_brute_force(spark, ["a b c " * 2 + "a", "a b c " * 3], 9)[1] == [(0, 9)]
