@@ -1,8 +1,10 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import mixing, ngram_join, packing, registry, vector_search
+from palimpsest.llm import mixing, ngram_join, packing, paragraph_dedup, registry, vector_search, word_runs
 from palimpsest.llm.common import materialize
 
 
@@ -89,6 +91,32 @@ def test_pipeline_of_nothing_and_of_clashing_columns(spark, no_docs, messy_docs)
     assert corpus_pipeline.mix_sources(spark, more.where("doc_id < 30"), "").columns == list(corpus_pipeline.COLUMNS)
 
 
+def test_stage_links_every_family_that_shares_its_bands_with_others(spark):
+    rng = random.Random(3)
+    made = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    def sizes(texts):
+        _, size, text = paragraph_dedup.paragraphs_of(*word_runs.streams([" ".join(t) for t in texts]))
+        return [size[text == k].tolist() for k in range(len(texts))]
+
+    def families(base):
+        """Families have a similarity of 38 / 54 to each other, their two members of 41 / 51, without a window of 50 words in common."""
+        rows = []
+        for c in range(60):
+            one = [*base[:36], *made(4), *base[40:86], *made(4), *base[90:]]
+            two = [*one[:12], f"x{c}", *one[13:62], f"y{c}", *one[63:]]
+            if sizes([one, two]) == [[50, 50]] * 2:
+                rows += [(2 * c, " ".join(one)), (2 * c + 1, " ".join(two))]
+        return rows
+
+    some = [made(100) for _ in range(5000)]
+    rows = max((families(w) for w, s in zip(some, sizes(some), strict=True) if s == [50, 50]), key=len)
+    assert len(rows) > 40
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.substring_dedup(spark, docs, "").collect()}
+    assert kept == {d: t for d, t in rows if d % 2 == 0}
+
+
 def packing_path():
     import public_tokenizers
 
