@@ -3,7 +3,7 @@ r"""Substring dedup by paragraph MinHash banding.
 A paragraph is a run of words between content-defined cuts; line ends are blanks like others. A cut falls where the
 hash of five words is the least among `REACH` neighbours on either side, so copies of a passage are cut alike wherever
 they stand and however their lines are wrapped, and every word of a text lies in a paragraph. Equal paragraphs are one
-class. MinHash signatures of classes are cut into bands, chosen so that a pair at the threshold collides with the
+class; different ones under one 64-bit name are told apart by a second hash. MinHash signatures of classes are cut into bands, chosen so that a pair at the threshold collides with the
 wanted recall; classes that collide are checked against two leaders by the exact Jaccard similarity of their word
 shingles. What bands and leaders leave apart follows exactly: each class offers its rarest shingles, as many as its size
 calls for, so that any two similar classes share one, and all such pairs from different components are counted and
@@ -23,9 +23,11 @@ carried along, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, discard, materialize, sliced, table
@@ -100,6 +102,15 @@ def unseen(names: np.ndarray, of: np.ndarray, seen: set) -> np.ndarray:
     return new
 
 
+def renamed(name, n):
+    """The name of a paragraph whose 64-bit name another one has too, by its second hash: numbers, or columns."""
+    return name.bitwiseXOR(F.shiftleft(n.cast("long"), 32)) if isinstance(name, Column) else name ^ (n << 32)
+
+
+def second_names(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return (names_of(flat, first, size, 1 << 40) >> np.uint64(33)).astype(np.int64)
+
+
 def runs_in(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(set, place) of all elements of sets that stand at [first : first + count]."""
     return np.repeat(np.arange(len(first)), count), np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
@@ -132,7 +143,7 @@ def found_pieces(docs: DataFrame, least: int, bands: int, rows: int, percent: in
             np.add.at(counts, cells_of(runs[runs_in(first[new], count[new])[1]]), 1)
             ends = np.concatenate([[0], np.cumsum(new * bands)]).astype(np.int32)
             none = pa.nulls(len(first))
-            second = (names_of(flat, first, size, 1 << 40) >> np.uint64(33)).astype(np.int64)
+            second = second_names(flat, first, size)
             columns = [first - starts[text], size, none, names, second, pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
             own = lambda at: [batch.column(k).take(pa.array(at)) for k in range(3)]  # noqa: B023, E731
@@ -149,8 +160,11 @@ def found_pieces(docs: DataFrame, least: int, bands: int, rows: int, percent: in
     return arrow_map(docs.select(*DOC, "text"), run, PIECES)
 
 
-def first_shingles(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """Postings (key, cid, place) of each class's rarest shingles, as many as its size calls for: similar classes share one."""
+def first_shingles(docs: DataFrame, counts: np.ndarray, percent: int, clashes: frozenset = frozenset()) -> DataFrame:
+    """Postings (key, cid, place) of each class's rarest shingles, as many as its size calls for: similar classes share one.
+
+    clashes: names that different paragraphs have, which are told apart by their second hashes.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
 
     def run(batches):
@@ -161,6 +175,8 @@ def first_shingles(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFra
             if not len(first):
                 continue
             names = names_of(flat, first, size).view(np.int64)
+            if clashes:
+                names = np.where(np.isin(names, list(clashes)), renamed(names, second_names(flat, first, size)), names)
             new = unseen(names, size >= WIDTH, seen)
             if not new.any():
                 continue
@@ -179,12 +195,24 @@ def first_shingles(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFra
     return arrow_map(docs.select("text"), run, "key long, cid long, place long")
 
 
-def repeated_paragraphs(found: DataFrame, docs: DataFrame, percent: int, rarest: DataFrame) -> DataFrame:
-    """(doc, span) of the paragraphs that are not the first of their cluster; rarest: as of first_shingles."""
+def classes_of(found: DataFrame) -> DataFrame:
+    """A row for each name: its first paragraph, how many have it, and whether their second hashes differ."""
+    per = found.groupBy(F.col("name").alias("cid")).agg(F.min(F.struct(*DOC, "pos", "size")).alias("home"), F.count(F.lit(1)).alias("copies"), (F.min("n") < F.max("n")).alias("clash"))
+    return materialize(per, "paragraph-classes")
+
+
+def repeated_paragraphs(found: DataFrame, docs: DataFrame, percent: int, make_rarest: Callable[[frozenset], DataFrame]) -> DataFrame:
+    """(doc, span) of the paragraphs that are not the first of their cluster; make_rarest: from names that different paragraphs have to first_shingles."""
+    classes = classes_of(found)
+    # two paragraphs under one 64-bit name (expected once in 4 thousand million classes) take names of both hashes
+    clashes = frozenset(r["cid"] for r in classes.where("clash").select("cid").collect())
+    if clashes:
+        discard(classes)
+        found = found.withColumn("name", F.when(F.col("name").isin(*clashes), renamed(F.col("name"), F.col("n"))).otherwise(F.col("name")))
+        classes = classes_of(found)
+    rarest = materialize(make_rarest(clashes), "paragraph-rarest")
     postings = found.select(F.explode("keys").alias("key"), F.col("name").alias("cid"), packed(F.lit(0).cast("long"), F.lit(0).cast("long")).alias("place"))
     place = F.struct(*DOC, "pos")
-    classes = found.groupBy(F.col("name").alias("cid")).agg(F.min(F.struct(*DOC, "pos", "size")).alias("home"), F.count(F.lit(1)).alias("copies"), (F.min("n") == F.max("n")).alias("sure"))
-    classes = materialize(classes, "paragraph-classes")
     homes = classes.select("cid", "home")
 
     def make(tasks: DataFrame) -> DataFrame:
@@ -226,11 +254,11 @@ def repeated_paragraphs(found: DataFrame, docs: DataFrame, percent: int, rarest:
     near = link_classes(rarest, verify, percent, rounds=1, known=near)
     placed = classes.join(near, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     first = placed.groupBy("component").agg(F.min("home").alias("first"), F.sum("copies").alias("copies")).where("copies > 1")
-    repeats = materialize(placed.join(first.select("component", "first"), "component").select("sure", F.col("cid").alias("name"), F.struct(*[f"first.{c}" for c in (*DOC, "pos")]).alias("first")), "paragraph-repeats")
-    gone = found.join(small_or_shuffled(repeats.where("sure").drop("sure")), "name")  # names that two paragraphs share cut nothing
+    repeats = materialize(placed.join(first.select("component", "first"), "component").select(F.col("cid").alias("name"), F.struct(*[f"first.{c}" for c in (*DOC, "pos")]).alias("first")), "paragraph-repeats")
+    gone = found.join(small_or_shuffled(repeats), "name")
     gone = gone.where(place != F.col("first"))
     out = materialize(gone.select(*DOC, F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("size")).alias("b")).alias("span")), "paragraph-spans")
-    discard(classes, near, repeats)
+    discard(classes, near, repeats, rarest)
     return out
 
 
@@ -259,10 +287,10 @@ def substring_dedup(docs: DataFrame, least: int = 50, percent: int = 80, recall:
     named = named.withColumns({"unnamed": F.col("doc_id").isNull(), "doc": F.coalesce("doc_id", F.lit(0).cast("long"))})
     texts = named.select(*DOC, "text")
     pieces = materialize(found_pieces(texts, least, bands, band_rows, percent), "paragraph-pieces")
-    rarest = materialize(first_shingles(texts, column_counts(pieces.where("part is not null").select("part", "counts")), percent), "paragraph-rarest")
-    paragraphs = repeated_paragraphs(pieces.where("key is null and part is null").select(*DOC, "pos", "size", "name", "n", "keys"), texts, percent, rarest)
+    counts = column_counts(pieces.where("part is not null").select("part", "counts"))
+    paragraphs = repeated_paragraphs(pieces.where("key is null and part is null").select(*DOC, "pos", "size", "name", "n", "keys"), texts, percent, lambda clashes: first_shingles(texts, counts, percent, clashes))
     windows = repeated_windows(pieces.where("key is not null").select(*DOC, "pos", "size", "key", "name", "n"), texts, least)
-    discard(pieces, rarest)
+    discard(pieces)
     spans = materialize(passages(paragraphs.unionByName(windows), least), "paragraph-cuts")
     discard(paragraphs, windows)
     joined = named.join(small_or_shuffled(spans, F.size("spans")), list(DOC), "left").select("doc_id", *carried, "text", "spans")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ngram_join, paragraph_dedup, suffix_dedup, suffix_sort
+from palimpsest.llm import ngram_join, paragraph_dedup, suffix_dedup, suffix_sort, word_runs
 from palimpsest.llm.common import connected_components
 
 
@@ -155,3 +155,32 @@ def test_join_query_equals_sql(spark):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet'")
     want = sorted(c.execute(f"SELECT doc_id, n_shingles, component_id FROM ({ngram_join.OP6_SQL})").fetchall())
     assert sorted(r[:] for r in ngram_join.op6_ngram_jaccard_join(spark, at).select("doc_id", "n_shingles", F.col("component_id")).collect()) == want
+
+
+def test_paragraphs_under_one_name_are_told_apart_and_still_cut(spark):
+    one, two, other = ([f"{c}{k}" for k in range(60)] for c in "abc")
+    texts = {1: one, 2: two, 3: one, 4: two, 5: other}
+    docs = spark.createDataFrame([(False, d, 0, " ".join(t)) for d, t in texts.items()], "unnamed boolean, doc long, row_hash long, text string")
+    found = spark.createDataFrame([(False, d, 0, 0, 60, 9 if t is other else 7, "abc".index(t[0][0]), []) for d, t in texts.items()], "unnamed boolean, doc long, row_hash long, pos int, size int, name long, n int, keys array<long>")
+    seen = []
+
+    def none(clashes):
+        seen.append(clashes)
+        return spark.createDataFrame([], "key long, cid long, place long")
+
+    spans = paragraph_dedup.repeated_paragraphs(found, docs, 80, none).collect()
+    assert seen == [frozenset({7})]
+    assert sorted((r["doc"], r["span"]["a"], r["span"]["b"]) for r in spans) == [(3, 0, 60), (4, 0, 60)]
+
+
+def test_shingles_of_clashing_names_go_by_both_hashes(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(9)) for c in "ab"]
+    docs, counts = spark.createDataFrame([(t,) for t in texts], "text string"), np.zeros(1 << 20, np.int64)
+    flat, of, starts = word_runs.streams(texts[:1])
+    first, size, _ = paragraph_dedup.paragraphs_of(flat, of, starts)
+    longest = size.argmax()
+    name = int(paragraph_dedup.names_of(flat, first, size).view(np.int64)[longest])
+    second = int(paragraph_dedup.second_names(flat, first, size)[longest])
+    plain, told = ({r["cid"] for r in paragraph_dedup.first_shingles(docs, counts, 80, c).collect()} for c in (frozenset(), frozenset({name})))
+    by_column = spark.range(1).select(paragraph_dedup.renamed(F.lit(name).cast("long"), F.lit(second))).first()[0]
+    assert told == plain - {name} | {by_column} and by_column != name
