@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,12 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets broadcasts and shuffle files of plans that are through go at once, and the driver's heap shrink again."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches end at 4 MB or 2,000 rows, so that very long texts do not swell a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -71,18 +80,42 @@ def sliced(batches):
             yield batch.slice(k, SLICE)
 
 
-#: Edges that one task of a round takes, about.
-EDGES_A_TASK = 200_000
+#: Edges that one task of a round takes, about; edges up to which one task finds all components.
+EDGES_A_TASK, EDGES_AT_ONCE = 200_000, 1_000_000
+
+
+def least_of_component(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) of all nodes of the edges a[i] - b[i]."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    least = np.arange(len(nodes))
+    while len(u):
+        low, high = np.minimum(least[u], least[v]), np.maximum(least[u], least[v])
+        np.minimum.at(least, high, low)  # each root goes below the least one that an edge shows it
+        while (least[least] < least).any():
+            least = least[least]
+        open_ = least[u] != least[v]
+        u, v = u[open_], v[open_]
+    return nodes, nodes[least]
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph (columns a, b) as (node, component), component the smallest node.
 
-    Alternates large-star and small-star steps until every node but the smallest of its component has one edge, to
-    that one. Each step is a shuffle with map-side minima, so a hub costs one partial row per task, and each is
-    written to the shared folder. Isolated nodes are not returned.
+    Up to EDGES_AT_ONCE edges go to one task. With more, large-star and small-star steps alternate until every node
+    but the smallest of its component has one edge, to that one. Each step is a shuffle with map-side minima, so a hub
+    costs one partial row per task, and each is written to the shared folder. Isolated nodes are not returned.
     """
     now = materialize(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    if now.count() <= EDGES_AT_ONCE:
+
+        def run(batches):
+            held = [[c.to_numpy() for c in batch.columns] for batch in batches]
+            if held:
+                told = least_of_component(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in told], names=["node", "component"])
+
+        return arrow_map(now.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1), run, "node long, component long")
     for _ in range(max_rounds):
         ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
         per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_map, discard, materialize, sliced, table
+from palimpsest.llm.common import arrow_map, collect_garbage, discard, materialize, sliced, table
 from palimpsest.llm.ngram_join import CELL_BITS, PARTS, cells_of, column_counts
 from palimpsest.llm.similarity import link_classes, offered, packed, shingles, small_or_shuffled, spread, verify_sets
 from palimpsest.llm.word_runs import DOC, ODD, merged, repeated_windows, run_hashes, segments_of, sliding_least, streams, without
@@ -39,6 +39,8 @@ from palimpsest.llm.word_runs import DOC, ODD, merged, repeated_windows, run_has
 WIDTH, REACH = 5, 24
 #: Paragraphs of a band that every other one there is checked against, before the exact way for what they leave apart.
 LEADERS = 2
+#: What a set is wanted for, a number each: class, leader, place and size of a paragraph, block and role.
+WANTED = ("cid", "to", "at", "goal")
 MOST = np.uint64(np.iinfo(np.uint64).max)
 
 
@@ -216,8 +218,13 @@ def repeated_paragraphs(found: DataFrame, docs: DataFrame, percent: int, make_ra
     homes = classes.select("cid", "home")
 
     def make(tasks: DataFrame) -> DataFrame:
-        per = tasks.groupBy(*[F.col(f"home.{c}").alias(c) for c in DOC]).agg(F.collect_list(F.struct("cid", "home.pos", "home.size", "goals")).alias("wanted"))
-        where = small_or_shuffled(materialize(per, "paragraph-goals"), F.aggregate("wanted", F.lit(0), lambda n, w: n + F.size(w["goals"])))
+        flat = tasks.select("cid", *[F.col(f"home.{c}").alias(c) for c in (*DOC, "pos", "size")], F.explode("goals").alias("g"))
+        one = F.struct("cid", F.col("g.to").alias("to"), packed(F.col("pos").cast("long"), F.col("size")).alias("at"), (F.col("g.salt") * 2 + F.col("g.role")).alias("goal"))
+        per = flat.groupBy(*DOC).agg(F.collect_list(one).alias("wanted"))
+        # arrays of numbers are a third of arrays of rows, in a broadcast too
+        where = materialize(per.select(*DOC, *[F.col(f"wanted.{c}").alias(c) for c in WANTED]), "paragraph-goals")
+        made.append(where)
+        where = small_or_shuffled(where, F.size("cid"))
 
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
@@ -227,13 +234,15 @@ def repeated_paragraphs(found: DataFrame, docs: DataFrame, percent: int, make_ra
                 held = 0
                 flat, _, starts = streams(batch.column(0).to_pylist())
                 runs = shingles(flat, WIDTH)
-                for start, wanted in zip(starts.tolist(), batch.column(1).to_pylist(), strict=True):
-                    for w in wanted:
-                        a, n = start + w["pos"], w["size"]
-                        own = np.sort(runs[a : a + n - WIDTH + 1] if n >= WIDTH else shingles(flat[a : a + n], WIDTH))
-                        raw = own[np.append(True, own[1:] != own[:-1])].tobytes()
-                        out += [(w["cid"], g["to"], g["salt"], g["role"], raw) for g in w["goals"]]
-                        held += len(raw) * len(w["goals"])
+                for start, *wanted in zip(starts.tolist(), *(batch.column(k).to_pylist() for k in range(1, 1 + len(WANTED))), strict=True):
+                    last = raw = None
+                    for cid, to, at, goal in zip(*wanted, strict=True):
+                        if at != last:
+                            a, n, last = start + (at >> 32), at & (1 << 32) - 1, at
+                            own = np.sort(runs[a : a + n - WIDTH + 1] if n >= WIDTH else shingles(flat[a : a + n], WIDTH))
+                            raw = own[np.append(True, own[1:] != own[:-1])].tobytes()
+                        out.append((cid, to, goal >> 1, goal & 1, raw))
+                        held += len(raw)
                         if held > 8 << 20:
                             yield told(out)
                             out, held = [], 0
@@ -245,20 +254,24 @@ def repeated_paragraphs(found: DataFrame, docs: DataFrame, percent: int, make_ra
 
         # a text that stands in several rows is read once
         texts = docs.join(where, list(DOC)).dropDuplicates(list(DOC)) if repeated_rows else docs.join(where, list(DOC))
-        return arrow_map(texts.select("text", "wanted"), run, "cid long, to long, salt int, role int, hashes binary")
+        return arrow_map(texts.select("text", *WANTED), run, "cid long, to long, salt int, role int, hashes binary")
 
+    made: list[DataFrame] = []
     repeated_rows = not docs.groupBy(*DOC).count().where("count > 1").isEmpty()
 
     verify = lambda pairs: verify_sets(pairs, homes, make, percent)
     near = link_classes(postings, verify, None, rounds=LEADERS, exhaustive=False)
+    collect_garbage(docs.sparkSession)
     near = link_classes(rarest, verify, percent, rounds=1, known=near)
+    collect_garbage(docs.sparkSession)
     placed = classes.join(near, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     first = placed.groupBy("component").agg(F.min("home").alias("first"), F.sum("copies").alias("copies")).where("copies > 1")
     repeats = materialize(placed.join(first.select("component", "first"), "component").select(F.col("cid").alias("name"), F.struct(*[f"first.{c}" for c in (*DOC, "pos")]).alias("first")), "paragraph-repeats")
     gone = found.join(small_or_shuffled(repeats), "name")
     gone = gone.where(place != F.col("first"))
     out = materialize(gone.select(*DOC, F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("size")).alias("b")).alias("span")), "paragraph-spans")
-    discard(classes, near, repeats, rarest)
+    discard(classes, near, repeats, rarest, *made)
+    collect_garbage(docs.sparkSession)
     return out
 
 
@@ -293,6 +306,7 @@ def substring_dedup(docs: DataFrame, least: int = 50, percent: int = 80, recall:
     discard(pieces)
     spans = materialize(passages(paragraphs.unionByName(windows), least), "paragraph-cuts")
     discard(paragraphs, windows)
+    collect_garbage(docs.sparkSession)
     joined = named.join(small_or_shuffled(spans, F.size("spans")), list(DOC), "left").select("doc_id", *carried, "text", "spans")
     width = 1 + len(carried)
     names = ["doc_id", *carried, "text", "n_removed", "n_spans", "spans"]

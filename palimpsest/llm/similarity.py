@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import arrow_map, connected_components, discard, materialize
+from palimpsest.llm.common import arrow_map, collect_garbage, connected_components, discard, materialize
 
 #: Items (rows, or elements of their arrays) of a frame that a join may broadcast, after they were counted.
 BROADCAST_ITEMS = 1_000_000
@@ -200,6 +200,7 @@ def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
         found = verify(pairs)
         edges = materialize(found if edges is None else edges.unionByName(found), "link-edges")
         near = materialize(connected_components(edges), "link-components")
+        collect_garbage(edges.sparkSession)
         spent += [pairs, edges]
         if exhaustive or k + 1 < rounds:
             rest = apart(near, rest)

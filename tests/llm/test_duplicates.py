@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ngram_join, paragraph_dedup, suffix_dedup, suffix_sort, word_runs
+from palimpsest.llm import common, ngram_join, paragraph_dedup, suffix_dedup, suffix_sort, word_runs
 from palimpsest.llm.common import connected_components
 
 
@@ -184,3 +184,29 @@ def test_shingles_of_clashing_names_go_by_both_hashes(spark):
     plain, told = ({r["cid"] for r in paragraph_dedup.first_shingles(docs, counts, 80, c).collect()} for c in (frozenset(), frozenset({name})))
     by_column = spark.range(1).select(paragraph_dedup.renamed(F.lit(name).cast("long"), F.lit(second))).first()[0]
     assert told == plain - {name} | {by_column} and by_column != name
+
+
+def test_components_of_few_edges_take_few_jobs_and_rounds_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-150, 150, (160, 2))] + [(k, k + 1) for k in range(1000, 1100)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("components", "")
+    found = sorted(map(tuple, connected_components(edges).collect()))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert len(tracker.getJobIdsForGroup("components")) <= 5
+    monkeypatch.setattr(common, "EDGES_AT_ONCE", 0)
+    assert sorted(map(tuple, connected_components(edges).collect())) == found
+    monkeypatch.undo()
+    assert connected_components(edges.where("a > 5000")).collect() == []
+
+
+def test_a_goal_of_paragraphs_takes_a_few_numbers(spark, monkeypatch):
+    """Wanted sets are broadcast as arrays of numbers; arrays of rows took the driver's memory."""
+    kinds = []
+    monkeypatch.setattr(paragraph_dedup, "materialize", lambda df, name: (name == "paragraph-goals" and kinds.append(dict(df.dtypes))) or common.materialize(df, name))
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:30], "x", *words[31:]]))], "doc_id long, text string")
+    cut = {r["doc_id"]: r["n_removed"] for r in paragraph_dedup.substring_dedup(docs, least=20).collect()}
+    assert cut[1] == 0 and cut[2] > 0
+    assert kinds and all(set(k.values()) <= {"boolean", "bigint", "array<bigint>", "array<int>"} for k in kinds)
