@@ -28,8 +28,8 @@ from palimpsest.llm.common import arrow_map, materialize, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-#: Words whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers, in up to 150 MB about; beyond it starts anew.
+REMEMBERED = 800_000
 
 
 def byte_letters() -> list[str]:
@@ -53,7 +53,8 @@ class WordIds(dict):
     """Ids of each blank-free stretch of a text, as little-endian unsigned 32-bit bytes.
 
     The tokenizer's normalizer and splitter never look across white space, so a text's ids are those of its
-    stretches. Latin letters and the signs after them go straight to the merges.
+    stretches. Latin letters and the signs after them go straight to the merges, and are known as stretches too.
+    ASCII texts are put in lower case first, as the normalizer does, so a word is known whatever its case.
     Beyond REMEMBERED / 2 stretches a new generation begins; the one before is kept, so frequent words stay known.
     """
 
@@ -63,22 +64,20 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.cores: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {"": b""}
-        self.older_cores: dict[str, bytes] = {}
 
     def encoded(self, stretch: str) -> bytes:
         return bytes_of(self.tokenizer.encode(stretch, add_special_tokens=False).ids)
 
     def merged(self, core: str) -> bytes:
-        ids = self.cores.get(core)
-        if ids is None:
-            ids = self.older_cores.get(core)
-            if ids is None:
-                spelled = core if core.isascii() else "".join(map(self.letters.__getitem__, core.encode()))
-                ids = bytes_of([t.id for t in self.model.tokenize(spelled)])
-            self.cores[core] = ids
-        return ids
+        spelled = core if core.isascii() else "".join(map(self.letters.__getitem__, core.encode()))
+        return bytes_of([t.id for t in self.model.tokenize(spelled)])
+
+    def parted(self, stretch: str, letters: str, signs: str) -> bytes:
+        """Ids of letters in lower case, then signs; each is a stretch of its own unless it is the whole one."""
+        if stretch == letters or stretch == signs:
+            return self.merged(stretch)
+        return (self[letters] if letters else b"") + (self[signs] if signs else b"")
 
     def __missing__(self, stretch: str) -> bytes:
         ids = self.older.get(stretch)
@@ -87,13 +86,11 @@ class WordIds(dict):
             if core and not core.isalpha():
                 ids = self.encoded(stretch)
             else:
-                ids = self.merged(core.lower()) if core else b""
-                if len(core) < len(stretch):
-                    ids += self.merged(stretch[len(core) :])
+                ids = self.parted(stretch, core.lower(), stretch[len(core) :])
         elif ids is None:
             found = PLAIN.fullmatch(stretch)
             if found and (not found[1] or max(found[1]) < "ɐ" and found[1].isalpha() and (low := found[1].lower()).isalpha()):
-                ids = (self.merged(low) if found[1] else b"") + (self.merged(found[2]) if found[2] else b"")
+                ids = self.parted(stretch, low if found[1] else "", found[2])
             else:
                 ids = self.encoded(stretch)
         self[stretch] = ids
@@ -101,9 +98,12 @@ class WordIds(dict):
 
     def text_ids(self, text: str | None) -> bytes:
         if len(self) > REMEMBERED // 2:
-            self.older, self.older_cores, self.cores = {"": b""} | self, self.cores, {}
+            self.older = {"": b""} | self
             self.clear()
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        text = text or ""
+        if text.isascii():  # elsewhere marks that follow a letter ask for its case
+            text = text.lower()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(1)

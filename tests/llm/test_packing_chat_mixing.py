@@ -51,6 +51,13 @@ def test_word_ids_of_random_stretches_and_generations(monkeypatch):
         assert np.frombuffer(words.text_ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_a_word_is_known_whatever_its_case_and_signs():
+    words = packing.WordIds(PATH)
+    ids = words.text_ids("The THE tHe the the, THE.")
+    assert set(words) == {"the", "the,", "the.", ",", "."}
+    assert np.frombuffer(ids, "<u4").tolist() == Tokenizer.from_file(PATH).encode("The THE tHe the the, THE.", add_special_tokens=False).ids
+
+
 def fewest(sizes, capacity):
     """The least number of bins, by trying all."""
     best = len(sizes)
