@@ -7,7 +7,8 @@ class; different ones under one 64-bit name are told apart by a second hash. Min
 wanted recall; classes that collide are checked against two leaders by the exact Jaccard similarity of their word
 shingles. What bands and leaders leave apart follows exactly: each class offers its rarest shingles, as many as its size
 calls for, so that any two similar classes share one, and all such pairs from different components are counted and
-checked. So no link is lost. Components of similar classes are clusters; of each the first paragraph stays, by document
+checked; where many classes share a shingle, 256 bits of each set first show which pairs differ too much. So no link is
+lost. Components of similar classes are clusters; of each the first paragraph stays, by document
 id and place.
 
 What is repeated is then followed word by word to the ends of the passage, across paragraphs: windows of `least` words
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import arrow_map, collect_garbage, discard, materialize, sliced, table
 from palimpsest.llm.ngram_join import CELL_BITS, PARTS, cells_of, column_counts
-from palimpsest.llm.similarity import link_classes, offered, packed, shingles, small_or_shuffled, spread, verify_sets
+from palimpsest.llm.similarity import link_classes, offered, packed, shingles, sketches, small_or_shuffled, spread, verify_sets
 from palimpsest.llm.word_runs import DOC, ODD, merged, repeated_windows, run_hashes, segments_of, sliding_least, streams, without
 
 #: Words of a shingle; neighbours on either side that a cut's hash must be less than.
@@ -262,7 +263,7 @@ def repeated_paragraphs(found: DataFrame, docs: DataFrame, percent: int, make_ra
     verify = lambda pairs: verify_sets(pairs, homes, make, percent)
     near = link_classes(postings, verify, None, rounds=LEADERS, exhaustive=False)
     collect_garbage(docs.sparkSession)
-    near = link_classes(rarest, verify, percent, rounds=1, known=near)
+    near = link_classes(rarest, verify, percent, rounds=1, known=near, sketch=lambda some: sketches(some, homes, make))
     collect_garbage(docs.sparkSession)
     placed = classes.join(near, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     first = placed.groupBy("component").agg(F.min("home").alias("first"), F.sum("copies").alias("copies")).where("copies > 1")

@@ -4,8 +4,9 @@ A posting says that a class holds a key (a rare n-gram, a MinHash band). Classes
 First every class is checked against one leader of each of its keys, the most central class there, and what is similar
 is joined into components. Only keys whose classes are then still in different components need more: a second leader,
 and where no link may be lost, all pairs from different components that their counts of shared keys leave. So a group
-of near copies costs one check per copy. Joins on keys and leaders are ordinary equi-joins, which adaptive execution
-splits where a key is hot.
+of near copies costs one check per copy. Where many classes just below the threshold share a key, sketches of their
+sets are compared inside that join, so that a pair becomes a row only if it can be similar. Joins on keys and leaders are
+ordinary equi-joins, which adaptive execution splits where a key is hot.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from palimpsest.llm.common import arrow_map, collect_garbage, connected_componen
 BROADCAST_ITEMS = 1_000_000
 #: Members that one task checks against a leader; bytes of rows that it holds at once, about; 4 blocks of columns.
 BLOCK, BLOCK_BYTES, COLUMN_BITS = 512, 4 << 20, 2
+#: Classes of a key beyond which their pairs are compared by sketches first; bits of a sketch, a multiple of 64.
+CROWD, SKETCH_BITS = 64, 256
 
 
 #: Bytes hashed at once, about; the odd factor of the words' polynomials.
@@ -143,7 +146,13 @@ def pairs_fit(percent: int) -> Column:
     return sizes_fit(F.col("n"), F.col("m"), percent) & (F.col("pos") <= F.col("n") - need) & (F.col("at") <= F.col("m") - need)
 
 
-def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int | None, rounds: int = 2, exhaustive: bool = True, known: DataFrame | None = None) -> DataFrame:
+def sketches_near(percent: int) -> Column:
+    """Whether sets of n and m, with sketches s0, s1, ... and t0, t1, ..., can be similar: sketches differ in no more bits than sets in hashes."""
+    differ = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    return differ <= F.col("n") + F.col("m") - 2 * F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
+
+
+def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int | None, rounds: int = 2, exhaustive: bool = True, known: DataFrame | None = None, sketch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of the classes that are similar to another; postings: key, cid, place (see packed).
 
     verify: from pairs (a, b) to those that are similar. percent: two classes can only be similar if their sizes n
@@ -151,7 +160,8 @@ def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
     that both sizes call for, and one; the keys that a pair shares are counted, and it is dropped if they and all that
     stands behind the last of them cannot reach that overlap. Without percent, sharing a key is enough. exhaustive:
     after the rounds of leaders, all pairs of what they leave apart are checked. known: components, as returned, that
-    other postings gave; only classes that they leave apart are checked.
+    other postings gave; only classes that they leave apart are checked. sketch: from classes (cid) to their sketches;
+    with it and percent, pairs of a key that more than `CROWD` classes left apart share must also have near sketches.
     """
 
     def apart(near: DataFrame, some: DataFrame) -> DataFrame:
@@ -186,6 +196,12 @@ def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
         best = some.groupBy("key").agg(F.max(F.struct("weight", "cid", "n", "pos", *placed)).alias("c"))
         return best.select("key", F.col("c.cid").alias("other"), F.col("c.n").alias("m"), F.col("c.pos").alias("at"), *[F.col(f"c.{c}").alias(f"{c}2") for c in placed])
 
+    def across(some: DataFrame, words: int = 0) -> DataFrame:
+        """Pairs from different components, a row for each key that they share; words: numbers of their sketches."""
+        left = some.select("key", "cid", "n", "pos", "component", *[f"s{k}" for k in range(words)])
+        right = some.select("key", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("component2"), *[F.col(f"s{k}").alias(f"t{k}") for k in range(words)])
+        return left.join(right, "key").where("component < component2")
+
     rest, tested, spent = rows, None, [shared, open_, rows]
     edges = None if known is None else known.select(F.col("node").alias("a"), F.col("component").alias("b"))
     for k in range(rounds):
@@ -206,9 +222,17 @@ def link_classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
             rest = apart(near, rest)
             spent.append(rest)
     if exhaustive:
-        left = rest.select("key", "cid", "n", "pos", "component")
-        right = rest.select("key", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("component").alias("component2"))
-        cross = materialize(summed(left.join(right, "key").where("component < component2")).join(tested, ["a", "b"], "left_anti"), "link-cross")
+        pairs = across(rest)
+        if sketch and percent:
+            crowded = rest.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > CROWD).select("key")
+            crowd = materialize(rest.join(crowded, "key"), "link-crowd")
+            if not crowd.isEmpty():
+                drawn = materialize(crowd.join(sketch(crowd.select("cid").distinct()), "cid"), "link-sketches")
+                # a pair that is dropped here and met under another key is not similar, so its count of keys does not matter
+                pairs = across(rest.join(crowded, "key", "left_anti")).unionByName(across(drawn, SKETCH_BITS // 64).where(pairs_fit(percent)).where(sketches_near(percent)).select(pairs.columns))
+                spent.append(drawn)
+            spent.append(crowd)
+        cross = materialize(summed(pairs).join(tested, ["a", "b"], "left_anti"), "link-cross")
         more = materialize(verify(cross), "link-edges")
         if not more.isEmpty():
             near = materialize(connected_components(edges.unionByName(more)), "link-components")
@@ -244,6 +268,23 @@ def overlaps(leaders: list[np.ndarray], members: list[np.ndarray], to: np.ndarra
     return alive & (100 * counts >= percent * (n + m[to] - counts))
 
 
+def sketches(classes: DataFrame, homes: DataFrame, make: Callable) -> DataFrame:
+    """(cid, s0, s1, ...): of each of `SKETCH_BITS` remainders, whether an odd number of a class's hashes has it; homes, make: as for verify_sets."""
+    goal = F.array(F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).alias("salt"), F.lit(0).alias("role")))
+    sets = make(classes.select("cid", goal.alias("goals")).join(homes, "cid"))
+    names = [f"s{k}" for k in range(SKETCH_BITS // 64)]
+
+    def run(batches):
+        for batch in batches:
+            odd = np.zeros((len(batch), SKETCH_BITS), np.int64)
+            for row, raw in zip(odd, batch.column(1).to_pylist(), strict=True):
+                row += np.bincount((np.frombuffer(raw, np.uint64) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+            words = np.packbits(odd, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(w) for w in np.ascontiguousarray(words.T))], names=["cid", *names])
+
+    return arrow_map(sets.select("cid", "hashes"), run, ", ".join(f"{c} long" for c in ("cid", *names)))
+
+
 def verify_sets(pairs: DataFrame, homes: DataFrame, make: Callable, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose sets of hashes have a Jaccard similarity of percent / 100.
 

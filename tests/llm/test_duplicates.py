@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import common, ngram_join, paragraph_dedup, suffix_dedup, suffix_sort, word_runs
+from palimpsest.llm import common, ngram_join, paragraph_dedup, similarity, suffix_dedup, suffix_sort, word_runs
 from palimpsest.llm.common import connected_components
 
 
@@ -210,3 +210,35 @@ def test_a_goal_of_paragraphs_takes_a_few_numbers(spark, monkeypatch):
     cut = {r["doc_id"]: r["n_removed"] for r in paragraph_dedup.substring_dedup(docs, least=20).collect()}
     assert cut[1] == 0 and cut[2] > 0
     assert kinds and all(set(k.values()) <= {"boolean", "bigint", "array<bigint>", "array<int>"} for k in kinds)
+
+
+def test_pairs_of_a_crowd_that_differ_too_much_do_not_become_rows(spark, monkeypatch):
+    """Variants of one set, most of them just below the threshold: a row for each pair grew with the square of their number."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 45).astype(np.uint64)
+    sets = {}
+    for c in range(150):  # a run of five hashes is exchanged, in some of them as in one other
+        at = int(rng.integers(0, 41))
+        new = rng.integers(0, 1 << 62, 5).astype(np.uint64)
+        sets[c] = np.sort(np.concatenate([base[:at], new, base[at + 5 :]]))
+        if c % 10 == 0:
+            sets[1000 + c] = np.sort(np.concatenate([base[:at], new[:4], rng.integers(0, 1 << 62, 1).astype(np.uint64), base[at + 5 :]]))
+    count = Counter(int(h) for s in sets.values() for h in s)
+    postings = []
+    for c, s in sets.items():
+        first = sorted(s.tolist(), key=lambda h: (count[h], h))[: similarity.offered(45, 80)]
+        postings += [(h, c, similarity.packed(45, k)) for k, h in enumerate(first)]
+    similar = {(a, b) for a in sets for b in sets if a < b and 100 * len(o := np.intersect1d(sets[a], sets[b])) >= 80 * (90 - len(o))}
+    checked = []
+
+    def verify(pairs):
+        checked.append({r[:] for r in pairs.select("a", "b").collect()})
+        return spark.createDataFrame(sorted(checked[-1] & similar), "a long, b long")
+
+    homes = spark.createDataFrame([(c,) for c in sets], "cid long")
+    made = spark.createDataFrame([(c, s.tobytes()) for c, s in sets.items()], "cid long, hashes binary")
+    make = lambda tasks: tasks.select("cid").join(made, "cid")
+    near = similarity.link_classes(spark.createDataFrame(postings, "key long, cid long, place long"), verify, 80, rounds=1, sketch=lambda some: similarity.sketches(some, homes, make))
+    want = {int(n): int(c) for n, c in zip(*common.least_of_component(*np.array(sorted(similar)).T), strict=True)}
+    assert {r["node"]: r["component"] for r in near.collect()} == want
+    assert len(checked[-1]) < 2 * len(similar) and (checked[-1] - similar)
