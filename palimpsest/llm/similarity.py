@@ -282,7 +282,8 @@ def sketches(classes: DataFrame, homes: DataFrame, make: Callable) -> DataFrame:
             words = np.packbits(odd, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(w) for w in np.ascontiguousarray(words.T))], names=["cid", *names])
 
-    return arrow_map(sets.select("cid", "hashes"), run, ", ".join(f"{c} long" for c in ("cid", *names)))
+    # dealt out first: a task with two Python functions in a row holds two workers, and idle ones stay in an executor's memory
+    return arrow_map(sets.select("cid", "hashes").repartition("cid"), run, ", ".join(f"{c} long" for c in ("cid", *names)))
 
 
 def verify_sets(pairs: DataFrame, homes: DataFrame, make: Callable, percent: int) -> DataFrame:

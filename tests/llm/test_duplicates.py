@@ -242,3 +242,35 @@ def test_pairs_of_a_crowd_that_differ_too_much_do_not_become_rows(spark, monkeyp
     want = {int(n): int(c) for n, c in zip(*common.least_of_component(*np.array(sorted(similar)).T), strict=True)}
     assert {r["node"]: r["component"] for r in near.collect()} == want
     assert len(checked[-1]) < 2 * len(similar) and (checked[-1] - similar)
+
+
+def python_in_a_row(df):
+    """The most Python functions that one task of a frame's plan runs, each in a worker of its own."""
+
+    def walk(node, n):
+        n = 0 if "Exchange" in node.nodeName() else n + (node.nodeName() == "MapInArrow")
+        below = node.children()
+        return max([n, *(walk(below.apply(k), n) for k in range(below.size()))])
+
+    plan = df._jdf.queryExecution().executedPlan()
+    return walk(plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan, 0)
+
+
+def test_no_task_of_substring_dedup_holds_two_python_workers(spark, monkeypatch):
+    """Workers stay when a task is through, so sketches drawn right behind their sets kept four in an executor of two cores."""
+    deepest = {}
+
+    def noted(df, name):
+        deepest[name] = max(deepest.get(name, 0), python_in_a_row(df))
+        return common.materialize(df, name)
+
+    for module in (paragraph_dedup, similarity, word_runs):
+        monkeypatch.setattr(module, "materialize", noted)
+    monkeypatch.setattr(similarity, "CROWD", 1)
+    shared = [f"w{k}" for k in range(25)]
+    texts = [" ".join([*shared, *(f"own{i}x{k}" for k in range(20))]) for i in range(6)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0].replace("own0x9", "other"), texts[0].replace("own0x19", "other")])), "doc_id long, text string")
+    cut = {r["doc_id"]: r["n_removed"] for r in paragraph_dedup.substring_dedup(docs, least=40).collect()}
+    assert {d for d, n in cut.items() if n} == {7}
+    assert {"link-sketches", "paragraph-rarest"} <= deepest.keys()
+    assert max(deepest.values()) == 1, deepest
