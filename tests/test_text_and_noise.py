@@ -167,3 +167,37 @@ def test_error_rates_of_long_texts_against_the_whole_table(spark):
         rates = [plain_distance(t, noisy[label, i]) / len(t) if t else 0.0 for i, t in enumerate(texts)]
         assert told[label] == pytest.approx(sum(rates) / len(texts))
     assert told["clean"] == 0 < told["scan-degraded"]
+
+
+def test_walks_of_hyphens_and_headers_equal_the_expressions(spark):
+    draw = random.Random(8)
+    texts = ["", " ", "a. b. ", *("".join(draw.choice("abcdé .. \n") for _ in range(n)) for n in (30, 300, 3000))]
+    held = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for family, walk in (("hyphenation", noise.hyphenate), ("header", noise.print_headers)):
+        for rate in (0.1, 0.7, 2.0):
+            key = keyed.key_of(F.lit(7), F.col("id"), F.lit(family))
+            told = {r["id"]: r["x"] for r in held.select("id", noise.NOISE[family](F.col("text"), F.lit(rate), key).alias("x")).collect()}
+            assert told == {i: walk(t, rate, keyed.np_key(7, i, family)) for i, t in enumerate(texts)}
+
+
+def test_all_conditions_take_one_python_worker_a_task(spark):
+    """Each family had a worker of its own, beside the others in every task."""
+    plan = noise.corrupt_all(rows(spark), noise.conditions(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_batches_of_long_texts_are_small(spark):
+    """A batch held 10,000 texts, however long."""
+    held = spark.range(3000, numPartitions=1).select("id", F.repeat(F.lit("word "), 2000).alias("text"))
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(most)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    noisy = noise.redaction_noise(F.col("text"), F.lit(0.1), F.col("id"))
+    assert int(spark.conf.get(most)) <= 8 << 20
+    assert held.select(noisy.alias("x")).where("length(x) < 10000").count() == 3000
+
+    @F.pandas_udf("int")
+    def size(texts):
+        return texts.str.len() * 0 + len(texts)
+
+    assert held.select(size("text").alias("n")).agg(F.max("n")).first()[0] * 10000 < 3 * (8 << 20)
