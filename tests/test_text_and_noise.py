@@ -201,3 +201,18 @@ def test_batches_of_long_texts_are_small(spark):
         return texts.str.len() * 0 + len(texts)
 
     assert held.select(size("text").alias("n")).agg(F.max("n")).first()[0] * 10000 < 3 * (8 << 20)
+
+
+def test_edits_within_what_the_noise_tells():
+    """A band of the table gives the whole table's distance; noise that only adds or only takes away needs no table."""
+    draw = random.Random(9)
+    for n in [30] * 300 + [1500] * 3:
+        clean = "".join(draw.choice("rnm clw. tif") for _ in range(n))
+        for noisy, most in noise.damaged_texts(clean, [spec for _, spec in noise.CONDITIONS], 7, "x", "text"):
+            told = noise.edits(clean, noisy, most)
+            assert told <= most and told == (plain_distance(clean, noisy) if n < 100 else noise.edits(clean, noisy))
+        for more in (0, 1, 7):
+            assert noise.edits(clean, noisy, told + more) == told
+    clean = "some words " * 200_000
+    short = noise.redact(clean, 0.1, 5)
+    assert noise.edits(clean, short, len(clean) - len(short)) == len(clean) - len(short)
