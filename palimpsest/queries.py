@@ -207,7 +207,7 @@ def vector_queries(spark, sf_dir) -> DataFrame:
 
 @query("WITH dense_s AS (" + S_PAIRS + ") " + S_TOP.format("dense"))
 def dense_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.top_k(ranking.dense_scores(fixtures.vectors(spark, sf_dir), vector_queries(spark, sf_dir)), 5).select("qid", "id", "rank", *sixth("score"))
+    return ranking.top_k(ranking.dense_first(fixtures.vectors(spark, sf_dir), vector_queries(spark, sf_dir), 5), 5).select("qid", "id", "rank", *sixth("score"))
 
 
 @query("SELECT qid, round(min(score), 6) AS least, round(max(score), 6) AS most, round(avg(score), 6) AS mean FROM (" + S_PAIRS + ") GROUP BY qid")

@@ -1,7 +1,9 @@
 import math
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,22 @@ def test_probe(spark, mode):
     assert probe.probe(spark, mode, queries=1)["mode"] == mode
     with pytest.raises(ValueError):
         probe.probe(spark, "other")
+
+
+def test_first_of_all_pairs_are_those_of_the_window(spark, monkeypatch):
+    """Only each query's first become rows, with ties by id over blocks and tasks, as rounded scores have them."""
+    draw = random.Random(4)
+    some = [[draw.choice((-1.0, 0.0, 0.5, 1.0)) + draw.choice((0, 1e-10, 4e-10)) for _ in range(3)] for _ in range(40)]
+    v = spark.createDataFrame([(i, draw.choice(some)) for i in range(1500)], "id long, embedding array<double>").repartition(5)
+    q = v.where("id % 3 = 0").withColumnRenamed("id", "qid")
+    monkeypatch.setattr(ranking, "AT_ONCE", 100)
+    show = lambda rows: {(r["qid"], r["rank"]): r["id"] for r in rows.collect()}
+    first = ranking.dense_first(v, q, 7)
+    assert show(ranking.top_k(first, 7)) == show(ranking.top_k(ranking.dense_pairs(v, q), 7))
+    assert first.count() < 500 * 7 * 100 < 500 * 1500
+
+
+def test_rounded_places_are_those_of_spark(spark):
+    x = [0.0, -0.0, 1.5e-9, 2.5e-9, -2.5e-9, 0.1234567885, 0.1234567895, -0.0000000005, 4.9999999999e-10, 123456.1234567895, 3.0]
+    want = [round(r[0] * 10**9) for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 9)).collect()]
+    assert ranking.places_of(np.array(x)).tolist() == want
