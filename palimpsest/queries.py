@@ -212,8 +212,7 @@ def dense_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT qid, round(min(score), 6) AS least, round(max(score), 6) AS most, round(avg(score), 6) AS mean FROM (" + S_PAIRS + ") GROUP BY qid")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = ranking.dense_pairs(fixtures.vectors(spark, sf_dir), vector_queries(spark, sf_dir))
-    return pairs.groupBy("qid").agg(F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"), F.round(F.avg("score"), 6).alias("mean"))
+    return ranking.dense_extremes(fixtures.vectors(spark, sf_dir), vector_queries(spark, sf_dir)).select("qid", *sixth("least", "most", "mean"))
 
 
 @query("SELECT vec_id AS id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")

@@ -140,3 +140,16 @@ def test_rounded_places_are_those_of_spark(spark):
     x = [0.0, -0.0, 1.5e-9, 2.5e-9, -2.5e-9, 0.1234567885, 0.1234567895, -0.0000000005, 4.9999999999e-10, 123456.1234567895, 3.0]
     want = [round(r[0] * 10**9) for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 9)).collect()]
     assert ranking.places_of(np.array(x)).tolist() == want
+
+
+def test_extremes_of_all_pairs(spark):
+    """Least, most and mean come from blocks; no pair is a row of the plan."""
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0, -0.5 * i]) for i in range(700)], "id long, embedding array<double>")
+    q = v.where("id < 300").withColumnRenamed("id", "qid")
+    pairs = ranking.dense_pairs(v, q).groupBy("qid").agg(F.min("score").alias("least"), F.max("score").alias("most"), F.avg("score").alias("mean"))
+    told = ranking.dense_extremes(v, q)
+    want = {r["qid"]: r[1:] for r in pairs.collect()}
+    got = {r["qid"]: r[1:] for r in told.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
