@@ -80,6 +80,11 @@ S_HYBRID = "hybrid_s AS (SELECT qid, id, sum(1e0 / (60 + rank)) AS score FROM (S
 S_TOP = "SELECT qid, id, rank::INT AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM {}_s) WHERE rank <= 5"
 
 
+def asked_of(spark, sf_dir) -> DataFrame:
+    """The questions, made once."""
+    return written(fixtures.questions(spark, sf_dir), "questions")
+
+
 def question_vectors(spark, sf_dir, questions) -> DataFrame:
     """A synthetic pairing: vectors are unrelated to texts, so a question takes the vector with its number."""
     return questions.join(fixtures.vectors(spark, sf_dir), F.col("qid") == F.col("id")).select("qid", "embedding")
@@ -159,12 +164,12 @@ def bm25_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(lead(S_QUESTIONS, s_bm25("plain")) + S_TOP.format("plain"))
 def bm25_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.top_k(bm25.scores(fixtures.chunks(spark, sf_dir), fixtures.questions(spark, sf_dir)), 5).select("qid", "id", "rank", *sixth("score"))
+    return ranking.top_k(bm25.scores(fixtures.chunks(spark, sf_dir), asked_of(spark, sf_dir), False, first=5), 5).select("qid", "id", "rank", *sixth("score"))
 
 
 @query(lead(S_QUESTIONS, s_bm25("canon", True)) + S_TOP.format("canon"))
 def bm25_canon_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.top_k(bm25.scores(fixtures.chunks(spark, sf_dir), fixtures.questions(spark, sf_dir), True), 5).select("qid", "id", "rank", *sixth("score"))
+    return ranking.top_k(bm25.scores(fixtures.chunks(spark, sf_dir), asked_of(spark, sf_dir), True, first=5), 5).select("qid", "id", "rank", *sixth("score"))
 
 
 def s_recall(name: str) -> str:
@@ -174,16 +179,16 @@ def s_recall(name: str) -> str:
 
 @query(lead(S_QUESTIONS, s_bm25("plain"), s_full("plain"), s_recall("plain")) + "SELECT round(avg(r), 6) AS recall_at_5, round(avg(m), 6) AS mrr_at_10 FROM plain_e")
 def recall_mrr_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = fixtures.questions(spark, sf_dir).persist()
-    top = ranking.top_k(bm25.scores(fixtures.chunks(spark, sf_dir), asked), 10)
+    asked = asked_of(spark, sf_dir)
+    top = ranking.top_k(bm25.scores(fixtures.chunks(spark, sf_dir), asked, first=10), 10)
     per = asked.join(top, "qid", "left").groupBy("qid").agg(metrics.recall_at(5).alias("r"), metrics.reciprocal_rank_at(10).alias("m"))
     return per.agg(F.round(F.avg("r"), 6).alias("recall_at_5"), F.round(F.avg("m"), 6).alias("mrr_at_10"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions, their five best documents and whether the gold one is among them."""
-    asked = fixtures.questions(spark, sf_dir)
-    top = ranking.top_k(bm25.scores(fixtures.chunks(spark, sf_dir), asked, True), 5)
+    asked = asked_of(spark, sf_dir)
+    top = ranking.top_k(bm25.scores(fixtures.chunks(spark, sf_dir), asked, True, first=5), 5)
     return top.join(asked, "qid").select("qid", "question", "id", "rank", *sixth("score"), (F.col("id") == F.col("gold_chunk_id")).alias("is_gold"))
 
 
@@ -257,10 +262,11 @@ def eval_all_retrievers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answered(spark, sf_dir, canonical: bool) -> DataFrame:
-    asked = fixtures.questions(spark, sf_dir).persist()
-    top = ranking.top_k(bm25.scores(fixtures.chunks(spark, sf_dir), asked, canonical), 5)
+    asked = asked_of(spark, sf_dir)
+    top = ranking.top_k(bm25.scores(fixtures.chunks(spark, sf_dir), asked, canonical, first=5), 5)
     passages = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])
-    return top.join(fixtures.chunks(spark, sf_dir).select("id", "text"), "id").join(asked, "qid").groupBy("qid", "answer").agg(passages.alias("passages"))
+    found = fixtures.chunks(spark, sf_dir).select("id", "text").join(F.broadcast(top), "id")  # five rows a question
+    return found.join(F.broadcast(asked), "qid").groupBy("qid", "answer").agg(passages.alias("passages"))
 
 
 def s_found(name: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import bm25, metrics, ranking
 from palimpsest.plans import degradation, probe, report
+from palimpsest.sources import fixtures
 
 DOCS = [(0, "alpha beta beta 1.5"), (1, "beta gamma"), (2, ""), (3, None), (4, "alpha alpha delta beta epsilon")]
 
@@ -153,3 +154,32 @@ def test_extremes_of_all_pairs(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     plan = told._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_are_made_where_documents_are_read(spark):
+    """Postings were shuffled by document, by term and by document again; a task now gives each question's first, ties by id."""
+    draw = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(draw.choice(["ab", "cd", "ef", "gh", "zz"]) for _ in range(draw.randint(0, 4)))) for i in range(3000)], "id long, text string").repartition(7)
+    asked = spark.createDataFrame([(1, "ab cd"), (2, "gh"), (3, "nothing")], "qid long, question string")
+    full, first = bm25.scores(docs, asked), bm25.scores(docs, asked, first=9)
+    assert "Exchange" not in plan_of(full) and "Exchange" not in plan_of(first)
+    show = lambda rows: {(r["qid"], r["rank"]): r["id"] for r in ranking.top_k(rows, 9).collect()}
+    assert show(first) == show(full) and len(show(full)) == 18 and first.count() < full.count()
+    want = by_hand([tuple(r) for r in docs.collect()], "ab cd")
+    assert {r["id"]: r["score"] for r in full.where("qid = 1").collect()} == pytest.approx(want)
+
+
+def test_holders_are_those_that_contain_the_item(spark):
+    draw = random.Random(3)
+    some = lambda n: " ".join(draw.choice(["a", "b", "c", "", "dé"]) for _ in range(n))
+    items = [(i, some(n)) for i, n in enumerate([3, 5, 6, 6, 7, 8, 6, 7])]
+    bodies = [None, "", *(some(draw.randint(0, 60)) for _ in range(300)), *("x" + t + "y " + some(3) for _, t in items)]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, body string")
+    found = fixtures.holders(spark.createDataFrame(items, "item_id long, text string"), docs)
+    assert "Exchange" not in plan_of(found)
+    got = sorted((r["item_id"], r["doc_id"]) for r in found.collect())
+    assert got == sorted((i, d) for i, t in items for d, b in enumerate(bodies) if b is not None and t in b) and len(got) > 20
