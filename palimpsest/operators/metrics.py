@@ -27,8 +27,8 @@ def evaluate(rankings: DataFrame, questions: DataFrame, chunks: DataFrame, k: in
     shared = [c for c in by if c in chunks.columns]
     keys = rankings.select(*by).distinct()
     asked = questions.select("qid", "answer", "gold_chunk_id")
-    near = rankings.where(F.col("rank") <= max(k, mrr_k)).join(asked, "qid")
-    near = near.join(chunks.select(*shared, "id", F.col(text).alias("passage")), [*shared, "id"])
+    near = rankings.where(F.col("rank") <= max(k, mrr_k)).join(asked, "qid")  # ten rows a question and ranking
+    near = F.broadcast(near).join(chunks.select(*shared, "id", F.col(text).alias("passage")), [*shared, "id"])
     top = F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "passage")))), lambda x: x["passage"])
     per = near.groupBy(*by, "qid", "answer").agg(recall_at(k).alias("r"), reciprocal_rank_at(mrr_k).alias("m"), top.alias("top"))
     per = per.withColumn("e", contains_answer(F.col("top"), "answer").cast("double")).withColumn("c", contains_answer(F.col("top"), "answer", True).cast("double"))

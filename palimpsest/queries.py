@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.keyed import key_of, sql_key, sql_uniform
 from palimpsest.functions.text import canon, contains_answer, text_of, tokens
-from palimpsest.operators import bm25, kv, metrics, models, noise, ranking
+from palimpsest.operators import bm25, hybrid, kv, metrics, models, noise, ranking
 from palimpsest.plans import cli, degradation
 from palimpsest.sources import corpus, fixtures
 from palimpsest.sources.shared import written
@@ -90,26 +90,18 @@ def question_vectors(spark, sf_dir, questions) -> DataFrame:
     return questions.join(fixtures.vectors(spark, sf_dir), F.col("qid") == F.col("id")).select("qid", "embedding")
 
 
-def dense_over_chunks(spark, sf_dir, questions) -> DataFrame:
-    own = fixtures.vectors(spark, sf_dir).join(fixtures.chunks(spark, sf_dir).select("id"), "id", "left_semi")
-    return ranking.dense_scores(own, question_vectors(spark, sf_dir, questions))
-
-
-def parent_rankings(spark, sf_dir, questions) -> DataFrame:
-    """What the hybrid fuses: both parents' full rankings."""
-    docs = fixtures.chunks(spark, sf_dir)
-    full = lambda s, name: ranking.rank_all(s, docs.select("id"), questions.select("qid")).withColumn("retriever", F.lit(name))
-    return full(bm25.scores(docs, questions, True), "bm25-canon").unionByName(full(dense_over_chunks(spark, sf_dir, questions), "dense"))
+def both_lists(spark, sf_dir, questions) -> hybrid.Both:
+    """Documents with what gives their scores in both lists that the hybrid fuses."""
+    docs = fixtures.chunks(spark, sf_dir).select("id", "text")
+    return hybrid.both(docs, questions, fixtures.vectors(spark, sf_dir), question_vectors(spark, sf_dir, questions))
 
 
 def four_rankings(spark, sf_dir, questions, depth: int = 10) -> DataFrame:
     """The first `depth` of all four retrievers; every id has a place in a parent's list, so also in the hybrid's."""
-    top = lambda s, name: ranking.top_k(s, depth).withColumn("retriever", F.lit(name))
-    parents = written(parent_rankings(spark, sf_dir, questions), "parents")
     docs = fixtures.chunks(spark, sf_dir)
-    plain = ranking.filled(bm25.scores(docs, questions), docs.select("id"), questions.select("qid"), depth)
-    hybrid = top(ranking.fuse(parents), "hybrid")
-    return top(plain, "bm25").unionByName(parents.where(F.col("rank") <= depth)).unionByName(hybrid)
+    plain = ranking.filled(bm25.scores(docs, questions, first=depth), docs.select("id"), questions.select("qid"), depth)
+    plain = ranking.top_k(plain, depth).withColumn("retriever", F.lit("bm25"))
+    return written(plain.unionByName(hybrid.first_of_all(both_lists(spark, sf_dir, questions), depth)), "rankings")
 
 
 # text
@@ -230,14 +222,13 @@ S_BOTH = (S_QUESTIONS, s_bm25("canon", True), s_full("canon"), S_DENSE, s_full("
 
 @query(lead(*S_BOTH) + "SELECT qid, id, round(score, 9) AS score FROM hybrid_s")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = fixtures.questions(spark, sf_dir)
-    return ranking.fuse(parent_rankings(spark, sf_dir, asked)).select("qid", "id", F.round("score", 9).alias("score"))
+    return hybrid.fused_all(both_lists(spark, sf_dir, asked_of(spark, sf_dir))).select("qid", "id", F.round("score", 9).alias("score"))
 
 
 @query(lead(*S_BOTH) + S_TOP.format("hybrid"))
 def hybrid_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = fixtures.questions(spark, sf_dir)
-    return ranking.top_k(ranking.fuse(parent_rankings(spark, sf_dir, asked)), 5).select("qid", "id", "rank", *sixth("score"))
+    first = hybrid.first_of_all(both_lists(spark, sf_dir, asked_of(spark, sf_dir)), 5)
+    return first.where("retriever = 'hybrid'").select("qid", "id", "rank", *sixth("score"))
 
 
 def s_answers(name: str) -> str:
@@ -255,7 +246,7 @@ NAMES = {"plain": "bm25", "canon": "bm25-canon", "dense": "dense", "hybrid": "hy
 
 @query(lead(*S_BOTH, s_bm25("plain"), s_full("plain"), s_full("hybrid"), *(f(n) for n in NAMES for f in (s_recall, s_answers))) + " UNION ALL ".join(s_eval(n, label) for n, label in NAMES.items()))
 def eval_all_retrievers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = fixtures.questions(spark, sf_dir).persist()
+    asked = asked_of(spark, sf_dir)
     docs = fixtures.chunks(spark, sf_dir).withColumn("indexed", F.concat_ws(" ", text_of("doc_title"), text_of("section"), text_of("text")))
     told = metrics.evaluate(four_rankings(spark, sf_dir, asked), asked, docs)
     return told.select("retriever", *sixth("recall_at_5", "mrr_at_10", "ans_exact_at_5", "ans_canon_at_5"))

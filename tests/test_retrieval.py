@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import bm25, metrics, ranking
+from palimpsest.operators import bm25, hybrid, metrics, ranking
 from palimpsest.plans import degradation, probe, report
 from palimpsest.sources import fixtures
 
@@ -183,3 +183,26 @@ def test_holders_are_those_that_contain_the_item(spark):
     assert "Exchange" not in plan_of(found)
     got = sorted((r["item_id"], r["doc_id"]) for r in found.collect())
     assert got == sorted((i, d) for i, t in items for d, b in enumerate(bodies) if b is not None and t in b) and len(got) > 20
+
+
+def test_fusion_by_counted_places_equals_full_rankings(spark):
+    """Neither the first k nor all fused scores take a ranking of all documents; ties, no scores and negative ones included."""
+    draw = random.Random(7)
+    text = lambda: " ".join(draw.choice(["ab", "cd", "ef", "gh", "zz"]) for _ in range(draw.randint(0, 3)))
+    docs = spark.createDataFrame([(i, text()) for i in range(700)], "id long, text string").repartition(5)
+    vectors = spark.createDataFrame([(i, [float(draw.randint(-2, 2)), float(draw.randint(-1, 1))]) for i in range(0, 900, 3)], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(3, "ab cd"), (6, "gh"), (9, "nothing"), (10, "ef")], "qid long, question string")
+    own = asked.join(vectors, F.col("qid") == F.col("id")).select("qid", "embedding")
+    dense = ranking.dense_scores(vectors.join(docs.select("id"), "id", "left_semi"), own)
+    full = lambda s, name: ranking.rank_all(s, docs.select("id"), asked.select("qid")).withColumn("retriever", F.lit(name))
+    parents = full(bm25.scores(docs, asked, True), "bm25-canon").unionByName(full(dense, "dense"))
+    want = ranking.fuse(parents)
+    held = hybrid.both(docs, asked, vectors, own)
+    scores = lambda rows: {(r["qid"], r["id"]): r["score"] for r in rows.collect()}
+    every = scores(hybrid.fused_all(held))
+    assert len(every) == 4 * 700 and every == pytest.approx(scores(want))
+    places = lambda rows: {(r["retriever"], r["qid"], r["rank"]): r["id"] for r in rows.collect()}
+    first = hybrid.first_of_all(held, 10)
+    expected = parents.where("rank <= 10").unionByName(ranking.top_k(want, 10).withColumn("retriever", F.lit("hybrid")))
+    assert places(first) == places(expected)
+    assert "Window" not in plan_of(hybrid.fused_all(held))
